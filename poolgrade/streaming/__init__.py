@@ -1,0 +1 @@
+"""Every job of this project is a batch job, so there is no streaming query to define here."""
