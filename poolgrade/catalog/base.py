@@ -14,6 +14,8 @@ from ..session import settle
 from ..sources.tables import part_sheet
 
 PLACES = 6
+SHIFT = 1e-10
+"""Added before rounding for output, so that half-way cases round alike in both engines."""
 
 
 def sheet(spark: SparkSession, folder: str) -> DataFrame:
@@ -35,7 +37,7 @@ def tidy(df: DataFrame, *columns: str) -> DataFrame:
     types = dict(df.dtypes)
     names = columns or df.columns
     return df.select(
-        *[F.round(F.col(c), PLACES).alias(c) if types[c] == "double" else F.col(c) for c in names]
+        *[F.round(F.col(c) + SHIFT, PLACES).alias(c) if types[c] == "double" else F.col(c) for c in names]
     )
 
 
@@ -43,7 +45,7 @@ def tidy(df: DataFrame, *columns: str) -> DataFrame:
 
 
 def r(expr: str, alias: str | None = None) -> str:
-    out = f"CASE WHEN abs({expr}) < 5e-7 THEN 0e0 ELSE round({expr}, {PLACES}) END"
+    out = f"CASE WHEN abs({expr}) < 4e-7 THEN 0e0 ELSE round({expr} + 1e-10, {PLACES}) END"
     return f"{out} AS {alias}" if alias else f"({out})"
 
 

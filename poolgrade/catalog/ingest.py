@@ -32,8 +32,8 @@ MEASURE_NAMES = list(base_measures())
         + rounded([n for n in MEASURE_NAMES if n not in ("interceptions", "clearances", "duel_efficiency")])
         + ", "
         + rounded(["minutes_share"])
-        + ", round(interceptions_raw, 6) AS interceptions, round(clearances_raw, 6) AS clearances, "
-        "round(duel_efficiency_sheet, 6) AS duel_efficiency FROM meas"
+        + ", round(interceptions_raw + 1e-10, 6) AS interceptions, round(clearances_raw + 1e-10, 6) AS clearances, "
+        "round(duel_efficiency_sheet + 1e-10, 6) AS duel_efficiency FROM meas"
     ),
 )
 def _(spark, folder):
@@ -44,7 +44,7 @@ def _(spark, folder):
 @query(
     "p2_minutes_share",
     "P2 F1 F3",
-    with_base(select="SELECT player_id, family, minutes, round(minutes_share, 6) AS minutes_share FROM pool"),
+    with_base(select="SELECT player_id, family, minutes, round(minutes_share + 1e-10, 6) AS minutes_share FROM pool"),
 )
 def _(spark, folder):
     df = eligible(outfield(with_minutes_share(sheet(spark, folder))))
@@ -58,10 +58,10 @@ def _(spark, folder):
         "a AS (SELECT *, interception_won_p90 + total_clearance_p90 + duels_def * duels_def_rate + outfielder_block_p90 AS actions, "
         "duels_def * (1e0 - duels_def_rate) AS lost FROM meas)",
         "b AS (SELECT *, lost + greatest(0e0, fouls - 0.45e0 * lost) AS cost0, total_clearance_p90 + duels_air AS line FROM a)",
-        select="SELECT player_id, round(interceptions, 6) AS interceptions, round(clearances, 6) AS clearances, "
-        "round(duel_efficiency, 6) AS duel_efficiency, round(actions, 6) AS actions, "
-        "round(CASE WHEN actions <> 0 THEN cost0 / actions ELSE cost0 END, 6) AS cost, "
-        "round(CASE WHEN line <> 0 THEN (duels_def + interception_won_p90) / line ELSE 0e0 END, 6) AS style FROM b",
+        select="SELECT player_id, round(interceptions + 1e-10, 6) AS interceptions, round(clearances + 1e-10, 6) AS clearances, "
+        "round(duel_efficiency + 1e-10, 6) AS duel_efficiency, round(actions + 1e-10, 6) AS actions, "
+        "round(CASE WHEN actions <> 0 THEN cost0 / actions ELSE cost0 END + 1e-10, 6) AS cost, "
+        "round(CASE WHEN line <> 0 THEN (duels_def + interception_won_p90) / line ELSE 0e0 END + 1e-10, 6) AS style FROM b",
     ),
 )
 def _(spark, folder):
@@ -75,7 +75,7 @@ def _(spark, folder):
     "f2_study_rows",
     "F2 P9",
     with_base(
-        select="SELECT player_id, minutes, round(duels_def * (minutes / 90e0), 6) AS n_duels FROM meas "
+        select="SELECT player_id, minutes, round(duels_def * (minutes / 90e0) + 1e-10, 6) AS n_duels FROM meas "
         "WHERE minutes >= 400 AND minutes_share > 0.2e0 AND foot_raw IS NOT NULL"
     ),
 )
@@ -167,10 +167,10 @@ def _(spark, folder):
    CAST(sum(interception_won) AS BIGINT) AS interception_won, CAST(sum(total_clearance) AS BIGINT) AS total_clearance,
    CAST(sum(outfielder_block) AS BIGINT) AS outfielder_block, CAST(sum(ball_recovery) AS BIGINT) AS ball_recovery
    FROM feed GROUP BY ALL)
- SELECT agg.*, primary_team, round(interception_won / CAST(minutes_played AS DOUBLE) * 90e0, 6) AS interception_won_p90,
-  round(total_clearance / CAST(minutes_played AS DOUBLE) * 90e0, 6) AS total_clearance_p90,
-  round(outfielder_block / CAST(minutes_played AS DOUBLE) * 90e0, 6) AS outfielder_block_p90,
-  round(ball_recovery / CAST(minutes_played AS DOUBLE) * 90e0, 6) AS ball_recovery_p90
+ SELECT agg.*, primary_team, round(interception_won / CAST(minutes_played AS DOUBLE) * 90e0 + 1e-10, 6) AS interception_won_p90,
+  round(total_clearance / CAST(minutes_played AS DOUBLE) * 90e0 + 1e-10, 6) AS total_clearance_p90,
+  round(outfielder_block / CAST(minutes_played AS DOUBLE) * 90e0 + 1e-10, 6) AS outfielder_block_p90,
+  round(ball_recovery / CAST(minutes_played AS DOUBLE) * 90e0 + 1e-10, 6) AS ball_recovery_p90
  FROM agg JOIN main USING (player_id)""",
 )
 def _(spark, folder):
@@ -180,7 +180,7 @@ def _(spark, folder):
 @query(
     "s6_stored_documents",
     "S6 U1",
-    "SELECT 'F' || c_mktsegment AS position_family, count(*) AS players, round(max(c_acctbal), 6) AS best "
+    "SELECT 'F' || c_mktsegment AS position_family, count(*) AS players, round(max(c_acctbal) + 1e-10, 6) AS best "
     "FROM customer WHERE c_mktsegment = 'BUILDING' GROUP BY ALL",
 )
 def _(spark, folder):

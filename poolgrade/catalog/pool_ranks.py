@@ -62,7 +62,7 @@ def _(spark, folder):
     with_base(
         "d AS (SELECT *, rank() OVER (PARTITION BY family ORDER BY fouls DESC) AS rk FROM pool)",
         select="SELECT player_id, round(CASE WHEN max(rk) OVER (PARTITION BY family) <= 1 THEN 100e0 ELSE (rk - 1) / "
-        "CAST(max(rk) OVER (PARTITION BY family) - 1 AS DOUBLE) * 100e0 END, 6) AS foul_pct FROM d",
+        "CAST(max(rk) OVER (PARTITION BY family) - 1 AS DOUBLE) * 100e0 END + 1e-10, 6) AS foul_pct FROM d",
     ),
 )
 def _(spark, folder):
@@ -76,7 +76,7 @@ def _(spark, folder):
     with_base(
         "d AS (SELECT *, rank() OVER (PARTITION BY family ORDER BY assists DESC) AS place, count(*) OVER (PARTITION BY family) AS n FROM pool)",
         select="SELECT player_id, CAST(place AS BIGINT) AS place, round(CASE WHEN n <= 1 THEN 100e0 ELSE "
-        "100e0 * (n - place) / (n - 1) END, 6) AS norm FROM d",
+        "100e0 * (n - place) / (n - 1) END + 1e-10, 6) AS norm FROM d",
     ),
 )
 def _(spark, folder):
@@ -92,8 +92,8 @@ def _(spark, folder):
         """d AS (SELECT *, rank() OVER (PARTITION BY family ORDER BY xa) - 1 AS below,
           count(*) OVER (PARTITION BY family ORDER BY xa RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS upto,
           count(*) OVER (PARTITION BY family) AS n FROM pool)""",
-        select="SELECT player_id, round(50e0 * (below + upto) / n, 6) AS pos_pct, "
-        "round(5e0 + ((below + 1 + upto) / 2e0 / n) * 4.5e0, 6) AS band, round(upto / CAST(n AS DOUBLE), 6) AS ecdf FROM d",
+        select="SELECT player_id, round(50e0 * (below + upto) / n + 1e-10, 6) AS pos_pct, "
+        "round(5e0 + ((below + 1 + upto) / 2e0 / n) * 4.5e0 + 1e-10, 6) AS band, round(upto / CAST(n AS DOUBLE) + 1e-10, 6) AS ecdf FROM d",
     ),
 )
 def _(spark, folder):
@@ -136,7 +136,7 @@ def _(spark, folder):
         select="""SELECT player_id, CASE WHEN place / CAST(n AS DOUBLE) <= 0.1e0 THEN 'gold' WHEN place / CAST(n AS DOUBLE) <= 0.25e0 THEN 'silver'
           WHEN place / CAST(n AS DOUBLE) <= 0.4e0 THEN 'bronze' END AS medal,
           CAST(greatest(1, 100 - floor((n - place) / CAST(n AS DOUBLE) * 100e0 + 0.5e0)) AS BIGINT) AS top_percent,
-          round(greatest(0e0, least(100e0, (n - place) / CAST(n AS DOUBLE) * 100e0)), 6) AS rank_pct FROM d""",
+          round(greatest(0e0, least(100e0, (n - place) / CAST(n AS DOUBLE) * 100e0)) + 1e-10, 6) AS rank_pct FROM d""",
     ),
 )
 def _(spark, folder):

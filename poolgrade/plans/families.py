@@ -158,3 +158,24 @@ def rate_families(df: DataFrame, families: Sequence[str] = config.GENERIC_FAMILI
     places = {"rank_geral": ("rating_geral", "rank")}
     places |= {f"rank_{i + 1}": (f"rating_{i + 1}", "rank") for i in range(slots)}
     return rank_columns(rated, FAMILY, "player_id", places)
+
+
+def rate_plainly(df: DataFrame) -> DataFrame:
+    """General rating pulled by minutes confidence, with three side ratings derived from it."""
+    from .common import confident
+
+    wanted = {n: (e, "dense") for n, e in OVERALL.items()} | {"minutes_pool_pct": ("minutes", "dense")}
+    ranked = rank_columns(df, FAMILY, "player_id", wanted)
+    base = F.lit(5.0) + overall_mix() * F.lit(0.045) * exposure_gain(C("minutes_share")) * F.lit(0.83)
+    rated = settle(
+        ranked.withColumn("rating_geral", steady(confident(base, C("minutes_pool_pct")))).withColumns(
+            {
+                "rating_combativo": C("rating_geral") * 0.98,
+                "rating_construtor": C("rating_geral") * 1.02,
+                "rating_posicional": C("rating_geral") * 0.99,
+            }
+        ),
+        "plain",
+    )
+    keys = ("geral", "combativo", "construtor", "posicional")
+    return rank_columns(rated, FAMILY, "player_id", {f"rank_{k}": (f"rating_{k}", "rank") for k in keys})
