@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from .. import config
 from ..functions.scalar import clamp, steady
-from .ranks import quantiles, value_ranks
+from . import ranks
 
 
 def _col(value: str | Column) -> Column:
@@ -43,8 +43,7 @@ def exact_quantiles(
     df: DataFrame, pool: Sequence[str], values: Mapping[str, str | Column], points: Mapping[str, float]
 ) -> DataFrame:
     """One row per pool and metric with the wanted quantiles."""
-    keys = [*pool, "metric"]
-    return quantiles(value_ranks(long_form(df, pool, values), keys), keys, points)
+    return ranks.exact_quantiles(long_form(df, pool, values), [*pool, "metric"], points)
 
 
 def medians(df: DataFrame, pool: Sequence[str], values: Mapping[str, str | Column]) -> DataFrame:

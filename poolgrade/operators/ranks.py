@@ -12,7 +12,9 @@ below it, which splits well:
 4. bring the result back to the rows. Values that hold a large share of a pool travel as a small
    broadcast, all others through a shuffled join.
 
-Everything is lazy and exact; ties, dense ranks and quantiles come from the same table.
+The values to rank are written once and counted while they are written. Up to ``WINDOW_ROWS``
+values one plain window per pool does the same job with fewer stages; both ways give the same
+numbers and the tests run both.
 """
 
 from __future__ import annotations
@@ -23,11 +25,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..session import settle
+from ..session import settle, settle_counted
 
 CUTS_PER_POOL = 255
 """Cut points per pool: the cut and offset tables hold at most pools x 256 rows."""
 
+WINDOW_ROWS = 2_000_000
+"""Largest number of values, over all pools and metrics, that plain windows may rank."""
+
 HOT_VALUES_PER_POOL = 64
 """A value is hot when it holds more than 1/64 of its pool, so a pool has fewer than 64 of them."""
 
@@ -189,38 +194,74 @@ KINDS = {
 }
 
 
+def _window_positions(rows: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
+    """The columns of `value_ranks` for every row, by plain windows; nulls get no position."""
+    known = F.col(value).isNotNull()
+    pool = Window.partitionBy(*keys, known)
+    ordered = pool.orderBy(value)
+    peers = ordered.rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    whole = ordered.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    cells = {
+        "below": F.rank().over(ordered).cast("bigint") - 1,
+        "upto": F.count(F.lit(1)).over(peers),
+        "dense": F.dense_rank().over(ordered).cast("bigint"),
+        "n": F.count(F.lit(1)).over(whole),
+    }
+    out = rows.withColumns({k: F.when(known, e) for k, e in cells.items()})
+    return out.withColumn("n_dense", F.max("dense").over(whole))
+
+
+def _positions_to_rows(
+    rows: DataFrame, count: int, keys: Sequence[str], value: str, spread: str, payload: Mapping[str, Column], low: bool
+) -> DataFrame:
+    """Rank payload for every row of a settled frame, by windows or by the distributed table."""
+    if count <= WINDOW_ROWS:
+        placed = _window_positions(rows, keys, value)
+        if low:
+            first = F.min("upto").over(Window.partitionBy(*keys, F.col(value).isNotNull()))
+            placed = placed.withColumn("lowest_upto", first)
+        return placed.select(*rows.columns, *[F.when(F.col(value).isNotNull(), e).alias(n) for n, e in payload.items()])
+    ranks = settle(value_ranks(rows, keys, value), "ranks")
+    if low:
+        ranks = with_lowest(ranks, keys)
+    return attach_ranks(rows, ranks, keys, value, spread, payload)
+
+
 def rank_columns(
     df: DataFrame, pool: Sequence[str], id_col: str, wanted: Mapping[str, tuple[str | Column, str]]
 ) -> DataFrame:
     """Add one column per entry of ``wanted``: output name -> (value, kind of rank).
 
     All columns are ranked together in long form, so twenty percentiles cost the same number of
-    shuffles as one. ``df`` is read more than once: pass a source scan or a settled frame.
+    shuffles as one.
     """
     pool = list(pool)
-    sources: dict[str, Column] = {}
+    sources: dict[str, str | Column] = {}
     slot_of: dict[str, str] = {}
     for out, (value, _) in wanted.items():
-        expr = F.col(value) if isinstance(value, str) else value
-        signature = value if isinstance(value, str) else str(expr)
-        slot_of[out] = slot_of.get("#" + signature) or out
-        slot_of["#" + signature] = slot_of[out]
-        sources.setdefault(slot_of[out], expr)
+        if isinstance(value, str):
+            slot = next((s for s, e in sources.items() if isinstance(e, str) and e == value), out)
+            sources.setdefault(slot, value)
+            slot_of[out] = slot
+        else:
+            sources[out] = value
+            slot_of[out] = out
     kinds = sorted({kind for _, kind in wanted.values()})
-    entries = [F.struct(F.lit(s).alias("metric"), e.cast("double").alias("value")) for s, e in sources.items()]
+    entries = [
+        F.struct(F.lit(s).alias("metric"), (F.col(e) if isinstance(e, str) else e).cast("double").alias("value"))
+        for s, e in sources.items()
+    ]
     long = df.select(*pool, id_col, F.explode(F.array(*entries)).alias("_e")).select(
         *pool, id_col, "_e.metric", "_e.value"
     )
-    keys = [*pool, "metric"]
-    ranks = value_ranks(long, keys)
-    if "reversed" in kinds:
-        ranks = with_lowest(ranks, keys)
-    got = attach_ranks(long, ranks, keys, "value", id_col, {k: KINDS[k]() for k in kinds})
+    long, count = settle_counted(long, "values")
+    got = _positions_to_rows(
+        long, count, [*pool, "metric"], "value", id_col, {k: KINDS[k]() for k in kinds}, "reversed" in kinds
+    )
     cells = [
         F.max(F.when(F.col("metric") == slot_of[out], F.col(kind))).alias(out) for out, (_, kind) in wanted.items()
     ]
-    wide = got.groupBy(id_col).agg(*cells)
-    return df.join(wide, id_col)
+    return df.join(got.groupBy(id_col).agg(*cells), id_col)
 
 
 def rank_settled(
@@ -232,16 +273,27 @@ def rank_settled(
 
 def ordinal(df: DataFrame, pool: Sequence[str], order: Sequence[Column], id_col: str, out: str = "rank") -> DataFrame:
     """Sequential 1..n in the given order inside each pool; ``order`` must make rows distinct."""
-    pool = list(pool)
-    key = F.struct(*[o.alias(f"o{i}") for i, o in enumerate(order)])
-    keyed = df.withColumn("_order", key)
-    if not pool:
-        keyed = keyed.withColumn("_all", F.lit(0))
-    keys = pool or ["_all"]
-    ranks = value_ranks(keyed.select(*keys, "_order"), keys, "_order")
-    return attach_ranks(keyed, ranks, keys, "_order", id_col, {out: F.col("upto").cast("bigint")}).drop(
-        "_order", "_all"
+    keys = list(pool) or ["_all"]
+    keyed = df.select(
+        *(pool or [F.lit(0).alias("_all")]), id_col, F.struct(*[o.alias(f"o{i}") for i, o in enumerate(order)]).alias("_o")
     )
+    keyed, count = settle_counted(keyed, "order")
+    if count <= WINDOW_ROWS:
+        got = keyed.select(id_col, F.row_number().over(Window.partitionBy(*keys).orderBy("_o")).alias(out))
+    else:
+        ranks = settle(value_ranks(keyed, keys, "_o"), "ranks")
+        got = attach_ranks(keyed, ranks, keys, "_o", id_col, {out: F.col("upto")}).select(id_col, out)
+    return df.join(got.withColumn(out, F.col(out).cast("bigint")), id_col)
+
+
+def exact_quantiles(
+    rows: DataFrame, keys: Sequence[str], points: Mapping[str, float], value: str = "value"
+) -> DataFrame:
+    """Exact quantiles with linear interpolation, one row per pool."""
+    rows, count = settle_counted(rows.select(*keys, value), "values")
+    if count <= WINDOW_ROWS:
+        return rows.groupBy(*keys).agg(*[F.percentile(value, q).alias(n) for n, q in points.items()])
+    return quantiles(value_ranks(rows, keys, value), keys, points, value)
 
 
 def quantiles(ranks: DataFrame, keys: Sequence[str], points: Mapping[str, float], value: str = "value") -> DataFrame:

@@ -6,7 +6,8 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 DEFAULTS = {
     "spark.sql.session.timeZone": "UTC",
@@ -15,6 +16,7 @@ DEFAULTS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.ui.enabled": "false",
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
 }
 
@@ -49,7 +51,13 @@ def settle(df: DataFrame, name: str = "stage") -> DataFrame:
     A frame that feeds several aggregates and joins is computed once this way. The copy survives
     executor loss, keeps column pruning, and gives the optimiser real sizes to plan joins with.
     """
+    return settle_counted(df, name)[0]
+
+
+def settle_counted(df: DataFrame, name: str = "stage") -> tuple[DataFrame, int]:
+    """`settle`, and the number of rows, observed while writing."""
     spark = df.sparkSession
     path = os.path.join(scratch_dir(spark), "poolgrade", f"{name}-{uuid.uuid4().hex}")
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    seen = Observation()
+    df.observe(seen, F.count(F.lit(1)).alias("rows")).write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path), seen.get["rows"]

@@ -9,7 +9,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.scalar import guarded
 from ..operators.identity import with_identity
 
 C = F.col
@@ -19,97 +18,98 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-def _count(test: Column) -> Column:
-    return F.sum(F.when(test, 1).otherwise(0)).cast("bigint")
+KEPT, OPEN = "l_returnflag <> 'R'", "l_linestatus = 'O'"
+ACCEPTED, DEEP_DISCOUNT = "l_returnflag = 'A'", "l_discount > 0.055D"
+TALLIES = {
+    "n": "count(*)",
+    "minutes": f"cast(sum(if({OPEN}, 0D, l_quantity)) AS bigint)",
+    "o": f"count_if({OPEN})",
+    "ow": f"count_if({OPEN} AND {KEPT})",
+    "r": f"count_if(NOT {KEPT})",
+    "fr": f"count_if(NOT {OPEN} AND NOT {KEPT})",
+    "a": f"count_if({ACCEPTED})",
+    "af": f"count_if({ACCEPTED} AND NOT {OPEN})",
+    "ad": f"count_if({ACCEPTED} AND {DEEP_DISCOUNT})",
+    "d": f"count_if({DEEP_DISCOUNT})",
+    "t": "count_if(l_tax > 0.045D)",
+    "z": "count_if(l_tax < 0.005D)",
+    "q": "count_if(l_quantity >= 26)",
+}
+for _i in range(1, 8):
+    TALLIES[f"k{_i}"] = f"count_if(l_linenumber = {_i})"
+    TALLIES[f"w{_i}"] = f"count_if(l_linenumber = {_i} AND {KEPT})"
+
+# Sheet values. A per-90 rate is 90 * count / minutes, a percentage 100 * part / whole.
+PER90 = {
+    "passes": "n",
+    "passes_prog": "k1 + k2",
+    "passes_long": "k3",
+    "passes_final": "k2 + k4",
+    "passes_key": "k5",
+    "passes_deep": "k6",
+    "passes_fwd": "k1 + k3 + k5",
+    "passes_smart": "k7",
+    "passes_box": "k4 + k5",
+    "passes_lat": "k6 + k7",
+    "passes_recv": "n - o",
+    "passes_long_recv": "d",
+    "passes_deep_recv": "t",
+    "crosses": "k7 + k3",
+    "duels_def": "o",
+    "duels_air": "k5 + k6",
+    "interceptions_raw": "q",
+    "clearances_raw": "r",
+    "def_actions": "n - r",
+    "shots_blocked": "fr",
+    "fouls": "z",
+    "duels_off": "k1 + k7 + d",
+    "dribbles": "k1",
+    "accels": "k2",
+    "runs_prog": "k2 + t",
+    "shots": "a",
+    "touches_box": "a + k7",
+    "fouls_won": "z + k3",
+    "goals90": "ad",
+    "att_actions": "w1 + w7",
+    "interception_won_p90": "k2 + w7",
+    "total_clearance_p90": "r + k6",
+    "outfielder_block_p90": "fr + w6",
+    "ball_recovery_p90": "w3",
+}
+PERCENT = {
+    "passes_pct": ("n - r", "n"),
+    "passes_prog_pct": ("w1 + w2", "k1 + k2"),
+    "passes_long_pct": ("w3", "k3"),
+    "passes_final_pct": ("w2 + w4", "k2 + k4"),
+    "passes_deep_pct": ("w6", "k6"),
+    "passes_box_pct": ("w4 + w5", "k4 + k5"),
+    "crosses_pct": ("w7 + w3", "k7 + k3"),
+    "duels_def_pct": ("ow", "o"),
+    "duels_air_pct": ("w5 + w6", "k5 + k6"),
+    "duels_off_pct": ("w1 + w7", "k1 + k7 + d"),
+    "dribbles_pct": ("w1", "k1"),
+    "shots_pct": ("af", "a"),
+}
 
 
 def tallies(lines: DataFrame, *keys: str) -> DataFrame:
     """Integer totals per key; one pass, combined before the shuffle."""
-    kept, opened = C("l_returnflag") != "R", C("l_linestatus") == "O"
-    big_discount = C("l_discount") > 0.055
-    cells = {
-        "n": F.count(F.lit(1)),
-        "minutes": F.sum(F.when(~opened, C("l_quantity")).otherwise(0.0)).cast("bigint"),
-        "o": _count(opened),
-        "ow": _count(opened & kept),
-        "r": _count(~kept),
-        "fr": _count(~opened & ~kept),
-        "a": _count(C("l_returnflag") == "A"),
-        "af": _count((C("l_returnflag") == "A") & ~opened),
-        "ad": _count((C("l_returnflag") == "A") & big_discount),
-        "d": _count(big_discount),
-        "t": _count(C("l_tax") > 0.045),
-        "z": _count(C("l_tax") < 0.005),
-        "q": _count(C("l_quantity") >= 26),
-    }
-    for i in range(1, 8):
-        cells[f"k{i}"] = _count(C("l_linenumber") == i)
-        cells[f"w{i}"] = _count((C("l_linenumber") == i) & kept)
-    return lines.groupBy(*keys).agg(*[e.alias(n) for n, e in cells.items()])
-
-
-def sheet_columns() -> dict[str, Column]:
-    """Stat-sheet values from the totals: per-90 rates, percentages and season totals."""
-    c = C
+    return lines.groupBy(*keys).agg(*[F.expr(text).alias(name) for name, text in TALLIES.items()])
 
-    def p90(count: Column) -> Column:
-        return guarded(count * F.lit(90.0), c("minutes"))
 
-    def pct(part: Column, whole: Column) -> Column:
-        return guarded(part * F.lit(100.0), whole)
-
-    return {
-        "goals": c("ad").cast("double"),
-        "assists": c("w4").cast("double"),
-        "xa": c("k5") * F.lit(0.125),
-        "passes": p90(c("n")),
-        "passes_prog": p90(c("k1") + c("k2")),
-        "passes_long": p90(c("k3")),
-        "passes_final": p90(c("k2") + c("k4")),
-        "passes_key": p90(c("k5")),
-        "passes_deep": p90(c("k6")),
-        "passes_fwd": p90(c("k1") + c("k3") + c("k5")),
-        "passes_smart": p90(c("k7")),
-        "passes_box": p90(c("k4") + c("k5")),
-        "passes_lat": p90(c("k6") + c("k7")),
-        "passes_recv": p90(c("n") - c("o")),
-        "passes_long_recv": p90(c("d")),
-        "passes_deep_recv": p90(c("t")),
-        "crosses": p90(c("k7") + c("k3")),
-        "passes_pct": pct(c("n") - c("r"), c("n")),
-        "passes_prog_pct": pct(c("w1") + c("w2"), c("k1") + c("k2")),
-        "passes_long_pct": pct(c("w3"), c("k3")),
-        "passes_final_pct": pct(c("w2") + c("w4"), c("k2") + c("k4")),
-        "passes_deep_pct": pct(c("w6"), c("k6")),
-        "passes_box_pct": pct(c("w4") + c("w5"), c("k4") + c("k5")),
-        "crosses_pct": pct(c("w7") + c("w3"), c("k7") + c("k3")),
-        "duels_def": p90(c("o")),
-        "duels_air": p90(c("k5") + c("k6")),
-        "interceptions_raw": p90(c("q")),
-        "clearances_raw": p90(c("r")),
-        "def_actions": p90(c("n") - c("r")),
-        "shots_blocked": p90(c("fr")),
-        "fouls": p90(c("z")),
-        "duels_def_pct": pct(c("ow"), c("o")),
-        "duels_air_pct": pct(c("w5") + c("w6"), c("k5") + c("k6")),
-        "duels_off": p90(c("k1") + c("k7") + c("d")),
-        "dribbles": p90(c("k1")),
-        "accels": p90(c("k2")),
-        "runs_prog": p90(c("k2") + c("t")),
-        "shots": p90(c("a")),
-        "touches_box": p90(c("a") + c("k7")),
-        "fouls_won": p90(c("z") + c("k3")),
-        "goals90": p90(c("ad")),
-        "xg90": p90(c("k4")) * F.lit(0.25),
-        "att_actions": p90(c("w1") + c("w7")),
-        "duels_off_pct": pct(c("w1") + c("w7"), c("k1") + c("k7") + c("d")),
-        "dribbles_pct": pct(c("w1"), c("k1")),
-        "shots_pct": pct(c("af"), c("a")),
-        "interception_won_p90": p90(c("k2") + c("w7")),
-        "total_clearance_p90": p90(c("r") + c("k6")),
-        "outfielder_block_p90": p90(c("fr") + c("w6")),
-        "ball_recovery_p90": p90(c("w3")),
-    }
+def sheet_columns() -> list[str]:
+    """Stat-sheet values from the totals, as select expressions."""
+    rates = [f"if(minutes <> 0, ({count}) * 90D / minutes, 0D) AS {name}" for name, count in PER90.items()]
+    shares = [
+        f"if(({whole}) <> 0, ({part}) * 100D / ({whole}), 0D) AS {name}" for name, (part, whole) in PERCENT.items()
+    ]
+    totals = [
+        "cast(ad AS double) AS goals",
+        "cast(w4 AS double) AS assists",
+        "k5 * 0.125D AS xa",
+        "if(minutes <> 0, k4 * 90D / minutes, 0D) * 0.25D AS xg90",
+    ]
+    return totals + rates + shares
 
 
 def position_code() -> Column:
@@ -154,7 +154,7 @@ def part_sheet(spark: SparkSession, folder: str) -> DataFrame:
         "p_partkey",
         *part_people(),
         C("minutes").cast("int").alias("minutes"),
-        *[e.alias(n) for n, e in sheet_columns().items()],
+        *map(F.expr, sheet_columns()),
     )
     return with_identity(wide, "p_partkey")
 
@@ -174,7 +174,7 @@ def season_sheet(spark: SparkSession, folder: str) -> DataFrame:
         "league",
         *part_people(),
         C("minutes").cast("int").alias("minutes"),
-        *[e.alias(n) for n, e in sheet_columns().items()],
+        *map(F.expr, sheet_columns()),
     )
     return with_identity(wide, "p_partkey")
 
