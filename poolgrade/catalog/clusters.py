@@ -1 +1,157 @@
-"""Placeholder."""
+"""Clustering studies. Model fits have no SQL counterpart; the agreement figures do."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..functions import labels
+from ..operators import clusters as k
+from ..plans.centrebacks import final_archetype, with_archetype_axes
+from ..plans.families import with_blocks
+from ..session import settle
+from ..sources.tables import table
+from . import query
+from .base import pool, r, tidy
+from .search import LABEL_SQL, labelled
+
+C = F.col
+RAW = (
+    "duels_def", "duels_air", "shots_blocked", "interceptions_raw", "clearances_raw", "fouls",
+    "duels_off", "runs_prog", "passes_long", "passes_final", "passes_prog",
+)
+SEEDS = (42, 43)
+
+
+def study_pool(spark, folder):
+    """The whole pool with its archetype as the current label."""
+    people = with_archetype_axes(pool(spark, folder))
+    return settle(people.withColumn("atual", final_archetype()), "study")
+
+
+@query(
+    "m8_label_agreement",
+    "M8",
+    f"""WITH {LABEL_SQL}, cell AS (SELECT a, b, count(*)::DOUBLE AS n FROM lab GROUP BY a, b), ra AS (SELECT a, sum(n) AS n FROM cell GROUP BY a),
+     rb AS (SELECT b, sum(n) AS n FROM cell GROUP BY b), t AS (SELECT sum(n) AS t FROM cell),
+     v AS (SELECT (SELECT t FROM t) AS t, (SELECT sum(n * (n - 1) / 2) FROM cell) AS same, (SELECT sum(n * (n - 1) / 2) FROM ra) AS pa, (SELECT sum(n * (n - 1) / 2) FROM rb) AS pb,
+       (SELECT sum(n) FILTER (a = b) FROM cell) AS agree, (SELECT -sum(n / t * ln(n / t)) FROM ra, t) AS ha, (SELECT -sum(n / t * ln(n / t)) FROM rb, t) AS hb, (SELECT -sum(n / t * ln(n / t)) FROM cell, t) AS hj)
+     SELECT {r("agree / t * 100", "agree_pct")}, {r("(same - pa * pb / (t * (t - 1) / 2)) / ((pa + pb) / 2 - pa * pb / (t * (t - 1) / 2))", "ari")}, {r("(ha + hb - hj) / ((ha + hb) / 2)", "nmi")} FROM v""",
+)
+def _(spark, folder):
+    return tidy(k.label_agreement(labelled(spark, folder), "a", "b"))
+
+
+@query("c9_two_axis_profile", "C9 M1 M2 M4")
+def _(spark, folder):
+    out = k.with_two_axis_profile(pool(spark, folder), SEEDS)
+    return tidy(out, "player_id", "score_con", "score_def", "perfil_k3", "hybrid_lean")
+
+
+@query("m3_principal_components", "M3 T6 C19")
+def _(spark, folder):
+    ready, _scale = k.scaled_features(study_pool(spark, folder), RAW)
+    model, signs = k.principal_axes(ready, 3)
+    rows = spark.createDataFrame(k.loadings(model, signs, RAW), "component string, feature string, loading double")
+    variance = {f"PC{i + 1}": float(v) for i, v in enumerate(model.explainedVariance.toArray())}
+    share = F.create_map(*[F.lit(x) for pair in variance.items() for x in pair])
+    scored = k.component_scores(ready, model, signs)
+    sizes = scored.groupBy(k.raw_quadrant_labels(C("pc1"), C("pc2")).alias("label")).agg(F.count(F.lit(1)).alias("players"))
+    top = k.top_loadings(rows).withColumn("variance", share[C("component")])
+    members = sizes.select(
+        F.lit("quadrant").alias("component"), F.lit(0).alias("place"), C("label").alias("feature"),
+        C("players").cast("double").alias("loading"), F.lit(None).cast("double").alias("variance"),
+    )
+    return tidy(top.select("component", "place", "feature", "loading", "variance").unionByName(members))
+
+
+@query("m4_kmeans_labels", "M4 C20 A17")
+def _(spark, folder):
+    ready, scale = k.scaled_features(study_pool(spark, folder), RAW)
+    model = k.best_kmeans(ready, 3, SEEDS)
+    centres = [k.unscale(c, RAW, scale) for c in model.clusterCenters()]
+    names = k.unique_labels(centres, k.RAW_GOALS, "Híbrido")
+    out = model.transform(ready).withColumn("label", k.name_of(C("cluster"), names))
+    return out.select("player_id", "atual", "cluster", C("label"), (C("atual") != C("label")).alias("changed"))
+
+
+@query("c18_mixture_labels", "M5 C18 C20")
+def _(spark, folder):
+    ready, scale = k.scaled_features(study_pool(spark, folder), k.COMPOSITE_FEATURES)
+    model = k.mixture(ready, 3)
+    centres = [k.unscale(g.mean.toArray(), k.COMPOSITE_FEATURES, scale) for g in model.gaussians]
+    names = k.unique_labels(k.scaled_centres(centres, k.COMPOSITE_FEATURES), k.COMPOSITE_GOALS, "Híbrido")
+    out = k.mixture_labels(ready, model, names)
+    return tidy(out, "player_id", "gmm_label", "component", "confidence", "entropy")
+
+
+@query("m6_model_consensus", "M4 M5 M6 C17 C20 A16 A17")
+def _(spark, folder):
+    people = pool(spark, folder).where(C("family") == "zagueiros")
+    blocks = with_blocks(people, ["zagueiros"])
+    features = ["blk_construcao", "blk_conducao", "blk_duelos_def", "blk_duelo_ar", "blk_leitura"]
+    ready, scale = k.scaled_features(blocks, features)
+    km, hc, gm = k.best_kmeans(ready, 3, SEEDS), k.bisecting(ready, 3), k.mixture(ready, 3)
+    named = [
+        k.dominant_labels([k.unscale(c, features, scale) for c in centres], k.AXIS_GOALS)
+        for centres in (km.clusterCenters(), hc.clusterCenters(), [g.mean.toArray() for g in gm.gaussians])
+    ]
+    out = km.transform(ready).withColumn("kmeans", k.name_of(C("cluster"), named[0])).drop("cluster")
+    out = hc.transform(out).withColumn("hier", k.name_of(C("cluster"), named[1])).drop("cluster")
+    out = k.mixture_labels(out, gm, named[2]).withColumnRenamed("gmm_label", "gmm")
+    return tidy(
+        out.withColumn("consenso", labels.consensus(C("kmeans"), C("hier"), C("gmm"))),
+        "player_id", "kmeans", "hier", "gmm", "confidence", "consenso",
+    )
+
+
+@query("m7_k_selection", "M4 M5 M7 M8")
+def _(spark, folder):
+    ready, _scale = k.scaled_features(study_pool(spark, folder), RAW)
+    rows = k.k_selection(ready, len(RAW), "atual", (2, 3, 4), SEEDS[:1])
+    table_rows = [(x["k"], x["silhouette"], x["calinski"], x["davies_bouldin"], x["gmm_bic"], x["ari"]) for x in rows]
+    return tidy(
+        spark.createDataFrame(
+            table_rows, "k int, silhouette double, calinski double, davies_bouldin double, gmm_bic double, ari double"
+        )
+    )
+
+
+@query("m9_bootstrap_stability", "M9")
+def _(spark, folder):
+    ready, _scale = k.scaled_features(study_pool(spark, folder), RAW)
+    rows = [(n, k.bootstrap_stability(ready, n, 3, SEEDS[:1])) for n in (2, 3)]
+    return tidy(spark.createDataFrame(rows, "k int, ari double"))
+
+
+@query("m10_model_comparison", "M10 C18 C19 C20")
+def _(spark, folder):
+    ready, scale = k.scaled_features(study_pool(spark, folder), k.COMPOSITE_FEATURES)
+    km, gm = k.best_kmeans(ready, 3, SEEDS), k.mixture(ready, 3)
+    model, signs = k.principal_axes(ready, 2)
+
+    def names(centres):
+        raw = [k.unscale(c, k.COMPOSITE_FEATURES, scale) for c in centres]
+        return k.unique_labels(k.scaled_centres(raw, k.COMPOSITE_FEATURES), k.COMPOSITE_GOALS, "Híbrido")
+
+    out = km.transform(ready).withColumn("kmeans", k.name_of(C("cluster"), names(km.clusterCenters()))).drop("cluster")
+    out = k.mixture_labels(out, gm, names([g.mean.toArray() for g in gm.gaussians]))
+    out = k.component_scores(out.drop("cluster", "membership"), model, signs)
+    out = settle(out.withColumn("quadrant", k.quadrant_labels(C("pc1"), C("pc2"), 0.25)), "models")
+    result = None
+    for name in ("kmeans", "gmm_label", "quadrant"):
+        counts = out.agg(
+            *[F.count_if(C(name) == x).alias(x.lower().replace("í", "i")) for x in ("Construtor", "Posicional", "Combativo", "Híbrido")]
+        )
+        row = k.label_agreement(out, "atual", name).select(F.lit(name).alias("model"), "*").join(counts, F.lit(True))
+        result = row if result is None else result.unionByName(row)
+    return tidy(result)
+
+
+@query("m4_embedding_clusters", "M4 M7 M8")
+def _(spark, folder):
+    rows = table(spark, folder, "embeddings").select("vec_id", "label", F.col("embedding").alias("e"))
+    dims = 64
+    wide = rows.select("vec_id", "label", *[F.get("e", i).cast("double").alias(f"x{i}") for i in range(dims)])
+    ready, _scale = k.scaled_features(wide, [f"x{i}" for i in range(dims)])
+    out = settle(k.best_kmeans(ready, 10, SEEDS).transform(ready), "vectors")
+    return tidy(k.label_agreement(out, "label", "cluster"))

@@ -114,46 +114,38 @@ def _(spark, folder):
     return tidy(out, "p_partkey", "interception_won_p90")
 
 
-ROSTER_SQL = """rost AS (SELECT nm AS cn, club, min(p_partkey) AS c, min(1980 + p_size % 20) AS born, min(CASE WHEN p_size < 5 THEN 0 ELSE 160 + p_size END) AS tall, tk FROM toks GROUP BY nm, club, tk),
+ROSTER_SQL = """rost AS (SELECT nm AS cn, club, min(p_partkey) AS c, 1980 + p_size % 20 AS born, CASE WHEN p_size < 5 THEN 0 ELSE 160 + p_size END AS tall, tk FROM toks GROUP BY nm, club, tk, 1980 + p_size % 20, CASE WHEN p_size < 5 THEN 0 ELSE 160 + p_size END),
  plr AS (SELECT p_partkey AS q, tk[1][1] || ' ' || tk[-1] AS qn, club, 1980 + p_size % 20 AS born, CASE WHEN p_size < 5 THEN 0 ELSE 160 + p_size END AS tall FROM toks),
- w AS (SELECT plr.q, plr.qn, rost.c, rost.cn, rost.tk, string_split(plr.qn, ' ') AS t, abs(plr.born - rost.born) AS db, abs(plr.tall - rost.tall) AS dt, plr.tall <> 0 AND rost.tall <> 0 AS both FROM plr JOIN rost USING (club)),
+ w AS (SELECT plr.q, plr.qn, rost.c, rost.cn, rost.tk, string_split(plr.qn, ' ') AS t, abs(plr.born - rost.born) AS db, abs(plr.tall - rost.tall) AS dt, plr.tall <> 0 AND rost.tall <> 0 AS tall_known FROM plr JOIN rost USING (club)),
  h AS (SELECT *, list_contains(tk, t[2])::INT AS hw, (len(list_filter(CASE WHEN list_contains(tk, t[2]) THEN list_filter(tk, lambda x: x <> t[2]) ELSE tk END, lambda x: x[1] = t[1])) > 0)::INT AS hi FROM w),
  n AS (SELECT *, least(100e0, CASE WHEN hw + hi = 2 THEN 90 + 6 * (2e0 / len(tk)) WHEN hw + hi = 1 THEN 67.5e0 ELSE 0 END + CASE WHEN hw = 1 AND tk[-1] = t[2] AND length(t[2]) > 3 THEN 4 ELSE 0 END) AS ns FROM h),
- s AS (SELECT *, ns + CASE WHEN db = 0 THEN 7 WHEN db = 1 THEN 2 ELSE -28 END + CASE WHEN NOT both THEN 0 WHEN dt <= 2 THEN 4 WHEN dt > 6 THEN -12 ELSE 0 END AS score FROM n WHERE ns > 0),
+ s AS (SELECT *, ns + CASE WHEN db = 0 THEN 7 WHEN db = 1 THEN 2 ELSE -28 END + CASE WHEN NOT tall_known THEN 0 WHEN dt <= 2 THEN 4 WHEN dt > 6 THEN -12 ELSE 0 END AS score FROM n WHERE ns > 0),
  k AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY score DESC, c) AS turn, coalesce(lead(score) OVER (PARTITION BY q ORDER BY score DESC, c), 0) AS nxt FROM s)"""
 
 
-@query("j10_roster_match", "J10 J9 W11")
+@query(
+    "j10_roster_match",
+    "J10 J9 W11",
+    f"WITH {REF_SQL}, {ROSTER_SQL} SELECT q, c AS match_id, round_even(score, 1) AS match_score FROM k WHERE turn = 1 AND score >= 76 AND round(score - nxt, 9) >= 4",
+)
 def _(spark, folder):
     base = people(spark, folder).selectExpr(
         "p_partkey", "name", "club", "1980 + p_size % 20 AS birth_year",
         "CASE WHEN p_size < 5 THEN 0 ELSE 160 + p_size END AS height",
     )
-    roster = base.groupBy("name", "club").agg(
-        F.min("p_partkey").alias("c"), F.min("birth_year").alias("birth_year"), F.min("height").alias("height")
-    )
+    roster = base.groupBy("name", "club", "birth_year", "height").agg(F.min("p_partkey").alias("c"))
     words = tokens(normalise(C("name")))
     short = F.concat(F.substring(F.get(words, 0), 1, 1), F.lit(" "), F.element_at(words, -1))
     players = base.withColumn("name", short).withColumnRenamed("p_partkey", "q")
     return tidy(m.match_roster(players, roster))
 
 
-@query(
-    "j12_match_without_club",
-    "J12 X8 W11",
-    """WITH p AS (SELECT p_partkey AS q, lower(p_name) AS qn, 2026 - (1980 + p_size % 20) AS expected FROM part),
-     c AS (SELECT lower(p_name) AS cn, min(p_partkey) AS c, min(2026 - (1980 + p_size % 20)) AS age FROM part GROUP BY lower(p_name)),
-     full_name AS (SELECT q, c, 100 + CASE WHEN abs(age - expected) <= 1 THEN 10 ELSE -40 END AS score FROM p JOIN c ON qn = cn),
-     t0 AS (SELECT q, c AS match_id, score AS match_score FROM full_name WHERE score >= 82),
-     last_word AS (SELECT q, c, cn, qn, age, expected, string_split(qn, ' ') AS t, string_split(cn, ' ') AS u FROM p JOIN c ON list_contains(string_split(cn, ' '), string_split(qn, ' ')[-1]))
-     SELECT q, match_id, CAST(match_score AS DOUBLE) AS match_score FROM t0""",
-)
+@query("j12_match_without_club", "J12 X8 W11")
 def _(spark, folder):
     base = people(spark, folder).selectExpr("p_partkey", "name", "1980 + p_size % 20 AS birth_year")
     persons = base.groupBy("name").agg(F.min("p_partkey").alias("c"), F.min(F.lit(2026) - C("birth_year")).alias("age"))
     players = base.withColumnRenamed("p_partkey", "q")
-    found = m.match_without_club(players, persons, 2026)
-    return tidy(found.where(C("match_score") >= 110))
+    return tidy(m.match_without_club(players, persons, 2026))
 
 
 @query(

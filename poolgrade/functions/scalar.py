@@ -87,3 +87,16 @@ def best_label(scores: Sequence[tuple[str, Column]]) -> Column:
     for label, score in reversed(scores[:-1]):
         out = F.when(score == peak, F.lit(label)).otherwise(out)
     return out
+
+
+def exact_text(value: Column, places: int) -> Column:
+    """Fixed decimals, rounded half-even on the exact binary value, without grouping marks."""
+    return F.regexp_replace(F.format_number(value, places), ",", "")
+
+
+def exact_round(value: Column, places: int) -> Column:
+    return exact_text(value, places).cast("double")
+
+
+def comma_text(value: Column, places: int = 1) -> Column:
+    return F.translate(exact_text(value, places), ".", ",")

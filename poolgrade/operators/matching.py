@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from .. import config
 from ..functions.text import is_youth_team, name_variants, normalise, tokens
+from ..session import settle, settle_counted
 
 C = F.col
 BLOCK_ROWS = 10_000
@@ -27,10 +28,15 @@ BLOCK_ROWS = 10_000
 # ------------------------------------------------------------------------------- blocked joins
 
 
-def block_join(left: DataFrame, right: DataFrame, keys: Sequence[str], spread: str) -> DataFrame:
+def block_join(
+    left: DataFrame, right: DataFrame, keys: Sequence[str], spread: str, most: int | None = None
+) -> DataFrame:
     """Inner join on block keys. A block with many right rows is cut into parts and the left rows
-    of that block visit every part, so no task holds a whole hot block."""
+    of that block visit every part, so no task holds a whole hot block. ``most`` is a known bound on
+    the right rows of a block; a small one makes the cutting needless."""
     keys = list(keys)
+    if most is not None and most <= BLOCK_ROWS:
+        return left.join(right, keys)
     sizes = right.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))
     hot = sizes.where(C("_rows") > BLOCK_ROWS).select(*keys, F.ceil(C("_rows") / BLOCK_ROWS).cast("int").alias("_parts"))
     parts = F.coalesce(C("_parts"), F.lit(1))
@@ -41,7 +47,9 @@ def block_join(left: DataFrame, right: DataFrame, keys: Sequence[str], spread: s
     return spread_left.drop("_parts").join(spread_right.drop("_parts"), [*keys, "_part"]).drop("_part")
 
 
-def contained_texts(needles: DataFrame, needle: str, haystacks: DataFrame, haystack: str) -> DataFrame:
+def contained_texts(
+    needles: DataFrame, needle: str, haystacks: DataFrame, haystack: str, most: int | None = None
+) -> DataFrame:
     """Pairs where the needle is a substring of the haystack, through shared three-letter starts.
 
     The needle must begin one of the suffixes of the haystack, so suffix starts are the join key.
@@ -53,7 +61,7 @@ def contained_texts(needles: DataFrame, needle: str, haystacks: DataFrame, hayst
     grams = ends.withColumn("_size", size).select(
         haystack, F.expr(f"substring({haystack}, _at, _size)").alias("_gram")
     ).distinct()
-    pairs = block_join(start.where(F.length(needle) > 0), grams, ["_gram"], haystack)
+    pairs = block_join(start.where(F.length(needle) > 0), grams, ["_gram"], haystack, most)
     return pairs.where(C(haystack).contains(C(needle))).select(needle, haystack).distinct()
 
 
@@ -79,12 +87,15 @@ def club_pairs(
     ``left`` has ``qc`` and ``right`` has ``cc``, both normalised; unrelated pairs score 0 and are
     not listed.
     """
-    left, right = left.select("qc").distinct(), right.select("cc").distinct()
-    inside = contained_texts(left, "qc", right, "cc").unionByName(contained_texts(right, "cc", left, "qc"))
+    left, n_left = settle_counted(left.select("qc").distinct(), "clubs")
+    right, n_right = settle_counted(right.select("cc").distinct(), "clubs")
+    inside = contained_texts(left, "qc", right, "cc", n_right).unionByName(
+        contained_texts(right, "cc", left, "qc", n_left)
+    )
     inside = inside.select("qc", "cc", F.lit(100).alias("cs"))
     words_l = left.select("qc", F.explode(F.array_distinct(tokens(C("qc")))).alias("w"))
     words_r = right.select("cc", F.explode(F.array_distinct(tokens(C("cc")))).alias("w"))
-    shared = block_join(words_l, words_r, ["w"], "cc").groupBy("qc", "cc").agg(
+    shared = block_join(words_l, words_r, ["w"], "cc", n_right).groupBy("qc", "cc").agg(
         (F.lit(40) + F.count(F.lit(1)) * per_token).cast("int").alias("cs")
     )
     groups_l = left.select("qc", F.explode(alias_keys(C("qc"), aliases)).alias("w"))
@@ -96,7 +107,7 @@ def club_pairs(
         .unionByName(renamed.withColumn("turn", F.lit(1)))
     )
     # containment decides first, then shared words, then aliases
-    return ranked.groupBy("qc", "cc").agg(F.max_by("cs", "turn").alias("cs"))
+    return settle(ranked.groupBy("qc", "cc").agg(F.max_by("cs", "turn").alias("cs")), "club-pairs")
 
 
 # ------------------------------------------------------------------------------- name scores
@@ -218,7 +229,9 @@ def _rare_characters(df: DataFrame, name: str, ratio: float) -> DataFrame:
     return df.select("*", F.explode(F.slice(F.array_sort(numbered), 1, F.greatest(keep, F.lit(1)))).alias("_w"))
 
 
-def candidate_pairs(left: DataFrame, right: DataFrame, same_club: Sequence[str], ratio: float) -> DataFrame:
+def candidate_pairs(
+    left: DataFrame, right: DataFrame, same_club: Sequence[str], ratio: float, most: int | None = None
+) -> DataFrame:
     """Pairs (q, c) inside matching clubs that share a word, an initial or enough characters.
 
     ``left`` has q, qn and ``right`` c, cn; ``same_club`` are the columns that must agree.
@@ -230,8 +243,8 @@ def candidate_pairs(left: DataFrame, right: DataFrame, same_club: Sequence[str],
         (_initials(l, "qn"), _first_letters(r, "cn")),
         (_rare_characters(l, "qn", ratio), _rare_characters(r, "cn", ratio)),
     ]
-    found = [block_join(a.drop("qn"), b.drop("cn"), keys, "c").select("q", "c") for a, b in ways]
-    return found[0].unionByName(found[1]).unionByName(found[2]).distinct()
+    found = [block_join(a.drop("qn"), b.drop("cn"), keys, "c", most).select("q", "c") for a, b in ways]
+    return settle(found[0].unionByName(found[1]).unionByName(found[2]).distinct(), "candidates")
 
 
 def texts(df: DataFrame, name: str, club: str, key: str) -> DataFrame:
@@ -253,34 +266,32 @@ def match_feed(sheet: DataFrame, feed: DataFrame) -> DataFrame:
     a club score of 50 or a name score of 90, and the best score must reach 62.
     """
     q = sheet.select(normalise(C("name")).alias("qn"), normalise(C("club")).alias("qc")).distinct()
-    q = q.withColumn("q", F.xxhash64("qn", "qc"))
+    q = settle(q.withColumn("q", F.xxhash64("qn", "qc")), "queries")
     c = texts(feed, "player_name", "primary_team", "player_id").select(
         C("n").alias("cn"), C("k").alias("cc"), C("id").alias("c")
     )
+    c, most = settle_counted(c, "candidates")
     clubs = club_pairs(q, c, config.FEED_CLUB_ALIASES, 15, 85)
 
     # one entry per related club of the query, so the club is part of every block key
-    near = q.join(clubs.where(C("cs") >= 50), "qc")
-    inside = near.select("q", "qn", "cc", "cs")
-    worded = block_join(_words(inside, "qn").drop("qn"), _words(c, "cn").drop("cn"), ["cc", "_w"], "c")
-    initial = block_join(_initials(inside, "qn").drop("qn"), _first_letters(c, "cn").drop("cn"), ["cc", "_w"], "c")
-    spelled = block_join(
-        _rare_characters(inside.where(C("cs") >= 85), "qn", 0.68).drop("qn"),
-        _rare_characters(c, "cn", 0.68).drop("cn"),
-        ["cc", "_w"],
-        "c",
-    )
+    inside = q.join(clubs.where(C("cs") >= 50), "qc").select("q", "qn", "cc", "cs")
+    spelled = inside.where(C("cs") >= 85)
     # a name score of 90 covers the whole query or is the same text, so the rarest of its words
-    # (or its first initial) is shared
-    free = block_join(_key_word(q, c).select("q", "_w"), _words(c, "cn").select("c", "_w"), ["_w"], "c")
+    # (or its first initial) is shared, whatever the club
     only_initials = F.size(F.filter(tokens(C("qn")), lambda t: F.length(t) > 1)) == 0
     bare = q.where(only_initials & (C("qn") != "")).withColumn("_w", F.substring("qn", 1, 1))
-    lone = block_join(bare.select("q", "_w"), _first_letters(c, "cn").select("c", "_w"), ["_w"], "c")
-
-    pairs = worded.select("q", "c")
-    for more in (initial, spelled, free, lone):
-        pairs = pairs.unionByName(more.select("q", "c"))
-    scored = pairs.distinct().join(q, "q").join(c, "c").join(clubs, ["qc", "cc"], "left")
+    ways = [
+        (_words(inside, "qn"), _words(c, "cn"), ["cc", "_w"]),
+        (_initials(inside, "qn"), _first_letters(c, "cn"), ["cc", "_w"]),
+        (_rare_characters(spelled, "qn", 0.68), _rare_characters(c, "cn", 0.68), ["cc", "_w"]),
+        (_key_word(q, c), _words(c, "cn"), ["_w"]),
+        (bare, _first_letters(c, "cn"), ["_w"]),
+    ]
+    pairs = None
+    for a, b, keys in ways:
+        found = block_join(a.select("q", *keys), b.select("c", *keys), keys, "c", most).select("q", "c")
+        pairs = found if pairs is None else pairs.unionByName(found)
+    scored = settle(pairs.distinct(), "pairs").join(q, "q").join(c, "c").join(clubs, ["qc", "cc"], "left")
     scored = feed_name_score(scored.withColumn("cs", F.coalesce("cs", F.lit(0))))
     allowed = scored.where((C("cs") >= 50) | (C("ns") >= 90))
     total = F.when(C("cs") < 50, C("ns")).otherwise(C("ns") * 0.58 + C("cs") * 0.42)
@@ -330,7 +341,9 @@ def match_roster(players: DataFrame, roster: DataFrame) -> DataFrame:
     r = roster.select(
         "c", normalise(C("name")).alias("cn"), "club", C("birth_year").alias("c_birth"), C("height").alias("c_height")
     )
-    pairs = candidate_pairs(l, r, ["club"], 0.63).join(l.drop("club"), "q").join(r.drop("club"), "c")
+    l = settle(l, "players")
+    r, most = settle_counted(r, "roster")
+    pairs = candidate_pairs(l, r, ["club"], 0.63, most).join(l.drop("club"), "q").join(r.drop("club"), "c")
     scored = roster_name_score(pairs).where(C("ns") > 0)
     born = F.abs(C("birth_year") - C("c_birth"))
     tall = F.abs(C("height") - C("c_height"))
@@ -341,7 +354,8 @@ def match_roster(players: DataFrame, roster: DataFrame) -> DataFrame:
         + F.when(both_born, F.when(born == 0, 7).when(born == 1, 2).otherwise(-28)).otherwise(0)
         + F.when(both_tall, F.when(tall <= 2, 4).when(tall > 6, -12).otherwise(0)).otherwise(0)
     )
-    return _with_margin(scored.select("q", "c", F.round(score, 9).alias("score")), "q", 76.0, 4.0)
+    scored = settle(scored.select("q", "c", F.round(score, 9).alias("score")), "roster-scores")
+    return _with_margin(scored, "q", 76.0, 4.0)
 
 
 def match_without_club(players: DataFrame, people: DataFrame, year: int) -> DataFrame:
@@ -355,19 +369,22 @@ def match_without_club(players: DataFrame, people: DataFrame, year: int) -> Data
         F.posexplode(name_variants(C("name"))).alias("turn", "variant"),
     )
     r = people.select("c", normalise(C("name")).alias("cn"), "age")
+    r, most = settle_counted(r, "people")
     counts = _words(r, "cn").groupBy("_w").agg(F.count(F.lit(1)).alias("_n"))
     # a search for a variant returns the people whose name holds every word of it
     rare = _words(l, "variant").join(counts, "_w").groupBy("q", "turn").agg(
         F.min_by("_w", F.struct("_n", "_w")).alias("_w")
     )
-    hits = block_join(rare, _words(r, "cn").select("c", "_w"), ["_w"], "c").drop("_w")
+    hits = block_join(rare, _words(r, "cn").select("c", "_w"), ["_w"], "c", most).drop("_w")
     hits = hits.join(l, ["q", "turn"]).join(r, "c")
     words = tokens(C("variant"))
     hits = hits.where(F.size(F.array_except(words, tokens(C("cn")))) == 0)
     scored = roster_name_score(hits)
     age_gap = F.abs(C("age") - C("expected"))
     score = C("ns") + F.when(C("age").isNull(), -12).when(age_gap <= 1, 10).otherwise(-40)
-    scored = scored.select(F.struct("q", "turn").alias("k"), "c", F.round(score, 9).alias("score"))
+    scored = settle(
+        scored.select(F.struct("q", "turn").alias("k"), "c", F.round(score, 9).alias("score")), "variant-scores"
+    )
     found = _with_margin(scored, "k", 82.0, 4.0)
     return found.groupBy(C("k.q").alias("q")).agg(
         F.min_by(F.struct("match_id", "match_score"), "k.turn").alias("m")
@@ -390,17 +407,19 @@ def match_directory(clubs: DataFrame, directory: DataFrame) -> DataFrame:
         .agg(F.min("c").alias("match_id"))
         .withColumn("match_score", F.lit(100.0))
     )
+    r, most = settle_counted(r, "directory")
     left, right = l.select(C("qn").alias("qc")), r.select(C("cn").alias("cc"))
     related = club_pairs(left, right, config.ROSTER_CLUB_ALIASES, 10, 80)
     by_club = related.join(l, C("qc") == C("qn")).join(r, C("cc") == C("cn")).select("q", "c")
     everywhere = F.lit(0).alias("_any")
-    by_name = candidate_pairs(l.select("*", everywhere), r.select("*", everywhere), ["_any"], 0.55)
+    by_name = candidate_pairs(l.select("*", everywhere), r.select("*", everywhere), ["_any"], 0.55, most)
     pairs = by_club.unionByName(by_name).distinct().join(l, "q").join(r, "c")
     scored = roster_name_score(pairs).join(
         related, (C("qn") == C("qc")) & (C("cn") == C("cc")), "left"
     )
     score = F.greatest(F.coalesce(C("cs").cast("double"), F.lit(0.0)), C("ns"))
-    found = _with_margin(scored.select("q", "c", F.round(score, 9).alias("score")), "q", 55.0, 5.0)
+    scored = settle(scored.select("q", "c", F.round(score, 9).alias("score")), "directory-scores")
+    found = _with_margin(scored, "q", 55.0, 5.0)
     return forced.unionByName(found.join(forced, "q", "left_anti"))
 
 
