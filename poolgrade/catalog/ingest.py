@@ -6,8 +6,8 @@ from pyspark.sql import functions as F
 
 from ..operators.identity import outfield, with_row_index
 from ..operators.measures import (
+    MEASURES,
     adjusted_cost,
-    base_measures,
     style_ratio,
     successful_actions,
     with_feed_values,
@@ -21,7 +21,7 @@ from . import query
 from .base import BASE_SQL, rounded, sheet, tidy, with_base
 
 C = F.col
-MEASURE_NAMES = list(base_measures())
+MEASURE_NAMES = list(MEASURES)
 
 
 @query(

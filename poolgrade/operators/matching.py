@@ -113,7 +113,6 @@ def club_pairs(
 # ------------------------------------------------------------------------------- name scores
 
 
-@F.pandas_udf("double")
 def sequence_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     """Similarity of two texts by their longest matching blocks, for pairs nothing else decides."""
     return pd.Series([SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b)], dtype="float64")
@@ -154,7 +153,8 @@ def with_name_scores(pairs: DataFrame) -> DataFrame:
 
 def _ratio_where(df: DataFrame, needed: Column) -> DataFrame:
     """``ratio`` for the rows that need it; the others skip the Python worker."""
-    asked = df.where(needed).withColumn("ratio", sequence_ratio("qn", "cn"))
+    ratio = F.pandas_udf(sequence_ratio, "double")
+    asked = df.where(needed).withColumn("ratio", ratio("qn", "cn"))
     rest = df.where(~needed).withColumn("ratio", F.lit(0.0))
     return asked.unionByName(rest)
 

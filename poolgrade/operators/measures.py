@@ -11,59 +11,50 @@ from ..functions.scalar import guarded, total
 C = F.col
 
 
-def _rate(pct: str) -> Column:
-    return C(pct) / F.lit(100.0)
-
-
 def lost_duel_load(volume: Column, won_pct: Column) -> Column:
     """Duels times the lost percentage, negative by construction."""
     return volume * (F.lit(100.0) - won_pct) * F.lit(-1.0)
 
 
-def base_measures() -> dict[str, Column]:
-    """The derived measures of one row. Raw statistics keep their own columns."""
-    load = lost_duel_load(C("duels_def"), C("duels_def_pct"))
-    return {
-        "carry_prog": C("runs_prog") - C("accels"),
-        "duels_def_rate": _rate("duels_def_pct"),
-        "duels_air_rate": _rate("duels_air_pct"),
-        "duels_off_net": C("duels_off") - C("dribbles"),
-        "duels_off_rate": guarded(C("duels_off") * _rate("duels_off_pct") - C("dribbles"), C("duels_off")),
-        "prog_rate": _rate("passes_prog_pct"),
-        "long_rate": _rate("passes_long_pct"),
-        "final_rate": _rate("passes_final_pct"),
-        "interceptions": C("interceptions_raw"),
-        "clearances": C("clearances_raw"),
-        "duel_efficiency": guarded(C("duels_def") * _rate("duels_def_pct") + C("clearances_raw"), load),
-        "reading_index": guarded(C("def_actions"), load),
-        "prog_done": C("passes_prog") * _rate("passes_prog_pct"),
-        "long_done": C("passes_long") * _rate("passes_long_pct"),
-        "final_done": C("passes_final") * _rate("passes_final_pct"),
-        "prog_share": guarded(C("passes_prog"), C("passes")),
-        "long_share": guarded(C("passes_long"), C("passes")),
-        "final_share": guarded(C("passes_final"), C("passes")),
-        "cross_rate": _rate("crosses_pct"),
-        "deep_rate": _rate("passes_deep_pct"),
-        "deep_recv": C("passes_deep_recv"),
-        "box_done": C("passes_box") * _rate("passes_box_pct"),
-        "passes_creative": C("passes_smart"),
-        "passes_danger": C("passes_key"),
-        "pass_rate": _rate("passes_pct"),
-        "dribble_rate": _rate("dribbles_pct"),
-        "att_touches": C("touches_box"),
-        "recv": C("passes_recv"),
-        "long_recv": C("passes_long_recv"),
-        "npxg": C("xg90"),
-        "goals_over_xg": C("goals90") - C("xg90"),
-        "goals_per_touch": C("goals90") / F.greatest(C("touches_box"), F.lit(0.1)),
-        "finish_rate": _rate("shots_pct"),
-        "passes_done": C("passes") * _rate("passes_pct"),
-    }
-
-
-def products() -> dict[str, Column]:
-    """Volume times success for the pairs used by the composites."""
-    return {name: C(a) * C(b) for name, (a, b) in config.PRODUCTS.items()}
+LOAD = "(duels_def * (100D - duels_def_pct) * -1D)"
+
+# The derived measures of one row; raw statistics keep their own columns.
+MEASURES = {
+    "carry_prog": "runs_prog - accels",
+    "duels_def_rate": "duels_def_pct / 100D",
+    "duels_air_rate": "duels_air_pct / 100D",
+    "duels_off_net": "duels_off - dribbles",
+    "duels_off_rate": "if(duels_off <> 0, (duels_off * (duels_off_pct / 100D) - dribbles) / duels_off, 0D)",
+    "prog_rate": "passes_prog_pct / 100D",
+    "long_rate": "passes_long_pct / 100D",
+    "final_rate": "passes_final_pct / 100D",
+    "interceptions": "interceptions_raw",
+    "clearances": "clearances_raw",
+    "duel_efficiency": f"if({LOAD} <> 0, (duels_def * (duels_def_pct / 100D) + clearances_raw) / {LOAD}, 0D)",
+    "reading_index": f"if({LOAD} <> 0, def_actions / {LOAD}, 0D)",
+    "prog_done": "passes_prog * (passes_prog_pct / 100D)",
+    "long_done": "passes_long * (passes_long_pct / 100D)",
+    "final_done": "passes_final * (passes_final_pct / 100D)",
+    "prog_share": "if(passes <> 0, passes_prog / passes, 0D)",
+    "long_share": "if(passes <> 0, passes_long / passes, 0D)",
+    "final_share": "if(passes <> 0, passes_final / passes, 0D)",
+    "cross_rate": "crosses_pct / 100D",
+    "deep_rate": "passes_deep_pct / 100D",
+    "deep_recv": "passes_deep_recv",
+    "box_done": "passes_box * (passes_box_pct / 100D)",
+    "passes_creative": "passes_smart",
+    "passes_danger": "passes_key",
+    "pass_rate": "passes_pct / 100D",
+    "dribble_rate": "dribbles_pct / 100D",
+    "att_touches": "touches_box",
+    "recv": "passes_recv",
+    "long_recv": "passes_long_recv",
+    "npxg": "xg90",
+    "goals_over_xg": "goals90 - xg90",
+    "goals_per_touch": "goals90 / greatest(touches_box, 0.1D)",
+    "finish_rate": "shots_pct / 100D",
+    "passes_done": "passes * (passes_pct / 100D)",
+}
 
 
 def with_minutes_share(df: DataFrame) -> DataFrame:
@@ -73,12 +64,12 @@ def with_minutes_share(df: DataFrame) -> DataFrame:
 
 
 def with_measures(df: DataFrame) -> DataFrame:
-    made = base_measures()
-    return df.select("*", *[e.alias(n) for n, e in made.items()])
+    return df.selectExpr("*", *[f"{text} AS {name}" for name, text in MEASURES.items()])
 
 
 def with_products(df: DataFrame) -> DataFrame:
-    return df.select("*", *[e.alias(n) for n, e in products().items()])
+    """Volume times success for the pairs used by the composites."""
+    return df.selectExpr("*", *[f"{a} * {b} AS {name}" for name, (a, b) in config.PRODUCTS.items()])
 
 
 def with_feed_values(df: DataFrame) -> DataFrame:

@@ -22,10 +22,10 @@ C = F.col
 FAMILY = ["family"]
 
 OVERALL = {
-    "off_pct": C("duels_off_net") + C("dribbles") + C("touches_box") + C("shots"),
-    "con_pct": C("passes_prog") * C("prog_rate") + C("passes_final") * C("final_rate"),
-    "def_pct": C("duels_def") * C("duels_def_rate") + C("interceptions"),
-    "prog_pct": C("carry_prog"),
+    "off_pct": "duels_off_net + dribbles + touches_box + shots",
+    "con_pct": "passes_prog * prog_rate + passes_final * final_rate",
+    "def_pct": "duels_def * duels_def_rate + interceptions",
+    "prog_pct": "carry_prog",
 }
 # tendency -> (block if the family has it, fallback column)
 TENDENCY_SOURCES = {
@@ -46,7 +46,7 @@ def overall_formula() -> Column:
 
 def overall_rating(df: DataFrame, pool: Sequence[str]) -> DataFrame:
     """Four pool percentiles mixed into the general rating."""
-    ranked = rank_columns(df, pool, "player_id", {n: (e, "dense") for n, e in OVERALL.items()})
+    ranked = rank_columns(df, pool, "player_id", {n: (F.expr(e), "dense") for n, e in OVERALL.items()})
     return settle(ranked.withColumn("rating_geral", overall_formula()), "overall")
 
 
@@ -143,7 +143,7 @@ def rate_families(df: DataFrame, families: Sequence[str] = config.GENERIC_FAMILI
     shaped = with_shares(with_blocks(people, families), slots)
     shaped = settle(shaped.withColumn("perfil", profile_by_margin(families, slots)), "blocks")
 
-    wanted = {n: (e, "dense") for n, e in OVERALL.items()}
+    wanted = {n: (F.expr(e), "dense") for n, e in OVERALL.items()}
     wanted |= {n: (e, "dense") for n, e in tendency_columns(shaped.columns).items()}
     wanted |= {f"idx_pct_{i + 1}": (f"idx_{i + 1}", "dense") for i in range(slots)}
     ranked = rank_columns(shaped, FAMILY, "player_id", wanted)
@@ -164,7 +164,7 @@ def rate_plainly(df: DataFrame) -> DataFrame:
     """General rating pulled by minutes confidence, with three side ratings derived from it."""
     from .common import confident
 
-    wanted = {n: (e, "dense") for n, e in OVERALL.items()} | {"minutes_pool_pct": ("minutes", "dense")}
+    wanted = {n: (F.expr(e), "dense") for n, e in OVERALL.items()} | {"minutes_pool_pct": ("minutes", "dense")}
     ranked = rank_columns(df, FAMILY, "player_id", wanted)
     base = F.lit(5.0) + overall_mix() * F.lit(0.045) * exposure_gain(C("minutes_share")) * F.lit(0.83)
     rated = settle(
