@@ -469,12 +469,21 @@ def core_absolute_percentile() -> Column:
 # ------------------------------------------------------------------------------- whole plan
 
 
+NEEDED = (
+    "player_id family minutes minutes_share passes passes_prog passes_final passes_long prog_done final_done long_done "
+    "prog_rate final_rate long_rate prog_share final_share long_share carry_prog runs_prog duels_off_net duels_off_rate "
+    "duels_off_pct duels_off_done duels_def duels_def_pct duels_def_rate duels_def_done duels_air duels_air_pct "
+    "duels_air_rate duels_air_done duel_efficiency reading_index interceptions interception_won_p90 total_clearance_p90 "
+    "outfielder_block_p90 shots_blocked fouls passes_prog_pct passes_long_pct"
+).split()
+
+
 def rate_centrebacks(df: DataFrame, history: DataFrame) -> DataFrame:
     """All centre-back columns; ``history`` holds study columns of past seasons."""
     from .families import with_blocks, with_shares
     from .studies import axis_scores, study_columns
 
-    people = settle(df.where(C("family") == "zagueiros"), "centrebacks")
+    people = settle(df.where(C("family") == "zagueiros").select(*NEEDED), "centrebacks")
     shaped = with_shares(with_blocks(people, ["zagueiros"]), 3, guard=False)
     skilled = with_skill_indices(settle(shaped, "cb-blocks"))
     scored = with_axis_ratings(with_axis_components(settle(skilled, "cb-skills")))

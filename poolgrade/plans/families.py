@@ -6,6 +6,7 @@ is picked by its family key.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -136,9 +137,17 @@ def tendency_columns(blocks: Sequence[str]) -> dict[str, Column]:
     return out
 
 
+def needed_columns(families: Sequence[str]) -> list[str]:
+    """The columns the ratings read; nothing else is carried through the intermediate writes."""
+    overall = [c for text in OVERALL.values() for c in re.findall(r"[a-z_]\w*", text)]
+    fallback = [c for _, c in TENDENCY_SOURCES.values()]
+    names = ["player_id", "family", "minutes_share", "duels_air", "duels_air_rate"]
+    return list(dict.fromkeys([*names, *z_sources(families), *overall, *fallback]))
+
+
 def rate_families(df: DataFrame, families: Sequence[str] = config.GENERIC_FAMILIES) -> DataFrame:
     """Blocks, indices, shares, profile, general and profile ratings with ranks, tendencies."""
-    people = df.where(C("family").isin(*families))
+    people = df.where(C("family").isin(*families)).select(*needed_columns(families))
     slots = max(len(config.FAMILIES[f].indices) for f in families)
     shaped = with_shares(with_blocks(people, families), slots)
     shaped = settle(shaped.withColumn("perfil", profile_by_margin(families, slots)), "blocks")

@@ -76,8 +76,14 @@ def axis_rating(percentile: Column, minutes_pct: Column, share: Column) -> Colum
     )
 
 
+def needed_columns() -> list[str]:
+    names = ["player_id", "family", "minutes", "minutes_share", "reading_index", "duels_air_done"]
+    return list(dict.fromkeys([*names, *[c for cols in config.FB_AXES.values() for c in cols]]))
+
+
 def rate_fullbacks(df: DataFrame) -> DataFrame:
-    people = settle(with_archetypes(with_axes(df.where(C("family") == "laterais"))), "fullbacks")
+    people = df.where(C("family") == "laterais").select(*needed_columns())
+    people = settle(with_archetypes(with_axes(people)), "fullbacks")
     ranked = rank_columns(
         people,
         FAMILY,

@@ -181,4 +181,4 @@ def test_agreement_of_identical_and_crossed_labels(spark):
     assert (row["agree_pct"], row["ari"]) == (100, 1) and math.isclose(row["nmi"], 1)
     cross = spark.createDataFrame([("a", "a"), ("a", "b"), ("b", "a"), ("b", "b")], "x string, y string")
     row = label_agreement(cross, "x", "y").first()
-    assert (row["agree_pct"], row["ari"]) == (50, -0.5) and math.isclose(row["nmi"], 0, abs_tol=1e-12)
+    assert (row["agree_pct"], row["ari"]) == pytest.approx((50, -0.5)) and math.isclose(row["nmi"], 0, abs_tol=1e-12)
