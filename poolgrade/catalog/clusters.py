@@ -142,7 +142,8 @@ def _(spark, folder):
         counts = out.agg(
             *[F.count_if(C(name) == x).alias(x.lower().replace("í", "i")) for x in ("Construtor", "Posicional", "Combativo", "Híbrido")]
         )
-        row = k.label_agreement(out, "atual", name).select(F.lit(name).alias("model"), "*").join(counts, F.lit(True))
+        agreed = k.label_agreement(out, "atual", name).select(F.lit(name).alias("model"), "*")
+        row = agreed.join(counts.withColumn("model", F.lit(name)), "model")
         result = row if result is None else result.unionByName(row)
     return tidy(result)
 

@@ -150,13 +150,12 @@ def label_agreement(df: DataFrame, a: str, b: str) -> DataFrame:
         F.sum("n").alias("t"), F.sum(pairs).alias("same"), F.sum(F.when(C("a") == C("b"), C("n")).otherwise(0)).alias("agree")
     )
 
+    size = whole.select("t").scalar()
+
     def against_total(side: DataFrame, name: str) -> DataFrame:
-        return (
-            side.join(F.broadcast(whole.select("t")), F.lit(True))
-            .agg(F.sum(pairs).alias(f"pairs_{name}"), entropy.alias(f"h_{name}"))
-        )
+        return side.withColumn("t", size).agg(F.sum(pairs).alias(f"pairs_{name}"), entropy.alias(f"h_{name}"))
 
-    joint = cells.join(F.broadcast(whole.select("t")), F.lit(True)).agg(entropy.alias("h_joint"))
+    joint = cells.withColumn("t", size).agg(entropy.alias("h_joint"))
     one = F.lit(1).alias("_one")
     table = whole.select("*", one)
     for part in (against_total(rows, "a"), against_total(cols, "b"), joint):

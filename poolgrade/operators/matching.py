@@ -79,6 +79,31 @@ def alias_keys(text: Column, aliases: Mapping[str, Sequence[str]]) -> Column:
     return F.filter(F.array(*marks), lambda m: m.isNotNull())
 
 
+def club_score(qc: Column, cc: Column, aliases: Mapping[str, Sequence[str]], per_token: int, alias_score: int) -> Column:
+    """Score of one pair of normalised club texts."""
+    shared = F.size(F.array_intersect(tokens(qc), tokens(cc)))
+    renamed = F.arrays_overlap(alias_keys(qc, aliases), alias_keys(cc, aliases))
+    return (
+        F.when((qc == "") | (cc == ""), 0)
+        .when(cc.contains(qc) | qc.contains(cc), 100)
+        .when(shared > 0, F.lit(40) + shared * per_token)
+        .when(renamed, alias_score)
+        .otherwise(0)
+    )
+
+
+def close_clubs(left: DataFrame, right: DataFrame, aliases: Mapping[str, Sequence[str]]) -> DataFrame:
+    """Pairs of club texts where one contains the other or both belong to an alias group."""
+    left, n_left = settle_counted(left.select("qc").distinct(), "clubs")
+    right, n_right = settle_counted(right.select("cc").distinct(), "clubs")
+    inside = contained_texts(left, "qc", right, "cc", n_right).unionByName(
+        contained_texts(right, "cc", left, "qc", n_left)
+    )
+    groups_l = left.select("qc", F.explode(alias_keys(C("qc"), aliases)).alias("w"))
+    groups_r = right.select("cc", F.explode(alias_keys(C("cc"), aliases)).alias("w"))
+    return inside.unionByName(groups_l.join(groups_r, "w").select("qc", "cc")).distinct()
+
+
 def club_pairs(
     left: DataFrame, right: DataFrame, aliases: Mapping[str, Sequence[str]], per_token: int, alias_score: int
 ) -> DataFrame:
@@ -271,19 +296,23 @@ def match_feed(sheet: DataFrame, feed: DataFrame) -> DataFrame:
         C("n").alias("cn"), C("k").alias("cc"), C("id").alias("c")
     )
     c, most = settle_counted(c, "candidates")
-    clubs = club_pairs(q, c, config.FEED_CLUB_ALIASES, 15, 85)
 
-    # one entry per related club of the query, so the club is part of every block key
-    inside = q.join(clubs.where(C("cs") >= 50), "qc").select("q", "qn", "cc", "cs")
-    spelled = inside.where(C("cs") >= 85)
+    # Related clubs share a word, contain each other or have an alias. The first kind needs no list
+    # of club pairs: the shared word joins the block key. Only the other two are listed.
+    near = q.join(close_clubs(q, c, config.FEED_CLUB_ALIASES), "qc").select("q", "qn", C("cc").alias("_k"))
+    own = c.select("c", "cn", C("cc").alias("_k"))
+    word_q = q.select("q", "qn", F.explode(F.array_distinct(tokens(C("qc")))).alias("_k"))
+    word_c = c.select("c", "cn", F.explode(F.array_distinct(tokens(C("cc")))).alias("_k"))
     # a name score of 90 covers the whole query or is the same text, so the rarest of its words
     # (or its first initial) is shared, whatever the club
     only_initials = F.size(F.filter(tokens(C("qn")), lambda t: F.length(t) > 1)) == 0
     bare = q.where(only_initials & (C("qn") != "")).withColumn("_w", F.substring("qn", 1, 1))
     ways = [
-        (_words(inside, "qn"), _words(c, "cn"), ["cc", "_w"]),
-        (_initials(inside, "qn"), _first_letters(c, "cn"), ["cc", "_w"]),
-        (_rare_characters(spelled, "qn", 0.68), _rare_characters(c, "cn", 0.68), ["cc", "_w"]),
+        (_words(word_q, "qn"), _words(word_c, "cn"), ["_k", "_w"]),
+        (_initials(word_q, "qn"), _first_letters(word_c, "cn"), ["_k", "_w"]),
+        (_words(near, "qn"), _words(own, "cn"), ["_k", "_w"]),
+        (_initials(near, "qn"), _first_letters(own, "cn"), ["_k", "_w"]),
+        (_rare_characters(near, "qn", 0.68), _rare_characters(own, "cn", 0.68), ["_k", "_w"]),
         (_key_word(q, c), _words(c, "cn"), ["_w"]),
         (bare, _first_letters(c, "cn"), ["_w"]),
     ]
@@ -291,8 +320,9 @@ def match_feed(sheet: DataFrame, feed: DataFrame) -> DataFrame:
     for a, b, keys in ways:
         found = block_join(a.select("q", *keys), b.select("c", *keys), keys, "c", most).select("q", "c")
         pairs = found if pairs is None else pairs.unionByName(found)
-    scored = settle(pairs.distinct(), "pairs").join(q, "q").join(c, "c").join(clubs, ["qc", "cc"], "left")
-    scored = feed_name_score(scored.withColumn("cs", F.coalesce("cs", F.lit(0))))
+    scored = settle(pairs.distinct(), "pairs").join(q, "q").join(c, "c")
+    scored = scored.withColumn("cs", club_score(C("qc"), C("cc"), config.FEED_CLUB_ALIASES, 15, 85))
+    scored = feed_name_score(scored)
     allowed = scored.where((C("cs") >= 50) | (C("ns") >= 90))
     total = F.when(C("cs") < 50, C("ns")).otherwise(C("ns") * 0.58 + C("cs") * 0.42)
     best = allowed.withColumn("score", F.round(total, 9)).groupBy("qn", "qc").agg(
@@ -432,11 +462,10 @@ def pick_result(results: DataFrame) -> DataFrame:
         "q", "c", normalise(C("name")).alias("qn"), normalise(C("club")).alias("qc"),
         normalise(C("result_name")).alias("cn"), normalise(C("result_club")).alias("cc"),
     )
-    clubs = club_pairs(rows, rows, config.ROSTER_CLUB_ALIASES, 10, 80)
     hits = rows.groupBy("q").agg(F.count(F.lit(1)).alias("hits"))
-    scored = rows.join(clubs, ["qc", "cc"], "left").join(hits, "q")
     bonus = F.when(C("cn") == C("qn"), 25).when(C("cn").contains(C("qn")), 10).otherwise(0)
-    scored = scored.withColumn("score", F.coalesce("cs", F.lit(0)) + bonus)
+    club = club_score(C("qc"), C("cc"), config.ROSTER_CLUB_ALIASES, 10, 80)
+    scored = rows.join(hits, "q").withColumn("score", club + bonus)
     best = scored.groupBy("q").agg(
         F.min_by(F.struct("c", "score", "hits"), F.struct(-C("score"), C("c"))).alias("b")
     )

@@ -30,6 +30,9 @@ from ..session import settle, settle_counted
 CUTS_PER_POOL = 255
 """Cut points per pool: the cut and offset tables hold at most pools x 256 rows."""
 
+MANY_VALUES, MANY_CUTS = 1_000_000_000, 4095
+"""Beyond this many values the pools are cut finer; the tables then hold pools x 4096 rows."""
+
 WINDOW_ROWS = 2_000_000
 """Largest number of values, over all pools and metrics, that plain windows may rank."""
 
@@ -37,26 +40,30 @@ HOT_VALUES_PER_POOL = 64
 """A value is hot when it holds more than 1/64 of its pool, so a pool has fewer than 64 of them."""
 
 
-def value_ranks(rows: DataFrame, keys: Sequence[str], value: str = "value") -> DataFrame:
+def value_ranks(
+    rows: DataFrame, keys: Sequence[str], value: str = "value", count: int | None = None
+) -> DataFrame:
     """One row per (keys, distinct value) with its position in the pool.
 
     Columns: ``cnt`` rows with the value, ``below`` rows strictly below, ``upto`` rows at or
     below, ``dense`` 1-based dense rank, ``n`` rows and ``n_dense`` distinct values of the pool.
     Null values are left out. ``keys`` must come from a small dimension (families, metrics).
+    ``count`` is the number of rows when it is known.
     """
     keys = list(keys)
+    cuts_wanted = MANY_CUTS if count is not None and count > MANY_VALUES else CUTS_PER_POOL
     distinct = (
         rows.where(F.col(value).isNotNull())
         .groupBy(*keys, value)
         .agg(F.count(F.lit(1)).alias("cnt"))
     )
     cuts = (
-        distinct.groupBy(*keys, F.pmod(F.xxhash64(value), F.lit(CUTS_PER_POOL)).alias("_slot"))
+        distinct.groupBy(*keys, F.pmod(F.xxhash64(value), F.lit(cuts_wanted)).alias("_slot"))
         .agg(F.min_by(value, F.xxhash64(F.lit("cut"), F.col(value))).alias("_cut"))
         .groupBy(*keys)
         .agg(F.sort_array(F.collect_list("_cut")).alias("_cuts"))
     )
-    bucketed = _locate(distinct.join(F.broadcast(cuts), keys), value).select(*keys, value, "cnt", "_bucket")
+    bucketed = _locate(distinct.join(F.broadcast(cuts), keys), value, cuts_wanted).select(*keys, value, "cnt", "_bucket")
     before = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     pool = Window.partitionBy(*keys)
     offsets = (
@@ -90,13 +97,13 @@ def value_ranks(rows: DataFrame, keys: Sequence[str], value: str = "value") -> D
     )
 
 
-def _locate(df: DataFrame, value: str) -> DataFrame:
+def _locate(df: DataFrame, value: str, most: int) -> DataFrame:
     """Add ``_bucket``, the number of cut points below the value.
 
     A binary search over the sorted array, one projection per step, so it stays in generated code.
     """
     df = df.withColumn("_bucket", F.lit(0))
-    for step in range((CUTS_PER_POOL + 1).bit_length() - 2, -1, -1):
+    for step in range((most + 1).bit_length() - 2, -1, -1):
         probe = F.get(F.col("_cuts"), F.col("_bucket") + (2**step - 1))
         df = df.withColumn("_bucket", F.col("_bucket") + F.when(probe < F.col(value), 2**step).otherwise(0))
     return df
@@ -221,7 +228,7 @@ def _positions_to_rows(
             first = F.min("upto").over(Window.partitionBy(*keys, F.col(value).isNotNull()))
             placed = placed.withColumn("lowest_upto", first)
         return placed.select(*rows.columns, *[F.when(F.col(value).isNotNull(), e).alias(n) for n, e in payload.items()])
-    ranks = settle(value_ranks(rows, keys, value), "ranks")
+    ranks = settle(value_ranks(rows, keys, value, count), "ranks")
     if low:
         ranks = with_lowest(ranks, keys)
     return attach_ranks(rows, ranks, keys, value, spread, payload)
@@ -281,7 +288,7 @@ def ordinal(df: DataFrame, pool: Sequence[str], order: Sequence[Column], id_col:
     if count <= WINDOW_ROWS:
         got = keyed.select(id_col, F.row_number().over(Window.partitionBy(*keys).orderBy("_o")).alias(out))
     else:
-        ranks = settle(value_ranks(keyed, keys, "_o"), "ranks")
+        ranks = settle(value_ranks(keyed, keys, "_o", count), "ranks")
         got = attach_ranks(keyed, ranks, keys, "_o", id_col, {out: F.col("upto")}).select(id_col, out)
     return df.join(got.withColumn(out, F.col(out).cast("bigint")), id_col)
 
@@ -293,7 +300,7 @@ def exact_quantiles(
     rows, count = settle_counted(rows.select(*keys, value), "values")
     if count <= WINDOW_ROWS:
         return rows.groupBy(*keys).agg(*[F.percentile(value, q).alias(n) for n, q in points.items()])
-    return quantiles(value_ranks(rows, keys, value), keys, points, value)
+    return quantiles(value_ranks(rows, keys, value, count), keys, points, value)
 
 
 def quantiles(ranks: DataFrame, keys: Sequence[str], points: Mapping[str, float], value: str = "value") -> DataFrame:

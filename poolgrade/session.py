@@ -62,3 +62,12 @@ def settle_counted(df: DataFrame, name: str = "stage") -> tuple[DataFrame, int]:
     seen = Observation()
     df.observe(seen, F.count(F.lit(1)).alias("rows")).write.parquet(path)
     return spark.read.schema(df.schema).parquet(path), seen.get["rows"]
+
+
+def release(spark: SparkSession) -> bool:
+    """Delete the settled frames of this project in the shared folder, once their results are written."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        return False
+    path = spark._jvm.org.apache.hadoop.fs.Path(os.path.join(folder, "poolgrade"))
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

@@ -78,6 +78,14 @@ def test_rank_against_brute_force_with_a_hot_value(spark, way):
                 assert got[i]["share"] == pytest.approx((below[v] + 1 + upto[v]) / 2 / len(values))
 
 
+def test_finer_cuts_give_the_same_ranks(spark, monkeypatch):
+    monkeypatch.setattr(ranks, "WINDOW_ROWS", 0)
+    monkeypatch.setattr(ranks, "MANY_VALUES", 0)
+    values = [float((i * 37) % 211) for i in range(500)]
+    want = [100.0 * sorted(set(values)).index(v) / (len(set(values)) - 1) for v in values]
+    assert ranked(spark, values, "dense") == pytest.approx(want)
+
+
 def test_ordinal_has_no_ties(spark, way):
     out = ranks.ordinal(frame(spark, [5, 7, 7, 1]), ["pool"], [-F.col("v"), F.col("id")], "id")
     assert [r["rank"] for r in out.orderBy("id").collect()] == [3, 1, 2, 4]
