@@ -7,7 +7,7 @@ from collections.abc import Callable, Iterator
 from pathlib import Path
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
@@ -36,27 +36,32 @@ def fresh(df: DataFrame, wanted: str) -> str:
     return wanted
 
 
-def slices(texts: pa.Array, most: int = SLICE_CHARS) -> Iterator[tuple[int, list]]:
-    """(offset, texts) pieces of a column, each of about ``most`` characters at most."""
-    start, size, part = 0, 0, []
+def slices(texts: pa.Array, most: int = SLICE_CHARS) -> Iterator[list]:
+    """Consecutive parts of a column, each of about ``most`` characters at most (one text may be longer)."""
+    size, part = 0, []
     for text in texts:
         value = text.as_py()
         part.append(value)
         size += len(value or "") + 100
         if size >= most:
-            yield start, part
-            start, size, part = start + len(part), 0, []
+            yield part
+            size, part = 0, []
     if part:
-        yield start, part
+        yield part
 
 
 def with_results(
-    df: DataFrame, text: str, fields: T.StructType, judge: Callable[[], Callable[[list], list]], column: str
+    df: DataFrame,
+    text: str,
+    fields: T.StructType,
+    judge: Callable[[], Callable[[list], list]],
+    column: str,
+    raw: bool = False,
 ) -> DataFrame:
     """``df`` with a struct ``column`` that ``judge()(texts)`` computes from the text column.
 
-    ``judge`` is called once per task and returns a function from a list of texts (None for null) to
-    one list of values per field. All other columns pass through as they are.
+    ``judge`` is called once per task and returns a function from a list of texts (None for null; their
+    UTF-8 bytes if ``raw``) to one list of values per field. All other columns pass through as they are.
     """
     bounded_batches(df.sparkSession)
     names = df.columns
@@ -67,28 +72,17 @@ def with_results(
     def run(batches):
         rate = judge()
         for batch in batches:
-            parts = []
-            for _, texts in slices(batch.column(at)):
-                values = rate(texts)
-                parts.append(
-                    pa.StructArray.from_arrays(
-                        [pa.array(v, type=k) for v, (_, k) in zip(values, kinds, strict=True)], fields=list(struct)
-                    )
-                )
-            for done, part in _pieces(batch, parts):
-                yield pa.RecordBatch.from_arrays([*done.columns, part], names=[*names, column])
+            done = 0
+            for texts in slices(batch.column(at).cast(pa.binary()) if raw else batch.column(at)):
+                values = [pa.array(v, type=k) for v, (_, k) in zip(rate(texts), kinds, strict=True)]
+                part = pa.StructArray.from_arrays(values, fields=list(struct))
+                yield pa.RecordBatch.from_arrays([*batch.slice(done, len(texts)).columns, part], names=[*names, column])
+                done += len(texts)
 
     schema = T.StructType([*df.schema.fields, T.StructField(column, fields)])
     return df.mapInArrow(run, schema)
 
 
-def _pieces(batch: pa.RecordBatch, parts: list) -> Iterator[tuple[pa.RecordBatch, pa.Array]]:
-    at = 0
-    for part in parts:
-        yield batch.slice(at, len(part)), part
-        at += len(part)
-
-
 def shared_dir(spark: SparkSession) -> str:
     """The folder named by ``spark.checkpoint.dir``, which all executors reach.
 
@@ -112,6 +106,13 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def written_with(df: DataFrame, name: str, **measures: Column) -> tuple[DataFrame, dict]:
+    """`written`, and aggregates of the rows observed on the way."""
+    seen = Observation()
+    out = written(df.observe(seen, *[c.alias(k) for k, c in measures.items()]), name)
+    return out, seen.get
+
+
 def remainder(doc_id: Column, parts: int) -> Column:
     """crc32 of the id as text, modulo ``parts``: the split into training and held-out rows."""
     return F.crc32(doc_id.cast("string").cast("binary")) % parts

@@ -8,7 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe
+from . import bpe, decontam, repetition, simhash
+from .frames import written
 
 VOCABULARY = "byte_bpe_50k.json"
 
@@ -40,6 +41,34 @@ def bpe_digests(docs: DataFrame) -> DataFrame:
     )
 
 
+@query
+def op3_repetition_rules(spark: SparkSession, folder: str) -> DataFrame:
+    return repetition.judged(texts(spark, folder)).select("doc_id", "rules.*")
+
+
+@query
+def op9_simhash_components(spark: SparkSession, folder: str) -> DataFrame:
+    prints = written(simhash.fingerprints(texts(spark, folder)).select("doc_id", "simhash.bits"), "simhash")
+    return simhash.clustered(prints, "doc_id", "bits").select(
+        "doc_id",
+        F.lower(F.lpad(F.hex("bits"), 16, "0")).alias("fingerprint"),
+        F.col("component").alias("component_id"),
+    )
+
+
+@query
+def op10_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    hits = decontam.scanned(texts(spark, folder), table(spark, folder, "benchmark"))
+    return hits.select(
+        "doc_id",
+        "hits.n_words",
+        "hits.n_hit",
+        F.size("hits.items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("hits.items", ","), 256).alias("items_sha256"),
+        decontam.contaminated("hits").alias("contaminated"),
+    )
+
+
 @query
 def op2_bpe_transducer(spark: SparkSession, folder: str) -> DataFrame:
     return bpe_digests(texts(spark, folder))
