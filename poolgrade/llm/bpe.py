@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from .frames import with_results
+from .words import binaries, gathered, stretches
 
 # The pre-tokenisation pattern of the byte-level vocabularies, and the letters and numbers
 # that newer Unicode versions have and the vocabularies' pattern treats as symbols.
@@ -76,7 +77,10 @@ class Memo(dict):
         value = self.old.get(key)
         if value is None:
             value = self.make(key)
-        self.add({key: value})
+        if len(self) >= self.most:
+            self.old = dict(self)
+            self.clear()
+        self[key] = value
         return value
 
     def recall(self, keys: set) -> set:
@@ -92,6 +96,10 @@ class Memo(dict):
             self.clear()
         self.update(more)
 
+    def get(self, key):
+        value = super().get(key)
+        return self.old.get(key) if value is None else value
+
 
 class Vocabulary:
     """Token bytes, merge rules and special tokens of a byte-level BPE file."""
@@ -252,22 +260,40 @@ class Codes:
         self.marker = regex.compile("|".join(map(regex.escape, self.words.special)) or r"(?!)")
         self.cut = regex.compile(r"(?<=\S)(?=\s)")
         self.loose = regex.compile(r"\s ")
+        self.odd = regex.compile(r"\s | \s")
         self.piece = Memo(lambda p: packed(self.words.merge(p.encode())))
         self.spaced = Memo(lambda word: self.short(" " + word))
 
-    def learn(self, texts: list[str]) -> None:
-        """Remember the words of these texts; what is new among their pieces is merged together."""
-        words = set()
-        for text in texts:
-            words.update(text.split(" "))
-        missing = [w for w in self.spaced.recall(words) if len(w) <= LONG]
-        spaced = [" " + w for w in missing]
-        cut = [self.pattern(w).findall(w) for w in spaced]
-        pieces = set().union(*cut)
-        new = list(self.piece.recall(pieces))
+    def learn(self, words: list[str]) -> None:
+        """Remember these words as they stand after a space; their new pieces are merged together.
+
+        Words with blanks at an end, markers or great length are left to `after_space`.
+        """
+        missing = [w for w in self.spaced.recall(set(words)) if 0 < len(w) <= LONG]
+        line = " " + " ".join(missing)
+        if self.odd.search(line) or self.marker.search(line):
+            missing = [w for w in missing if not self.odd.search(f" {w} ") and not self.marker.search(w)]
+            line = " " + " ".join(missing)
+        if not missing:
+            return
+        # no word has a space inside, so each begins at the next piece that has one
+        pieces = self.pattern(line).findall(line)
+        different = set(pieces)
+        new = list(self.piece.recall(different))
         self.piece.add(dict(zip(new, self.words.merge_many([p.encode() for p in new]))))
-        ids = dict(zip(pieces, map(self.piece.__getitem__, pieces)))
-        self.spaced.add({w: ids[p[0]] if len(p) == 1 else b"".join([ids[x] for x in p]) for w, p in zip(missing, cut)})
+        ids = dict(zip(different, map(self.piece.__getitem__, different)))
+        starts = [i for i, p in enumerate(pieces) if p[0] == " "]
+        packs = list(map(ids.__getitem__, pieces))
+        ends = [*starts[1:], len(pieces)]
+        self.spaced.add(
+            {w: packs[a] if b - a == 1 else b"".join(packs[a:b]) for w, a, b in zip(missing, starts, ends, strict=True)}
+        )
+
+    def after_space(self, words: list[str], path: str) -> list[bytes]:
+        """Ids of each word after a space."""
+        self.learn(words)
+        out = [self.spaced.get(w) for w in words]
+        return [encode(" " + w, path) if x is None else x for w, x in zip(words, out)]
 
     def pattern(self, text: str) -> regex.Pattern:
         return self.common if text.isascii() or max(text) < self.first_newer or not self.newer.search(text) else self.exact
@@ -478,13 +504,15 @@ def encoded(df: DataFrame, path: str, text: str = "text", column: str = "bpe", b
         words = codes(path)
 
         def rate(texts):
-            words.learn([t for t in texts if t and len(t) <= FEED])
-            ids = [encode(t, path) for t in texts]
-            return [ids, [decode(i, path) for i in ids]] if back else [ids]
+            cut = stretches(texts)
+            ids = words.after_space([w[1:] for w in cut.strings[: cut.spaced]], path)
+            ids += [encode(w, path) for w in cut.strings[cut.spaced :]]
+            column = binaries(*gathered(cut, ids))
+            return [column, [decode(i, path) for i in column.to_pylist()]] if back else [column]
 
         return rate
 
-    return with_results(df, text, CODED if back else IDS, judge, column)
+    return with_results(df, text, CODED if back else IDS, judge, column, given="arrow")
 
 
 def decoded(df: DataFrame, path: str, ids: str = "ids", column: str = "text") -> DataFrame:

@@ -214,7 +214,7 @@ def scanned(
             out = written(out, "decontam")
         shared = spark.sparkContext.broadcast(block)
         parts.append(fresh(out, f"_{column}{n}"))
-        out = with_results(out, text, HITS, _scanner(shared, width), parts[-1], raw=True)
+        out = with_results(out, text, HITS, _scanner(shared, width), parts[-1], given="bytes")
     spans = F.flatten(F.array(*[F.col(p)["spans"] for p in parts]))
     found = F.flatten(F.array(*[F.col(p)["items"] for p in parts]))
     hits = F.struct(

@@ -6,7 +6,9 @@ import uuid
 from collections.abc import Callable, Iterator
 from pathlib import Path
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -14,8 +16,8 @@ from pyspark.sql.pandas.types import to_arrow_type
 
 BATCH_ROWS = 1000
 BATCH_BYTES = 16 << 20
-SLICE_CHARS = 1 << 22
-"""Text characters a row function sees at once; a longer text comes alone."""
+SLICE_BYTES = 1 << 22
+"""Text bytes a row function sees at once; a longer text comes alone."""
 
 
 def bounded_batches(spark: SparkSession) -> None:
@@ -36,18 +38,14 @@ def fresh(df: DataFrame, wanted: str) -> str:
     return wanted
 
 
-def slices(texts: pa.Array, most: int = SLICE_CHARS) -> Iterator[list]:
-    """Consecutive parts of a column, each of about ``most`` characters at most (one text may be longer)."""
-    size, part = 0, []
-    for text in texts:
-        value = text.as_py()
-        part.append(value)
-        size += len(value or "") + 100
-        if size >= most:
-            yield part
-            size, part = 0, []
-    if part:
-        yield part
+def slices(texts: pa.Array, most: int = SLICE_BYTES) -> Iterator[pa.Array]:
+    """Consecutive parts of a text column, each of about ``most`` bytes at most (one text may be longer)."""
+    size = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64) + 100
+    part = np.cumsum(size) // most
+    cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(part)]
+    for a, b in zip(cuts, cuts[1:]):
+        if a < b:
+            yield texts.slice(a, b - a)
 
 
 def with_results(
@@ -56,12 +54,13 @@ def with_results(
     fields: T.StructType,
     judge: Callable[[], Callable[[list], list]],
     column: str,
-    raw: bool = False,
+    given: str = "str",
 ) -> DataFrame:
     """``df`` with a struct ``column`` that ``judge()(texts)`` computes from the text column.
 
-    ``judge`` is called once per task and returns a function from a list of texts (None for null; their
-    UTF-8 bytes if ``raw``) to one list of values per field. All other columns pass through as they are.
+    ``judge`` is called once per task and returns a function from some texts to one list of values per
+    field. ``given`` says how it gets them: a list of "str" or of UTF-8 "bytes", None for null, or an
+    "arrow" array. All other columns pass through as they are.
     """
     bounded_batches(df.sparkSession)
     names = df.columns
@@ -73,8 +72,12 @@ def with_results(
         rate = judge()
         for batch in batches:
             done = 0
-            for texts in slices(batch.column(at).cast(pa.binary()) if raw else batch.column(at)):
-                values = [pa.array(v, type=k) for v, (_, k) in zip(rate(texts), kinds, strict=True)]
+            for texts in slices(batch.column(at)):
+                if given == "bytes":
+                    values = rate(texts.cast(pa.binary()).to_pylist())
+                else:
+                    values = rate(texts if given == "arrow" else texts.to_pylist())
+                values = [pa.array(v, type=k) for v, (_, k) in zip(values, kinds, strict=True)]
                 part = pa.StructArray.from_arrays(values, fields=list(struct))
                 yield pa.RecordBatch.from_arrays([*batch.slice(done, len(texts)).columns, part], names=[*names, column])
                 done += len(texts)

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontam, repetition, simhash
+from . import bpe, decontam, repetition, simhash, token_planes
 from .frames import written
 
 VOCABULARY = "byte_bpe_50k.json"
@@ -46,6 +46,13 @@ def op3_repetition_rules(spark: SparkSession, folder: str) -> DataFrame:
     return repetition.judged(texts(spark, folder)).select("doc_id", "rules.*")
 
 
+@query
+def op5_token_planes(spark: SparkSession, folder: str) -> DataFrame:
+    path = token_planes.new_folder(spark)
+    token_planes.write(texts(spark, folder), path, public_tokenizers.path(VOCABULARY))
+    return token_planes.read(spark, path, with_ids=False)
+
+
 @query
 def op9_simhash_components(spark: SparkSession, folder: str) -> DataFrame:
     prints = written(simhash.fingerprints(texts(spark, folder)).select("doc_id", "simhash.bits"), "simhash")

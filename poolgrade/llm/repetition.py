@@ -138,4 +138,4 @@ def rules(texts: list[bytes | None]) -> list:
 
 def judged(df: DataFrame, text: str = "text", column: str = "rules") -> DataFrame:
     """``df`` with a struct of the counts, shares and verdicts of each text."""
-    return with_results(df, text, RULES, lambda: rules, column, raw=True)
+    return with_results(df, text, RULES, lambda: rules, column, given="bytes")

@@ -70,7 +70,7 @@ def fingerprints(df: DataFrame, text: str = "text", column: str = "simhash", wor
     def judge():
         return lambda texts: [fingerprint(texts, words).view(np.int64)]
 
-    return with_results(df, text, FIELDS, judge, column, raw=True)
+    return with_results(df, text, FIELDS, judge, column, given="bytes")
 
 
 def _balls(value, width: int):
