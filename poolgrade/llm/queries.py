@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, decontam, repetition, simhash, token_planes, url_filter
-from .frames import written
+from . import bpe, chat, decontam, langid, quality_knn, repetition, simhash, token_planes, toxicity, url_filter
+from .frames import remainder, written
 
 VOCABULARY = "byte_bpe_50k.json"
 
@@ -118,6 +118,37 @@ def op5_token_planes(spark: SparkSession, folder: str) -> DataFrame:
     return token_planes.read(spark, path, with_ids=False)
 
 
+TOXIC_FROM = 0.3
+GOOD_FROM = 0.5
+
+
+@query
+def op6_language_id(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text", "lang")
+    held_out = remainder(F.col("doc_id"), 4) == 2
+    model = langid.fit(docs.where(~held_out))
+    found = langid.identified(docs.select("doc_id", "text"), model)
+    return found.select("doc_id", held_out.alias("held_out"), "language.*")
+
+
+@query
+def op7_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    docs = texts(spark, folder)
+    held_out = remainder(F.col("doc_id"), 4) == 2
+    machine = toxicity.fit(docs, table(spark, folder, "labels"), ~held_out)
+    found = toxicity.scored(docs, machine).select("doc_id", held_out.alias("held_out"), "toxicity.score")
+    return found.withColumn("predicted", (F.col("score") >= TOXIC_FROM).cast("int"))
+
+
+@query
+def op8_quality_neighbours(spark: SparkSession, folder: str) -> DataFrame:
+    docs = texts(spark, folder)
+    held_out = remainder(F.col("doc_id"), 3) == 1
+    voters = quality_knn.fit(docs, table(spark, folder, "labels"), ~held_out)
+    found = quality_knn.scored(docs, voters).select("doc_id", held_out.alias("held_out"), "quality.score")
+    return found.withColumn("predicted", (F.col("score") >= GOOD_FROM).cast("int"))
+
+
 @query
 def op9_simhash_components(spark: SparkSession, folder: str) -> DataFrame:
     prints = written(simhash.fingerprints(texts(spark, folder)).select("doc_id", "simhash.bits"), "simhash")

@@ -72,3 +72,43 @@ def binaries(numbers: np.ndarray, edges: np.ndarray) -> pa.Array:
     offsets = pa.py_buffer((edges * 4).astype(np.int64).tobytes())
     data = pa.py_buffer(numbers.astype("<u4").tobytes())
     return pa.Array.from_buffers(pa.large_binary(), len(edges) - 1, [None, offsets, data]).cast(pa.binary())
+
+
+def flat_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The UTF-8 bytes of all texts in a row and where each begins (nulls count as empty)."""
+    texts = pc.fill_null(texts, "").cast(pa.large_string())
+    edges = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
+    data = texts.buffers()[2]
+    flat = np.frombuffer(data, np.uint8) if data else np.zeros(0, np.uint8)
+    return flat[edges[0] : edges[-1]], edges - edges[0]
+
+
+def split_words(texts: pa.Array, table: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[str]]:
+    """Word numbers of all texts in a row, where each text's begin, and the different words.
+
+    ``table`` maps each byte to another or to a blank; bytes from 0x80 on must stay.
+    """
+    flat, edges = flat_bytes(texts)
+    buffers = [None, pa.py_buffer(edges.astype(np.int64).tobytes()), pa.py_buffer(table[flat].tobytes())]
+    mapped = pa.Array.from_buffers(pa.large_string(), len(texts), buffers)
+    split = pc.split_pattern(mapped, " ")
+    parts = split.flatten().dictionary_encode()
+    starts = split.offsets.to_numpy().astype(np.int64)
+    starts -= starts[0]
+    words = listed(parts.dictionary)
+    codes = parts.indices.to_numpy().astype(np.int64)
+    if "" in words:
+        empty = words.index("")
+        there = codes != empty
+        starts = np.concatenate([[0], np.cumsum(there)])[starts]
+        codes = codes[there]
+    return codes, starts, words
+
+
+def byte_table(keep: str, lower: bool) -> np.ndarray:
+    """A table for `split_words`: the ASCII characters ``keep`` and all other bytes stay, the rest are blanks."""
+    out = np.full(256, 0x20, np.uint8)
+    out[0x80:] = np.arange(0x80, 0x100)
+    for c in keep.encode():
+        out[c] = c + 32 if lower and 0x41 <= c <= 0x5A else c
+    return out
