@@ -17,7 +17,6 @@ MODULES = (
     "search",
     "joins",
     "matching",
-    "studies",
     "clusters",
 )
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -214,8 +216,12 @@ pool AS (SELECT * FROM meas WHERE family IS NOT NULL AND position <> 'Goleiro' A
 """
 
 
-def with_base(*ctes: str, select: str) -> str:
-    return "WITH " + ", ".join([BASE_SQL.strip(), *ctes]) + " " + select
+def with_base(*ctes: str, select: str, once: bool = False) -> str:
+    """The shared tables, further ones and the select; ``once`` keeps each table that is read several times."""
+    tables = ", ".join([BASE_SQL.strip(), *ctes])
+    if once:
+        tables = re.sub(r"(\w+) AS \((?=\s*SELECT)", r"\1 AS MATERIALIZED (", tables)
+    return f"WITH {tables} {select}"
 
 
 def dense_pct(value: str, by: str = "family") -> str:

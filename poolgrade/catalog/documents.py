@@ -201,6 +201,7 @@ def _(spark, folder):
         f"items AS ({_aspect_rows()})",
         select="SELECT id_a, id_b, x.grp AS aspect_group, x.label, x.percentile AS value_a, y.percentile AS value_b, CASE WHEN x.percentile = y.percentile THEN 'tie' WHEN x.percentile > y.percentile THEN 'a' ELSE 'b' END AS leads "
         "FROM duo JOIN items x ON x.player_id = id_a JOIN items y ON y.player_id = id_b AND x.grp = y.grp AND x.label = y.label",
+        once=True,
     ),
 )
 def _(spark, folder):

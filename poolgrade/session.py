@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import os
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, Observation, SparkSession
@@ -35,13 +34,13 @@ def local_session(cores: str = "*", shuffle_partitions: int = 8, memory: str = "
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder named by ``spark.checkpoint.dir``; a private one only in local mode."""
+    """The shared folder named by ``spark.checkpoint.dir``; in local mode, without one, a folder of the warehouse."""
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder that every executor can reach")
-    folder = tempfile.mkdtemp(prefix="poolgrade-")
+    folder = os.path.join(spark.conf.get("spark.sql.warehouse.dir"), "shared")
     spark.conf.set("spark.checkpoint.dir", folder)
     return folder
 
