@@ -63,13 +63,10 @@ def differences(spark, con, folder, entry):
 
 def main() -> int:
     from poolgrade.catalog import load
-    from poolgrade.operators import ranks
     from poolgrade.session import local_session
 
     folder = sys.argv[1] if len(sys.argv) > 1 else "/root/testdata/sf0.01"
     parts = [a for a in sys.argv[2:] if not a.startswith("--")]
-    if "--table" in sys.argv:  # rank through the distributed table even when the data is small
-        ranks.WINDOW_ROWS = 0
     spark = local_session("8")
     spark.sparkContext.setLogLevel("ERROR")
     con = connect(folder)

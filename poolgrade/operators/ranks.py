@@ -12,9 +12,8 @@ below it, which splits well:
 4. bring the result back to the rows. Values that hold a large share of a pool travel as a small
    broadcast, all others through a shuffled join.
 
-The values to rank are written once and counted while they are written. Up to ``WINDOW_ROWS``
-values one plain window per pool does the same job with fewer stages; both ways give the same
-numbers and the tests run both.
+The values to rank are written once, and counted with their pools while they are written. The count
+sets the number of cuts and which values are frequent; the plan is the same at every size.
 """
 
 from __future__ import annotations
@@ -25,33 +24,44 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..session import settle, settle_counted
+from ..session import settle, settle_measured
 
-CUTS_PER_POOL = 255
-"""Cut points per pool: the cut and offset tables hold at most pools x 256 rows."""
+BUCKET_VALUES = 250_000
+"""Values that a bucket should hold; the number of cuts follows from the observed count."""
 
-MANY_VALUES, MANY_CUTS = 1_000_000_000, 4095
-"""Beyond this many values the pools are cut finer; the tables then hold pools x 4096 rows."""
+LEAST_CUTS = 7
 
-WINDOW_ROWS = 2_000_000
-"""Largest number of values, over all pools and metrics, that plain windows may rank."""
+FREQUENT = 10_000
+"""A value is frequent when it holds more than 1/10,000 of all values, so at most 10,000 are."""
 
-HOT_VALUES_PER_POOL = 64
-"""A value is hot when it holds more than 1/64 of its pool, so a pool has fewer than 64 of them."""
+BROADCAST_ROWS = 1_000_000
+"""Cut and offset tables up to this size, known from the observed counts, are broadcast; larger ones are joined."""
+
+
+def small(df: DataFrame, rows: int) -> DataFrame:
+    """``df`` marked for broadcast if the known bound on its rows allows it."""
+    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
+
+
+def measured_values(rows: DataFrame, keys: Sequence[str], name: str) -> tuple[DataFrame, int, int]:
+    """``rows`` written once, with the number of rows and (about) of pools."""
+    seen = {"rows": F.count(F.lit(1)), "pools": F.approx_count_distinct(F.struct(*keys))}
+    out, found = settle_measured(rows, name, seen)
+    return out, found["rows"], 2 * found["pools"] + 1
 
 
 def value_ranks(
-    rows: DataFrame, keys: Sequence[str], value: str = "value", count: int | None = None
+    rows: DataFrame, keys: Sequence[str], count: int, pools: int, value: str = "value"
 ) -> DataFrame:
     """One row per (keys, distinct value) with its position in the pool.
 
     Columns: ``cnt`` rows with the value, ``below`` rows strictly below, ``upto`` rows at or
     below, ``dense`` 1-based dense rank, ``n`` rows and ``n_dense`` distinct values of the pool.
     Null values are left out. ``keys`` must come from a small dimension (families, metrics).
-    ``count`` is the number of rows when it is known.
+    ``count`` and ``pools`` are the numbers of rows and of pools (upper bounds).
     """
     keys = list(keys)
-    cuts_wanted = MANY_CUTS if count is not None and count > MANY_VALUES else CUTS_PER_POOL
+    cuts_wanted = max(LEAST_CUTS, (1 << (count // BUCKET_VALUES).bit_length()) - 1)
     distinct = (
         rows.where(F.col(value).isNotNull())
         .groupBy(*keys, value)
@@ -63,7 +73,7 @@ def value_ranks(
         .groupBy(*keys)
         .agg(F.sort_array(F.collect_list("_cut")).alias("_cuts"))
     )
-    bucketed = _locate(distinct.join(F.broadcast(cuts), keys), value, cuts_wanted).select(*keys, value, "cnt", "_bucket")
+    bucketed = _locate(distinct.join(small(cuts, pools * cuts_wanted), keys), value, cuts_wanted).select(*keys, value, "cnt", "_bucket")
     before = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     pool = Window.partitionBy(*keys)
     offsets = (
@@ -83,7 +93,7 @@ def value_ranks(
     return (
         bucketed.withColumn("_run", F.sum("cnt").over(running))
         .withColumn("_nth", F.row_number().over(inside))
-        .join(F.broadcast(offsets), [*keys, "_bucket"])
+        .join(small(offsets, pools * (cuts_wanted + 1)), [*keys, "_bucket"])
         .select(
             *keys,
             value,
@@ -110,15 +120,18 @@ def _locate(df: DataFrame, value: str, most: int) -> DataFrame:
 
 
 def attach_ranks(
-    rows: DataFrame, ranks: DataFrame, keys: Sequence[str], value: str, spread: str, payload: Mapping[str, Column]
+    rows: DataFrame, ranks: DataFrame, keys: Sequence[str], value: str, spread: str, payload: Mapping[str, Column], count: int
 ) -> DataFrame:
-    """Join rank columns back to the rows on (keys, value).
+    """Join rank columns back to the ``count`` rows on (keys, value).
+
+    Frequent values travel as a broadcast of at most ``FREQUENT`` rows; any other is less than that
+    fraction of the join's rows.
 
     ``payload`` names the columns to bring, as expressions over the rank table. ``spread`` is a
     column with many values (an id) that scatters the rows already served by the hot broadcast.
     """
     keys = list(keys)
-    hot = F.col("cnt") * HOT_VALUES_PER_POOL > F.col("n")
+    hot = F.col("cnt") * FREQUENT > max(count, FREQUENT)
     bundle = F.struct(*[expr.alias(name) for name, expr in payload.items()])
     frequent = ranks.where(hot).select(*keys, value, bundle.alias("_hot"))
     others = ranks.where(~hot).select(
@@ -183,11 +196,11 @@ def cumulative_share() -> Column:
     return F.col("upto") / F.col("n")
 
 
-def with_lowest(ranks: DataFrame, keys: Sequence[str]) -> DataFrame:
+def with_lowest(ranks: DataFrame, keys: Sequence[str], pools: int) -> DataFrame:
     """Add ``lowest_upto``: the rows holding the smallest value of the pool."""
     keys = list(keys)
     low = ranks.where(F.col("below") == 0).select(*keys, F.col("upto").alias("lowest_upto"))
-    return ranks.join(F.broadcast(low), keys)
+    return ranks.join(small(low, pools), keys)
 
 
 KINDS = {
@@ -201,39 +214,6 @@ KINDS = {
 }
 
 
-def _window_positions(rows: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
-    """The columns of `value_ranks` for every row, by plain windows; nulls get no position."""
-    known = F.col(value).isNotNull()
-    pool = Window.partitionBy(*keys, known)
-    ordered = pool.orderBy(value)
-    peers = ordered.rangeBetween(Window.unboundedPreceding, Window.currentRow)
-    whole = ordered.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    cells = {
-        "below": F.rank().over(ordered).cast("bigint") - 1,
-        "upto": F.count(F.lit(1)).over(peers),
-        "dense": F.dense_rank().over(ordered).cast("bigint"),
-        "n": F.count(F.lit(1)).over(whole),
-    }
-    out = rows.withColumns({k: F.when(known, e) for k, e in cells.items()})
-    return out.withColumn("n_dense", F.max("dense").over(whole))
-
-
-def _positions_to_rows(
-    rows: DataFrame, count: int, keys: Sequence[str], value: str, spread: str, payload: Mapping[str, Column], low: bool
-) -> DataFrame:
-    """Rank payload for every row of a settled frame, by windows or by the distributed table."""
-    if count <= WINDOW_ROWS:
-        placed = _window_positions(rows, keys, value)
-        if low:
-            first = F.min("upto").over(Window.partitionBy(*keys, F.col(value).isNotNull()))
-            placed = placed.withColumn("lowest_upto", first)
-        return placed.select(*rows.columns, *[F.when(F.col(value).isNotNull(), e).alias(n) for n, e in payload.items()])
-    ranks = settle(value_ranks(rows, keys, value, count), "ranks")
-    if low:
-        ranks = with_lowest(ranks, keys)
-    return attach_ranks(rows, ranks, keys, value, spread, payload)
-
-
 def rank_columns(
     df: DataFrame, pool: Sequence[str], id_col: str, wanted: Mapping[str, tuple[str | Column, str]]
 ) -> DataFrame:
@@ -261,10 +241,12 @@ def rank_columns(
     long = df.select(*pool, id_col, F.explode(F.array(*entries)).alias("_e")).select(
         *pool, id_col, "_e.metric", "_e.value"
     )
-    long, count = settle_counted(long, "values")
-    got = _positions_to_rows(
-        long, count, [*pool, "metric"], "value", id_col, {k: KINDS[k]() for k in kinds}, "reversed" in kinds
-    )
+    keys = [*pool, "metric"]
+    long, count, pools = measured_values(long, keys, "values")
+    ranks = settle(value_ranks(long, keys, count, pools), "ranks")
+    if "reversed" in kinds:
+        ranks = with_lowest(ranks, keys, pools)
+    got = attach_ranks(long, ranks, keys, "value", id_col, {k: KINDS[k]() for k in kinds}, count)
     cells = [
         F.max(F.when(F.col("metric") == slot_of[out], F.col(kind))).alias(out) for out, (_, kind) in wanted.items()
     ]
@@ -284,12 +266,9 @@ def ordinal(df: DataFrame, pool: Sequence[str], order: Sequence[Column], id_col:
     keyed = df.select(
         *(pool or [F.lit(0).alias("_all")]), id_col, F.struct(*[o.alias(f"o{i}") for i, o in enumerate(order)]).alias("_o")
     )
-    keyed, count = settle_counted(keyed, "order")
-    if count <= WINDOW_ROWS:
-        got = keyed.select(id_col, F.row_number().over(Window.partitionBy(*keys).orderBy("_o")).alias(out))
-    else:
-        ranks = settle(value_ranks(keyed, keys, "_o", count), "ranks")
-        got = attach_ranks(keyed, ranks, keys, "_o", id_col, {out: F.col("upto")}).select(id_col, out)
+    keyed, count, pools = measured_values(keyed, keys, "order")
+    ranks = settle(value_ranks(keyed, keys, count, pools, "_o"), "ranks")
+    got = attach_ranks(keyed, ranks, keys, "_o", id_col, {out: F.col("upto")}, count).select(id_col, out)
     return df.join(got.withColumn(out, F.col(out).cast("bigint")), id_col)
 
 
@@ -297,10 +276,8 @@ def exact_quantiles(
     rows: DataFrame, keys: Sequence[str], points: Mapping[str, float], value: str = "value"
 ) -> DataFrame:
     """Exact quantiles with linear interpolation, one row per pool."""
-    rows, count = settle_counted(rows.select(*keys, value), "values")
-    if count <= WINDOW_ROWS:
-        return rows.groupBy(*keys).agg(*[F.percentile(value, q).alias(n) for n, q in points.items()])
-    return quantiles(value_ranks(rows, keys, value, count), keys, points, value)
+    rows, count, pools = measured_values(rows.select(*keys, value), keys, "values")
+    return quantiles(value_ranks(rows, keys, count, pools, value), keys, points, value)
 
 
 def quantiles(ranks: DataFrame, keys: Sequence[str], points: Mapping[str, float], value: str = "value") -> DataFrame:

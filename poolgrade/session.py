@@ -5,7 +5,7 @@ from __future__ import annotations
 import os
 import uuid
 
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 DEFAULTS = {
@@ -56,11 +56,17 @@ def settle(df: DataFrame, name: str = "stage") -> DataFrame:
 
 def settle_counted(df: DataFrame, name: str = "stage") -> tuple[DataFrame, int]:
     """`settle`, and the number of rows, observed while writing."""
+    out, seen = settle_measured(df, name, {"rows": F.count(F.lit(1))})
+    return out, seen["rows"]
+
+
+def settle_measured(df: DataFrame, name: str, measures: dict[str, Column]) -> tuple[DataFrame, dict]:
+    """`settle`, and aggregates of the rows, observed while writing."""
     spark = df.sparkSession
     path = os.path.join(scratch_dir(spark), "poolgrade", f"{name}-{uuid.uuid4().hex}")
     seen = Observation()
-    df.observe(seen, F.count(F.lit(1)).alias("rows")).write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path), seen.get["rows"]
+    df.observe(seen, *[c.alias(k) for k, c in measures.items()]).write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path), seen.get
 
 
 def release(spark: SparkSession) -> bool:

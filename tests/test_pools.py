@@ -1,4 +1,4 @@
-"""Hand-computed pools for ranks, z-scores, residuals and scales, by both ways of ranking."""
+"""Hand-computed pools for ranks, z-scores, residuals and scales, with few and with many cuts."""
 
 import math
 import random
@@ -12,9 +12,13 @@ from poolgrade.plans.common import minutes_confidence, shrink
 from poolgrade.plans.centrebacks import balance_bonus, legacy_component, stepped_bonus
 
 
-@pytest.fixture(params=["window", "table"])
+@pytest.fixture(params=["as set", "many cuts", "no broadcast"])
 def way(request, monkeypatch):
-    monkeypatch.setattr(ranks, "WINDOW_ROWS", 2_000_000 if request.param == "window" else 0)
+    if request.param == "many cuts":
+        monkeypatch.setattr(ranks, "BUCKET_VALUES", 2)
+        monkeypatch.setattr(ranks, "FREQUENT", 5)
+    if request.param == "no broadcast":
+        monkeypatch.setattr(ranks, "BROADCAST_ROWS", 0)
     return request.param
 
 
@@ -79,8 +83,7 @@ def test_rank_against_brute_force_with_a_hot_value(spark, way):
 
 
 def test_finer_cuts_give_the_same_ranks(spark, monkeypatch):
-    monkeypatch.setattr(ranks, "WINDOW_ROWS", 0)
-    monkeypatch.setattr(ranks, "MANY_VALUES", 0)
+    monkeypatch.setattr(ranks, "BUCKET_VALUES", 1)
     values = [float((i * 37) % 211) for i in range(500)]
     want = [100.0 * sorted(set(values)).index(v) / (len(set(values)) - 1) for v in values]
     assert ranked(spark, values, "dense") == pytest.approx(want)

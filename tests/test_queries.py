@@ -26,8 +26,9 @@ def test_query_matches_sql(spark, con, name):
 @pytest.mark.parametrize(
     "name", ["w1_dense_percentile", "w5_mean_percentile_of_score", "w8_sequential_rank", "n1_clipped_z", "n15_legacy_rating", "n20_fullback_ratings"]
 )
-def test_query_matches_sql_through_the_rank_table(spark, con, monkeypatch, name):
-    monkeypatch.setattr(ranks, "WINDOW_ROWS", 0)
+def test_query_matches_sql_with_many_cuts(spark, con, monkeypatch, name):
+    monkeypatch.setattr(ranks, "BUCKET_VALUES", 50)
+    monkeypatch.setattr(ranks, "FREQUENT", 100)
     assert differences(spark, con, FOLDER, ENTRIES[name])[1] == ""
 
 
@@ -43,6 +44,20 @@ def test_plans_have_no_cartesian_product_or_python(spark, name):
     assert "ArrowEvalPython" not in plan and "BatchEvalPython" not in plan
 
 
+@pytest.mark.parametrize("name", ["w1_dense_percentile", "w8_sequential_rank", "a4_pool_statistics", "p10_identity"])
+def test_no_window_holds_a_whole_pool_of_values(spark, monkeypatch, name):
+    """Windows over values are cut into buckets; only tables of bucket totals have one window per pool."""
+    plans = []
+    write = ranks.settle
+    monkeypatch.setattr(ranks, "settle", lambda df, *a: plans.append(df) or write(df, *a))
+    plans.append(ENTRIES[name].run(spark, FOLDER))
+    for df in plans:
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+        for line in plan.splitlines():
+            if "Window [" in line and "_rows0" not in line and "_values0" not in line and "sum(_rows" not in line:
+                assert "_bucket" in line.rsplit("], [", 2)[-2], line
+
+
 def test_search_reaches_the_scan(spark):
     from poolgrade.operators.search import Filters, search_index
     from poolgrade.sources.tables import table
