@@ -71,7 +71,7 @@ def _(spark, folder):
     c = people(spark, folder).select(normalise(C("name")).alias("cn")).distinct()
     last = F.element_at(tokens(C("qn")), -1)
     pairs = m.block_join(
-        q.withColumn("_w", last), c.select("cn", F.explode(tokens(C("cn"))).alias("_w")), ["_w"], "cn"
+        q.withColumn("_w", last), c.select("cn", F.explode(tokens(C("cn"))).alias("_w")), ["_w"], "cn", "qn"
     ).drop("_w")
     return tidy(m.feed_name_score(pairs), "qn", "cn", "ns")
 

@@ -18,38 +18,51 @@ from pyspark.sql import functions as F
 
 from .. import config
 from ..functions.text import is_youth_team, name_variants, normalise, tokens
-from ..session import settle, settle_counted
+from ..session import settle
 
 C = F.col
 BLOCK_ROWS = 10_000
-"""Right-hand rows of one block that a single task joins; larger blocks are split."""
+"""Rows of a block, on either side, that one task joins; larger blocks are cut on both sides."""
 
 
 # ------------------------------------------------------------------------------- blocked joins
 
 
-def block_join(
-    left: DataFrame, right: DataFrame, keys: Sequence[str], spread: str, most: int | None = None
-) -> DataFrame:
-    """Inner join on block keys. A block with many right rows is cut into parts and the left rows
-    of that block visit every part, so no task holds a whole hot block. ``most`` is a known bound on
-    the right rows of a block; a small one makes the cutting needless."""
+def block_join(left: DataFrame, right: DataFrame, keys: Sequence[str], spread: str, left_spread: str = "q") -> DataFrame:
+    """Inner join on block keys, with large blocks cut into a grid.
+
+    A block with many rows is cut into parts of each side by a hash of ``left_spread`` and ``spread``; every left
+    part meets every right part, so a task holds ``BLOCK_ROWS`` rows of either side at most on average.
+    """
     keys = list(keys)
-    if most is not None and most <= BLOCK_ROWS:
-        return left.join(right, keys)
-    sizes = right.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))
-    hot = sizes.where(C("_rows") > BLOCK_ROWS).select(*keys, F.ceil(C("_rows") / BLOCK_ROWS).cast("int").alias("_parts"))
-    parts = F.coalesce(C("_parts"), F.lit(1))
-    spread_left = left.join(hot, keys, "left").withColumn("_part", F.explode(F.sequence(F.lit(0), parts - 1)))
-    spread_right = right.join(hot, keys, "left").withColumn(
-        "_part", F.pmod(F.xxhash64(spread), parts.cast("bigint")).cast("int")
+    one, none = F.lit(1), F.lit(0)
+    rows = left.select(*keys, one.alias("_l"), none.alias("_r")).unionByName(
+        right.select(*keys, none.alias("_l"), one.alias("_r"))
+    )
+    sizes = rows.groupBy(*keys).agg(F.sum("_l").alias("_nl"), F.sum("_r").alias("_nr"))
+    hot = sizes.where((C("_nl") > BLOCK_ROWS) | (C("_nr") > BLOCK_ROWS)).select(
+        *keys,
+        F.greatest(F.lit(1), F.ceil(C("_nl") / BLOCK_ROWS).cast("int")).alias("_pl"),
+        F.greatest(F.lit(1), F.ceil(C("_nr") / BLOCK_ROWS).cast("int")).alias("_pr"),
     )
-    return spread_left.drop("_parts").join(spread_right.drop("_parts"), [*keys, "_part"]).drop("_part")
 
+    def dealt(df: DataFrame, own: str, own_parts: str, other: str, other_parts: str, by: str) -> DataFrame:
+        mine, theirs = (F.coalesce(C(n), F.lit(1)) for n in (own_parts, other_parts))
+        return df.join(hot, keys, "left").withColumns(
+            {
+                own: F.pmod(F.xxhash64(by), mine.cast("bigint")).cast("int"),
+                other: F.explode(F.sequence(F.lit(0), theirs - 1)),
+            }
+        ).drop("_pl", "_pr")
 
-def contained_texts(
-    needles: DataFrame, needle: str, haystacks: DataFrame, haystack: str, most: int | None = None
-) -> DataFrame:
+    return (
+        dealt(left, "_il", "_pl", "_ir", "_pr", left_spread)
+        .join(dealt(right, "_ir", "_pr", "_il", "_pl", spread), [*keys, "_il", "_ir"])
+        .drop("_il", "_ir")
+    )
+
+
+def contained_texts(needles: DataFrame, needle: str, haystacks: DataFrame, haystack: str) -> DataFrame:
     """Pairs where the needle is a substring of the haystack, through shared three-letter starts.
 
     The needle must begin one of the suffixes of the haystack, so suffix starts are the join key.
@@ -61,7 +74,7 @@ def contained_texts(
     grams = ends.withColumn("_size", size).select(
         haystack, F.expr(f"substring({haystack}, _at, _size)").alias("_gram")
     ).distinct()
-    pairs = block_join(start.where(F.length(needle) > 0), grams, ["_gram"], haystack, most)
+    pairs = block_join(start.where(F.length(needle) > 0), grams, ["_gram"], haystack, needle)
     return pairs.where(C(haystack).contains(C(needle))).select(needle, haystack).distinct()
 
 
@@ -94,16 +107,34 @@ def club_score(qc: Column, cc: Column, aliases: Mapping[str, Sequence[str]], per
 
 def close_clubs(left: DataFrame, right: DataFrame, aliases: Mapping[str, Sequence[str]]) -> DataFrame:
     """Pairs of club texts where one contains the other or both belong to an alias group."""
-    left, n_left = settle_counted(left.select("qc").distinct(), "clubs")
-    right, n_right = settle_counted(right.select("cc").distinct(), "clubs")
-    inside = contained_texts(left, "qc", right, "cc", n_right).unionByName(
-        contained_texts(right, "cc", left, "qc", n_left)
-    )
+    left = settle(left.select("qc").distinct(), "clubs")
+    right = settle(right.select("cc").distinct(), "clubs")
+    inside = contained_texts(left, "qc", right, "cc").unionByName(contained_texts(right, "cc", left, "qc"))
     groups_l = left.select("qc", F.explode(alias_keys(C("qc"), aliases)).alias("w"))
     groups_r = right.select("cc", F.explode(alias_keys(C("cc"), aliases)).alias("w"))
     return inside.unionByName(groups_l.join(groups_r, "w").select("qc", "cc")).distinct()
 
 
+def _word_subsets(df: DataFrame, club: str, size: int) -> DataFrame:
+    """One row per club text and set of ``size`` of its words."""
+    words = df.select(club, F.array_sort(F.array_distinct(tokens(C(club)))).alias("_words"))
+    sets = words.select(club, "_words", F.lit("").alias("_set"), F.lit(0).alias("_from"))
+    for n in range(size):
+        last = F.size("_words") - (size - n) + 1
+        spots = F.explode(F.when(C("_from") < last, F.sequence(C("_from"), last - 1)).otherwise(F.array().cast("array<int>")))
+        sets = sets.select(club, "_words", "_set", spots.alias("_at")).select(
+            club, "_words", F.concat_ws(" ", "_set", F.get("_words", C("_at"))).alias("_set"), (C("_at") + 1).alias("_from")
+        )
+    return sets.select(club, "_set")
+
+
+def clubs_sharing(left: DataFrame, right: DataFrame, least: int) -> DataFrame:
+    """(qc, cc, shared) of club texts with at least ``least`` common words: such pairs share a set of that many."""
+    l, r = (_word_subsets(df.select(c).distinct(), c, least) for df, c in ((left, "qc"), (right, "cc")))
+    pairs = block_join(l, r, ["_set"], "cc", "qc").select("qc", "cc").distinct()
+    return pairs.withColumn("shared", F.size(F.array_intersect(tokens(C("qc")), tokens(C("cc")))))
+
+
 def club_pairs(
     left: DataFrame, right: DataFrame, aliases: Mapping[str, Sequence[str]], per_token: int, alias_score: int
 ) -> DataFrame:
@@ -112,15 +143,13 @@ def club_pairs(
     ``left`` has ``qc`` and ``right`` has ``cc``, both normalised; unrelated pairs score 0 and are
     not listed.
     """
-    left, n_left = settle_counted(left.select("qc").distinct(), "clubs")
-    right, n_right = settle_counted(right.select("cc").distinct(), "clubs")
-    inside = contained_texts(left, "qc", right, "cc", n_right).unionByName(
-        contained_texts(right, "cc", left, "qc", n_left)
-    )
+    left = settle(left.select("qc").distinct(), "clubs")
+    right = settle(right.select("cc").distinct(), "clubs")
+    inside = contained_texts(left, "qc", right, "cc").unionByName(contained_texts(right, "cc", left, "qc"))
     inside = inside.select("qc", "cc", F.lit(100).alias("cs"))
     words_l = left.select("qc", F.explode(F.array_distinct(tokens(C("qc")))).alias("w"))
     words_r = right.select("cc", F.explode(F.array_distinct(tokens(C("cc")))).alias("w"))
-    shared = block_join(words_l, words_r, ["w"], "cc", n_right).groupBy("qc", "cc").agg(
+    shared = block_join(words_l, words_r, ["w"], "cc", "qc").groupBy("qc", "cc").agg(
         (F.lit(40) + F.count(F.lit(1)) * per_token).cast("int").alias("cs")
     )
     groups_l = left.select("qc", F.explode(alias_keys(C("qc"), aliases)).alias("w"))
@@ -234,29 +263,63 @@ def _first_letters(df: DataFrame, name: str) -> DataFrame:
     return df.select("*", F.explode(F.array_distinct(letters)).alias("_w"))
 
 
-def _rare_characters(df: DataFrame, name: str, ratio: float) -> DataFrame:
+def _rare_characters(df: DataFrame, name: str, ratio: float | Column) -> DataFrame:
     """Characters (numbered by occurrence) that a partner with at least this ratio must share.
 
     With ratio r the shared characters are at least r / (2 - r) of a text of length n, so two such
-    texts share a character among the first n - need + 1 in any fixed order, here rare letters first.
+    texts share a character among the first n - need + 1 in any fixed order, here rare letters first. Without a
+    least ratio all texts share a mark.
     """
-    chars = F.filter(F.split(C(name), ""), lambda ch: ch != "")
+    chars = _numbered(C(name))
+    least = F.lit(ratio) if isinstance(ratio, float) else ratio
+    need = F.ceil((least / (F.lit(2.0) - least) - 1e-9) * F.size(chars))
+    keep = (F.size(chars) - need + 1).cast("int")
+    marks = F.slice(F.array_sort(chars), 1, F.greatest(keep, F.lit(1)))
+    return df.select("*", F.explode(F.when(least <= 0, F.array(F.lit("*"))).otherwise(marks)).alias("_w"))
+
+
+def _numbered(name: Column) -> Column:
+    """Characters of a text, each with the number of its occurrence, so that sets of them count repeats."""
+    chars = F.filter(F.split(name, ""), lambda ch: ch != "")
     order = "zqxjkvwyfghbpcmudltnrsoeia 0123456789"
-    numbered = F.transform(
+    return F.transform(
         chars,
         lambda ch, i: F.concat(
             F.lpad(F.instr(F.lit(order), ch).cast("string"), 2, "0"),
-            F.lpad(F.size(F.filter(F.slice(chars, 1, i + 1), lambda x: x == ch)).cast("string"), 3, "0"),
+            ch,
+            F.size(F.filter(F.slice(chars, 1, i + 1), lambda x: x == ch)).cast("string"),
         ),
     )
-    need = F.ceil(F.lit(ratio / (2.0 - ratio) - 1e-9) * F.size(chars))
-    keep = (F.size(chars) - need + 1).cast("int")
-    return df.select("*", F.explode(F.slice(F.array_sort(numbered), 1, F.greatest(keep, F.lit(1)))).alias("_w"))
 
 
-def candidate_pairs(
-    left: DataFrame, right: DataFrame, same_club: Sequence[str], ratio: float, most: int | None = None
-) -> DataFrame:
+def _spelling_keys(df: DataFrame, name: str, ratio: Column) -> DataFrame:
+    """Keys that two texts with at least this ratio share: two of their rare characters.
+
+    At least ``need`` characters are shared, so two of them are among the first n - need + 2 of either text in one
+    fixed order, rare letters first. A text of one or two letters has partners of up to five, which share one.
+    """
+    marks = df.select("*", F.array_sort(_numbered(C(name))).alias("_marks"))
+    n = F.size("_marks")
+    need = F.ceil((ratio / (F.lit(2.0) - ratio) - 1e-9) * n)
+
+    def first(extra: int) -> Column:
+        return F.slice("_marks", 1, F.greatest(F.lit(1), (n - need + extra).cast("int")))
+
+    two = F.flatten(
+        F.transform(first(2), lambda a, i: F.transform(F.filter(first(2), lambda b: b > a), lambda b: F.concat(a, b)))
+    )
+    none = F.array().cast("array<string>")
+    keys = F.concat(F.when(n >= 3, two).otherwise(none), F.when(n <= 5, first(1)).otherwise(none))
+    return marks.select(*df.columns, F.explode(F.array_distinct(keys)).alias("_w"))
+
+
+def _may_reach(a: Column, b: Column, ratio: Column) -> Column:
+    """False if the texts have too few characters in common for the ratio, wherever these stand."""
+    both = F.size(F.array_intersect(_numbered(a), _numbered(b)))
+    return both * 2.0 >= (ratio - 1e-9) * (F.length(a) + F.length(b))
+
+
+def candidate_pairs(left: DataFrame, right: DataFrame, same_club: Sequence[str], ratio: float) -> DataFrame:
     """Pairs (q, c) inside matching clubs that share a word, an initial or enough characters.
 
     ``left`` has q, qn and ``right`` c, cn; ``same_club`` are the columns that must agree.
@@ -268,7 +331,7 @@ def candidate_pairs(
         (_initials(l, "qn"), _first_letters(r, "cn")),
         (_rare_characters(l, "qn", ratio), _rare_characters(r, "cn", ratio)),
     ]
-    found = [block_join(a.drop("qn"), b.drop("cn"), keys, "c", most).select("q", "c") for a, b in ways]
+    found = [block_join(a.drop("qn"), b.drop("cn"), keys, "c").select("q", "c") for a, b in ways]
     return settle(found[0].unionByName(found[1]).unionByName(found[2]).distinct(), "candidates")
 
 
@@ -295,7 +358,7 @@ def match_feed(sheet: DataFrame, feed: DataFrame) -> DataFrame:
     c = texts(feed, "player_name", "primary_team", "player_id").select(
         C("n").alias("cn"), C("k").alias("cc"), C("id").alias("c")
     )
-    c, most = settle_counted(c, "candidates")
+    c = settle(c, "candidates")
 
     # Related clubs share a word, contain each other or have an alias. The first kind needs no list
     # of club pairs: the shared word joins the block key. Only the other two are listed.
@@ -303,6 +366,14 @@ def match_feed(sheet: DataFrame, feed: DataFrame) -> DataFrame:
     own = c.select("c", "cn", C("cc").alias("_k"))
     word_q = q.select("q", "qn", F.explode(F.array_distinct(tokens(C("qc")))).alias("_k"))
     word_c = c.select("c", "cn", F.explode(F.array_distinct(tokens(C("cc")))).alias("_k"))
+    # Names that agree in spelling only reach half of their ratio. With s shared club words the pair still
+    # passes when 29 x ratio + 0.42 x (40 + 15 s) >= 62, which asks for a ratio below 1 from three words on.
+    sharing = settle(clubs_sharing(q, c, 3), "sharing")
+    ratio = F.greatest(F.lit(0.0), (F.lit(45.2) - C("shared") * 6.3) / 29.0 - 1e-6)
+    alike = q.join(sharing, "qc").select("q", "qn", C("cc").alias("_k"), C("shared").alias("_s"), ratio.alias("_r"))
+    theirs = c.join(sharing.select("cc", "shared").distinct(), "cc").select(
+        "c", "cn", C("cc").alias("_k"), C("shared").alias("_s"), ratio.alias("_r")
+    )
     # a name score of 90 covers the whole query or is the same text, so the rarest of its words
     # (or its first initial) is shared, whatever the club
     only_initials = F.size(F.filter(tokens(C("qn")), lambda t: F.length(t) > 1)) == 0
@@ -313,12 +384,13 @@ def match_feed(sheet: DataFrame, feed: DataFrame) -> DataFrame:
         (_words(near, "qn"), _words(own, "cn"), ["_k", "_w"]),
         (_initials(near, "qn"), _first_letters(own, "cn"), ["_k", "_w"]),
         (_rare_characters(near, "qn", 0.68), _rare_characters(own, "cn", 0.68), ["_k", "_w"]),
+        (_rare_characters(alike, "qn", C("_r")), _rare_characters(theirs, "cn", C("_r")), ["_k", "_s", "_w"]),
         (_key_word(q, c), _words(c, "cn"), ["_w"]),
         (bare, _first_letters(c, "cn"), ["_w"]),
     ]
     pairs = None
     for a, b, keys in ways:
-        found = block_join(a.select("q", *keys), b.select("c", *keys), keys, "c", most).select("q", "c")
+        found = block_join(a.select("q", *keys), b.select("c", *keys), keys, "c").select("q", "c")
         pairs = found if pairs is None else pairs.unionByName(found)
     scored = settle(pairs.distinct(), "pairs").join(q, "q").join(c, "c")
     scored = scored.withColumn("cs", club_score(C("qc"), C("cc"), config.FEED_CLUB_ALIASES, 15, 85))
@@ -372,8 +444,8 @@ def match_roster(players: DataFrame, roster: DataFrame) -> DataFrame:
         "c", normalise(C("name")).alias("cn"), "club", C("birth_year").alias("c_birth"), C("height").alias("c_height")
     )
     l = settle(l, "players")
-    r, most = settle_counted(r, "roster")
-    pairs = candidate_pairs(l, r, ["club"], 0.63, most).join(l.drop("club"), "q").join(r.drop("club"), "c")
+    r = settle(r, "roster")
+    pairs = candidate_pairs(l, r, ["club"], 0.63).join(l.drop("club"), "q").join(r.drop("club"), "c")
     scored = roster_name_score(pairs).where(C("ns") > 0)
     born = F.abs(C("birth_year") - C("c_birth"))
     tall = F.abs(C("height") - C("c_height"))
@@ -399,13 +471,13 @@ def match_without_club(players: DataFrame, people: DataFrame, year: int) -> Data
         F.posexplode(name_variants(C("name"))).alias("turn", "variant"),
     )
     r = people.select("c", normalise(C("name")).alias("cn"), "age")
-    r, most = settle_counted(r, "people")
+    r = settle(r, "people")
     counts = _words(r, "cn").groupBy("_w").agg(F.count(F.lit(1)).alias("_n"))
     # a search for a variant returns the people whose name holds every word of it
     rare = _words(l, "variant").join(counts, "_w").groupBy("q", "turn").agg(
         F.min_by("_w", F.struct("_n", "_w")).alias("_w")
     )
-    hits = block_join(rare, _words(r, "cn").select("c", "_w"), ["_w"], "c", most).drop("_w")
+    hits = block_join(rare, _words(r, "cn").select("c", "_w"), ["_w"], "c").drop("_w")
     hits = hits.join(l, ["q", "turn"]).join(r, "c")
     words = tokens(C("variant"))
     hits = hits.where(F.size(F.array_except(words, tokens(C("cn")))) == 0)
@@ -437,18 +509,32 @@ def match_directory(clubs: DataFrame, directory: DataFrame) -> DataFrame:
         .agg(F.min("c").alias("match_id"))
         .withColumn("match_score", F.lit(100.0))
     )
-    r, most = settle_counted(r, "directory")
+    l, r = settle(l, "clubs"), settle(r, "directory")
     left, right = l.select(C("qn").alias("qc")), r.select(C("cn").alias("cc"))
     related = club_pairs(left, right, config.ROSTER_CLUB_ALIASES, 10, 80)
     by_club = related.join(l, C("qc") == C("qn")).join(r, C("cc") == C("cn")).select("q", "c")
-    everywhere = F.lit(0).alias("_any")
-    by_name = candidate_pairs(l.select("*", everywhere), r.select("*", everywhere), ["_any"], 0.55, most)
-    pairs = by_club.unionByName(by_name).distinct().join(l, "q").join(r, "c")
-    scored = roster_name_score(pairs).join(
-        related, (C("qn") == C("qc")) & (C("cn") == C("cc")), "left"
-    )
-    score = F.greatest(F.coalesce(C("cs").cast("double"), F.lit(0.0)), C("ns"))
-    scored = settle(scored.select("q", "c", F.round(score, 9).alias("score")), "directory-scores")
+    ways = [(_words(l, "qn"), _words(r, "cn")), (_initials(l, "qn"), _first_letters(r, "cn"))]
+    by_word = [block_join(a.drop("qn"), b.drop("cn"), ["_w"], "c").select("q", "c") for a, b in ways]
+    pairs = by_club.unionByName(by_word[0]).unionByName(by_word[1]).distinct()
+
+    def scores(pairs: DataFrame) -> DataFrame:
+        named = roster_name_score(pairs.join(l, "q").join(r, "c"))
+        named = named.join(related, (C("qn") == C("qc")) & (C("cn") == C("cc")), "left")
+        score = F.greatest(F.coalesce(C("cs").cast("double"), F.lit(0.0)), C("ns"))
+        return named.select("q", "c", F.round(score, 9).alias("score"))
+
+    worded = settle(scores(pairs), "directory-words")
+    # Spelling alone gives 88 x ratio. It matters where it comes within the lead of the best score by words, so
+    # a club that words decide clearly asks for no spelling at all.
+    best = worded.groupBy("q").agg(F.max("score").alias("peak"))
+    need = F.greatest(F.lit(0.55), (F.coalesce("peak", F.lit(0.0)) - 5.0) / 88.0 - 1e-6)
+    open_ = l.join(best, "q", "left").withColumn("_r", need).where(C("_r") <= 1).select("q", "qn", "_r")
+    spelled = block_join(
+        _spelling_keys(open_, "qn", C("_r")).select("q", "_w"), _spelling_keys(r, "cn", F.lit(0.55)).select("c", "_w"), ["_w"], "c"
+    ).select("q", "c").distinct()
+    spelled = spelled.join(worded, ["q", "c"], "left_anti").join(open_, "q").join(r, "c")
+    spelled = spelled.where(_may_reach(C("qn"), C("cn"), C("_r"))).select("q", "c")
+    scored = settle(worded.unionByName(scores(spelled)), "directory-scores")
     found = _with_margin(scored, "q", 55.0, 5.0)
     return forced.unionByName(found.join(forced, "q", "left_anti"))
 

@@ -62,8 +62,8 @@ def paired(pairs: DataFrame, cards: DataFrame) -> DataFrame:
     body = [c for c in cards.columns if c != "player_id"]
     side_a = cards.select(C("player_id").alias("id_a"), F.struct(*body).alias("a"))
     side_b = cards.select(C("player_id").alias("id_b"), F.struct(*body).alias("b"))
-    half = block_join(side_a, pairs, ["id_a"], "pair")
-    return block_join(side_b, half, ["id_b"], "pair")
+    half = block_join(side_a, pairs, ["id_a"], "pair", "id_a")
+    return block_join(side_b, half, ["id_b"], "pair", "id_b")
 
 
 def _metric_rows(name: str, both: bool, missing: float) -> Column:
