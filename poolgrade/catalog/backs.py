@@ -563,7 +563,7 @@ def _(spark, folder):
 
 @query(
     "n29_profile_blends",
-    "N29 C9",
+    "N29",
     with_base(
         *RATING_CTES,
         "pb AS (SELECT *, CASE WHEN foot = 'Destro' THEN 'Construtor' WHEN foot = 'Canhoto' THEN 'Defensivo' ELSE 'Híbrido' END AS perfil,"

@@ -11,7 +11,7 @@ from ..plans.families import with_blocks
 from ..session import settle
 from ..sources.tables import table
 from . import query
-from .base import pool, r, tidy
+from .base import pool, r, tidy, with_base
 from .search import LABEL_SQL, labelled
 
 C = F.col
@@ -41,9 +41,31 @@ def _(spark, folder):
     return tidy(k.label_agreement(labelled(spark, folder), "a", "b"))
 
 
+def _unit(column: str) -> str:
+    low, high = (f"{fn}({column}) OVER (PARTITION BY family)" for fn in ("min", "max"))
+    return f"(CASE WHEN {high} <= {low} THEN 0e0 ELSE ({column} - {low}) / ({high} - {low}) END)"
+
+
+def _mean(columns) -> str:
+    return "(" + " + ".join(map(_unit, columns)) + f") / {len(columns)}e0"
+
+
+@query(
+    "c9_axis_scores",
+    "C9",
+    with_base(
+        f"axes AS (SELECT player_id, family, {_mean(k.AXIS_BUILD)} AS con, {_mean(k.AXIS_DEFEND)} AS def FROM pool)",
+        select=f"SELECT player_id, {r('con', 'score_con')}, {r('def', 'score_def')} FROM axes WHERE family = 'zagueiros'",
+    ),
+)
+def _(spark, folder):
+    out = k.with_two_axes(pool(spark, folder).where(C("family") == "zagueiros"))
+    return tidy(out, "player_id", "score_con", "score_def")
+
+
 @query("c9_two_axis_profile", "C9 M1 M2 M4")
 def _(spark, folder):
-    out = k.with_two_axis_profile(pool(spark, folder), SEEDS)
+    out = k.with_two_axis_profile(pool(spark, folder).where(C("family") == "zagueiros"), SEEDS)
     return tidy(out, "player_id", "score_con", "score_def", "perfil_k3", "hybrid_lean")
 
 

@@ -34,18 +34,18 @@ def _(spark, folder):
 @query(
     "j2_outer_merge",
     "J2 R10",
-    "WITH m AS (SELECT l_partkey, l_returnflag, max(l_extendedprice) AS s FROM lineitem WHERE l_linenumber = 7 GROUP BY ALL), "
-    "f AS (SELECT l_partkey AS pa, s FROM m WHERE l_returnflag = 'A'), g AS (SELECT l_partkey AS pb, s FROM m WHERE l_returnflag = 'N'), h AS (SELECT l_partkey AS pc, s FROM m WHERE l_returnflag = 'R') "
-    "SELECT coalesce(pa, pb, pc) AS l_partkey, " + r("f.s", "accepted") + ", " + r("g.s", "pending") + ", " + r("h.s", "returned")
-    + " FROM f FULL JOIN g ON pa = pb FULL JOIN h ON coalesce(pa, pb) = pc",
+    "WITH m AS (SELECT l_partkey, l_suppkey, l_returnflag, max(l_extendedprice) AS s FROM lineitem GROUP BY ALL), "
+    + ", ".join(f"{n} AS (SELECT l_partkey, l_suppkey, s AS {n}_s FROM m WHERE l_returnflag = '{n.upper()}')" for n in "anr")
+    + " SELECT l_partkey, l_suppkey, " + r("a_s", "accepted") + ", " + r("n_s", "pending") + ", " + r("r_s", "returned")
+    + " FROM a FULL JOIN n USING (l_partkey, l_suppkey) FULL JOIN r USING (l_partkey, l_suppkey)",
 )
 def _(spark, folder):
-    lines = table(spark, folder, "lineitem").where("l_linenumber = 7")
+    lines = table(spark, folder, "lineitem")
     frames = {
-        name: lines.where(C("l_returnflag") == flag).groupBy("l_partkey").agg(F.max("l_extendedprice").alias("score"))
+        name: lines.where(C("l_returnflag") == flag).groupBy("l_partkey", "l_suppkey").agg(F.max("l_extendedprice").alias("score"))
         for name, flag in (("accepted", "A"), ("pending", "N"), ("returned", "R"))
     }
-    return tidy(j.merge_metrics(frames, ["l_partkey"]))
+    return tidy(j.merge_metrics(frames, ["l_partkey", "l_suppkey"]))
 
 
 @query(

@@ -191,12 +191,22 @@ def k_selection(df: DataFrame, dims: int, label: str, ks: Sequence[int] = (2, 3,
     return out
 
 
-def bootstrap_stability(df: DataFrame, k: int, reps: int, seeds=SEEDS, share: float = 0.8) -> float:
+def bootstrap_stability(
+    df: DataFrame, k: int, reps: int, seeds=SEEDS, share: float = 0.8, id_col: str = "player_id"
+) -> float:
     """Mean agreement of refits on resamples (with replacement) with the full fit."""
     base = settle(best_kmeans(df, k, seeds).transform(df).withColumnRenamed("cluster", "base"), "base")
     scores = []
     for rep in range(reps):
-        resample = settle(base.sample(True, share, 42 + rep), "resample")
+        # how often a row is drawn follows from its id and the repetition, whatever the file layout
+        unit = F.pmod(F.xxhash64(id_col, F.lit(rep)), F.lit(1 << 30)) / (1 << 30)
+        times, below, chance = F.lit(0), 0.0, math.exp(-share)
+        for n in range(1, 9):
+            below += chance
+            times = times + F.when(unit >= below, 1).otherwise(0)
+            chance *= share / n
+        drawn = base.withColumn("_times", times).where("_times > 0")
+        resample = settle(drawn.withColumn("_nth", F.explode(F.sequence(F.lit(1), "_times"))).drop("_nth", "_times"), "resample")
         refit = best_kmeans(resample, k, seeds[:1]).transform(resample)
         scores.append(label_agreement(refit, "base", "cluster").first()["ari"])
     return sum(scores) / len(scores)
@@ -287,18 +297,27 @@ def raw_quadrant_labels(x: Column, y: Column) -> Column:
     )
 
 
+AXIS_BUILD = ("passes_prog", "passes_long", "passes_final", "runs_prog")
+AXIS_DEFEND = ("duels_def", "duels_air", "interception_won_p90")
+
+
+def with_two_axes(df: DataFrame) -> DataFrame:
+    """``score_con`` and ``score_def``: means of measures scaled to 0..1 inside the pool."""
+    unit = min_max(df, ["family"], {f"_u_{c}": c for c in (*AXIS_BUILD, *AXIS_DEFEND)})
+    return unit.withColumns(
+        {
+            "score_con": row_mean([C(f"_u_{c}") for c in AXIS_BUILD]),
+            "score_def": row_mean([C(f"_u_{c}") for c in AXIS_DEFEND]),
+        }
+    ).drop(*[f"_u_{c}" for c in (*AXIS_BUILD, *AXIS_DEFEND)])
+
+
 def with_two_axis_profile(df: DataFrame, seeds: Sequence[int] = SEEDS) -> DataFrame:
     """Construction and defence scores, three clusters of them, and the lean of the hybrids.
 
     The cluster with the smallest gap between the axes is the hybrid one.
     """
-    build = ("passes_prog", "passes_long", "passes_final", "runs_prog")
-    defend = ("duels_def", "duels_air", "interception_won_p90")
-    unit = min_max(df, ["family"], {f"_u_{c}": c for c in (*build, *defend)})
-    axes = unit.withColumns(
-        {"score_con": row_mean([C(f"_u_{c}") for c in build]), "score_def": row_mean([C(f"_u_{c}") for c in defend])}
-    ).drop(*[f"_u_{c}" for c in (*build, *defend)])
-    ready, scale = scaled_features(axes, ["score_con", "score_def"])
+    ready, scale = scaled_features(with_two_axes(df), ["score_con", "score_def"])
     model = best_kmeans(ready, 3, seeds)
     centres = [unscale(c, ["score_con", "score_def"], scale) for c in model.clusterCenters()]
     gaps = [abs(c["score_con"] - c["score_def"]) for c in centres]
