@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from .frames import with_results
-from .words import binaries, gathered, stretches
+from .words import binaries, gathered, listed, stretches, unpacked
 
 # The pre-tokenisation pattern of the byte-level vocabularies, and the letters and numbers
 # that newer Unicode versions have and the vocabularies' pattern treats as symbols.
@@ -505,9 +505,8 @@ def encoded(df: DataFrame, path: str, text: str = "text", column: str = "bpe", b
 
         def rate(texts):
             cut = stretches(texts)
-            ids = words.after_space([w[1:] for w in cut.strings[: cut.spaced]], path)
-            ids += [encode(w, path) for w in cut.strings[cut.spaced :]]
-            column = binaries(*gathered(cut, ids))
+            ids = words.after_space(listed(cut.after), path) + [encode(w, path) for w in cut.others]
+            column = binaries(*gathered(cut, *unpacked(ids)))
             return [column, [decode(i, path) for i in column.to_pylist()]] if back else [column]
 
         return rate

@@ -23,18 +23,21 @@ from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .frames import bounded_batches, shared_dir, slices
-from .words import gathered, stretches
+from .words import SPACE, Stretches, gathered, listed, stretches
 
 END_ID = 2
 BLOCK_IDS = 1 << 16
 CHUNK_IDS = 1 << 19
 LEVEL = 3
-LINE = 2000  # words that the tokenizer gets at once
+LINE = 2000  # words that the tokenizer gets as one text
+LINES = 8  # texts that it gets at once
+SLICE_BYTES = 2 << 20
 CUTS_ACCURACY = 10_000
 
 CHUNKS = (
@@ -57,35 +60,40 @@ def _tokenizer(path: str):
     return tokenizer, lengths
 
 
-def word_ids(words: list[str], path: str) -> list[bytes]:
-    """Packed ids of texts that each begin with a space or stand alone, by the tokenizers library.
+def stretch_ids(cut: Stretches, path: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Ids of all stretches by the tokenizers library, as `gathered` takes them.
 
-    Many words go to the library in one line; the lengths of the tokens tell where each word ends.
+    Many words go to the library in one line, each after the blank that it has in the text; the lengths of
+    the tokens tell where each ends. Words that end in a blank would run into the next and go by themselves.
     """
     tokenizer, lengths = _tokenizer(path)
-    out: list[bytes | None] = [None] * len(words)
-    joint = [i for i, w in enumerate(words) if len(w) > 1 and w[0] == " " and not w[1].isspace() and not w[-1].isspace()]
-    lines = [joint[i : i + LINE] for i in range(0, len(joint), LINE)]
-    texts = ["".join([words[i] for i in line]) for line in lines]
-    for line, code in zip(lines, tokenizer.encode_batch_fast(texts, add_special_tokens=False)):
-        ids = np.array(code.ids, "<u4")
-        ends = np.cumsum(np.fromiter((len(words[i].encode()) for i in line), np.int64, len(line)))
-        at = np.concatenate([[0], np.searchsorted(np.cumsum(lengths[ids]), ends, side="right")]) * 4
-        data = ids.tobytes()
-        cuts = at.tolist()
-        for i, a, b in zip(line, cuts, cuts[1:]):
-            out[i] = data[a:b]
-    alone = [i for i, x in enumerate(out) if x is None]
-    codes = tokenizer.encode_batch_fast([words[i] for i in alone], add_special_tokens=False)
-    for i, code in zip(alone, codes):
-        out[i] = np.array(code.ids, "<u4").tobytes()
-    return out
+    runs_on = pc.match_substring_regex(cut.after, f"{SPACE}$|^$").to_numpy(zero_copy_only=False)
+    joint, alone = np.flatnonzero(~runs_on), np.flatnonzero(runs_on)
+    words = listed(cut.after.take(pa.array(joint)))
+    lines = [" " + " ".join(words[i : i + LINE]) for i in range(0, len(words), LINE)]
+    apart = [" " + w for w in listed(cut.after.take(pa.array(alone)))] + cut.others
+    texts, coded = [*lines, *apart], []
+    for start in range(0, len(texts), LINES):  # the library's own results are large
+        some = tokenizer.encode_batch_fast(texts[start : start + LINES], add_special_tokens=False)
+        coded += [np.array(c.ids, "<u4") for c in some]
+    flat = np.concatenate([np.zeros(0, "<u4"), *coded])
+    size = pc.binary_length(cut.after).to_numpy(zero_copy_only=False)[joint].astype(np.int64) + 1
+    # words and tokens both cover the lines without a gap
+    ends = np.searchsorted(np.cumsum(lengths[flat]), np.cumsum(size), side="right")
+    sizes = np.zeros(cut.spaced + len(cut.others), np.int64)
+    sizes[joint] = np.diff(ends, prepend=0)
+    rest = np.concatenate([alone, np.arange(cut.spaced, len(sizes))])
+    sizes[rest] = [len(c) for c in coded[len(lines) :]]
+    order = np.concatenate([joint, rest])
+    places = np.zeros(len(sizes), np.int64)
+    places[order] = np.cumsum(sizes[order]) - sizes[order]
+    return flat, sizes, places
 
 
 def document_ids(texts: pa.Array, path: str, end_id: int | None) -> tuple[np.ndarray, np.ndarray]:
     """Ids of all texts in a row and where each text's begin; ``end_id`` closes each text."""
     cut = stretches(texts)
-    ids, edges = gathered(cut, word_ids(cut.strings, path))
+    ids, edges = gathered(cut, *stretch_ids(cut, path))
     if end_id is None:
         return ids, edges
     return np.insert(ids, edges[1:], end_id), edges + np.arange(len(edges))
@@ -202,7 +210,7 @@ def write(
                     yield from now.rest()
                     now = None
                 now = now or Chunks(int(shards[a]), bits, count)
-                for part in slices(batch.column("text").slice(a, b - a)):
+                for part in slices(batch.column("text").slice(a, b - a), SLICE_BYTES):
                     ids, edges = document_ids(part, vocabulary, end_id)
                     doc_ids = batch.column("doc_id").slice(a, len(part)).to_pylist()
                     a += len(part)

@@ -9,8 +9,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 # Unicode white space.
-_SPACE = r"[\t-\r \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
-LOOSE = _SPACE + " "
+SPACE = r"[\t-\r \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
+LOOSE = SPACE + " "
 WHOLE_CHARS = 1 << 20
 
 
@@ -18,15 +18,18 @@ WHOLE_CHARS = 1 << 20
 class Stretches:
     """Stretch numbers of all texts in a row, where each text begins, and the different stretches.
 
-    The first ``spaced`` stretches begin with the blank before them, the next ones begin a text; the last
-    ones are whole texts that blanks do not cut safely, or that are very long.
+    The first stretches follow a blank, which belongs to them; the others begin a text, or are whole texts that
+    blanks do not cut safely or that are very long.
     """
 
     codes: np.ndarray
     edges: np.ndarray
-    strings: list[str]
-    spaced: int
-    whole: int
+    after: pa.Array  # the first stretches, without the blank before them
+    others: list[str]
+
+    @property
+    def spaced(self) -> int:
+        return len(self.after)
 
 
 def stretches(texts: pa.Array) -> Stretches:
@@ -46,8 +49,7 @@ def stretches(texts: pa.Array) -> Stretches:
     codes[first] = lead.indices.to_numpy() + spaced
     alone = np.flatnonzero(odd.to_numpy(zero_copy_only=False))
     codes[edges[alone]] = spaced + n_lead + np.arange(len(alone))
-    strings = [" " + w for w in listed(rest.dictionary)] + listed(lead.dictionary) + listed(texts.filter(odd))
-    return Stretches(codes, edges, strings, spaced, len(alone))
+    return Stretches(codes, edges, rest.dictionary, listed(lead.dictionary) + listed(texts.filter(odd)))
 
 
 def listed(strings: pa.Array) -> list[str]:
@@ -55,18 +57,24 @@ def listed(strings: pa.Array) -> list[str]:
     return strings.to_numpy(zero_copy_only=False).tolist()
 
 
-def gathered(cut: Stretches, ids: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """All texts' numbers in a row, and where each text's begin, from each stretch's packed 32-bit numbers."""
-    sizes = np.fromiter(map(len, ids), np.int64, len(ids)) >> 2
-    flat = np.frombuffer(b"".join(ids), "<u4")
-    places = np.concatenate([[0], np.cumsum(sizes)])[:-1]
+def gathered(cut: Stretches, flat: np.ndarray, sizes: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All texts' numbers in a row, and where each text's begin.
+
+    The numbers of stretch k are the ``sizes[k]`` of ``flat`` from ``places[k]`` on.
+    """
     counts = sizes[cut.codes]
     ends = np.concatenate([[0], np.cumsum(counts)])
-    at = np.repeat((places[cut.codes] - ends[:-1]).astype(np.int64), counts)
+    at = np.repeat(places[cut.codes] - ends[:-1], counts)
     at += np.arange(ends[-1])
     return flat[at], ends[cut.edges]
 
 
+def unpacked(ids: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Packed 32-bit numbers of each stretch, as `gathered` takes them."""
+    sizes = np.fromiter(map(len, ids), np.int64, len(ids)) >> 2
+    return np.frombuffer(b"".join(ids), "<u4"), sizes, np.cumsum(sizes) - sizes
+
+
 def binaries(numbers: np.ndarray, edges: np.ndarray) -> pa.Array:
     """Each text's numbers as little-endian 32-bit binary, without copying."""
     offsets = pa.py_buffer((edges * 4).astype(np.int64).tobytes())
