@@ -26,7 +26,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .frames import with_results
+from .frames import with_results, without
 from .words import binaries, gathered, listed, stretches, unpacked
 
 # The pre-tokenisation pattern of the byte-level vocabularies, and the letters and numbers
@@ -46,8 +46,9 @@ HOLD = 16  # characters kept back: more than a contraction or the end-of-text ma
 FEED = 1 << 20  # characters of a text handed over at a time
 OPEN = 4096  # an unfinished piece of this length is encoded by the transducer
 BLOCK = 1024  # bytes the transducer gathers beyond its lookahead
+SLICE_BYTES = 1 << 22  # of text whose new words are merged together
 LONG = 40  # characters of a word or piece that is remembered
-MEMO = 300_000  # remembered words per generation; two generations are kept
+MEMO = 100_000  # remembered words per generation; two generations are kept
 NONE = 1 << 62
 
 
@@ -511,11 +512,12 @@ def encoded(df: DataFrame, path: str, text: str = "text", column: str = "bpe", b
 
         return rate
 
-    return with_results(df, text, CODED if back else IDS, judge, column, given="arrow")
+    return with_results(df, text, CODED if back else IDS, judge, column, given="arrow", most=SLICE_BYTES)
 
 
 def decoded(df: DataFrame, path: str, ids: str = "ids", column: str = "text") -> DataFrame:
     """``df`` with the text of a column of little-endian 32-bit ids (null: null)."""
+    df = without(df, column)
     names, at = df.columns, df.columns.index(ids)
 
     def run(batches):

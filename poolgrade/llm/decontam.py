@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .frames import fresh, with_results, written
+from .frames import fresh, with_results, without, written
 
 WIDTH = 13
 COVERAGE = 20  # contaminated: 1 word in so many, or more, is hit
@@ -207,6 +207,7 @@ def scanned(
     broadcast; further items make further passes, every fourth of which is written out.
     """
     spark = docs.sparkSession
+    docs = without(docs, column)
     names = docs.columns
     out, parts = docs, []
     for n, block in enumerate(blocks(items, item_id, item_text, block_chars)):

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import uuid
 from collections.abc import Callable, Iterator
 from pathlib import Path
@@ -16,7 +17,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 
 BATCH_ROWS = 1000
 BATCH_BYTES = 16 << 20
-SLICE_BYTES = 1 << 22
+SLICE_BYTES = 1 << 21
 """Text bytes a row function sees at once; a longer text comes alone."""
 
 
@@ -38,6 +39,19 @@ def fresh(df: DataFrame, wanted: str) -> str:
     return wanted
 
 
+def give_back() -> None:
+    """Return freed memory to the system at the end of a task: the worker lives on for other operators' tasks."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+    if trim is not None:
+        trim(0)
+
+
+def without(df: DataFrame, column: str) -> DataFrame:
+    """``df`` without the columns of that name in any letter case."""
+    return df.drop(*[c for c in df.columns if c.lower() == column.lower()])
+
+
 def slices(texts: pa.Array, most: int = SLICE_BYTES) -> Iterator[pa.Array]:
     """Consecutive parts of a text column, each of about ``most`` bytes at most (one text may be longer)."""
     size = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64) + 100
@@ -55,14 +69,16 @@ def with_results(
     judge: Callable[[], Callable[[list], list]],
     column: str,
     given: str = "str",
+    most: int = SLICE_BYTES,
 ) -> DataFrame:
     """``df`` with a struct ``column`` that ``judge()(texts)`` computes from the text column.
 
     ``judge`` is called once per task and returns a function from some texts to one list of values per
-    field. ``given`` says how it gets them: a list of "str" or of UTF-8 "bytes", None for null, or an
-    "arrow" array. All other columns pass through as they are.
+    field, for slices of about ``most`` bytes. ``given`` says how it gets them: a list of "str" or of UTF-8 "bytes", None for null, or an
+    "arrow" array. All other columns pass through as they are, but one that is called ``column`` gives way.
     """
     bounded_batches(df.sparkSession)
+    df = without(df, column)
     names = df.columns
     at = names.index(text)
     kinds = [(f.name, to_arrow_type(f.dataType)) for f in fields]
@@ -72,7 +88,7 @@ def with_results(
         rate = judge()
         for batch in batches:
             done = 0
-            for texts in slices(batch.column(at)):
+            for texts in slices(batch.column(at), most):
                 if given == "bytes":
                     values = rate(texts.cast(pa.binary()).to_pylist())
                 else:
@@ -81,6 +97,7 @@ def with_results(
                 part = pa.StructArray.from_arrays(values, fields=list(struct))
                 yield pa.RecordBatch.from_arrays([*batch.slice(done, len(texts)).columns, part], names=[*names, column])
                 done += len(texts)
+        give_back()
 
     schema = T.StructType([*df.schema.fields, T.StructField(column, fields)])
     return df.mapInArrow(run, schema)

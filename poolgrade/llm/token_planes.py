@@ -28,7 +28,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .frames import bounded_batches, shared_dir, slices
+from .frames import bounded_batches, give_back, shared_dir, slices
 from .words import SPACE, Stretches, gathered, listed, stretches
 
 END_ID = 2
@@ -37,7 +37,6 @@ CHUNK_IDS = 1 << 19
 LEVEL = 3
 LINE = 2000  # words that the tokenizer gets as one text
 LINES = 8  # texts that it gets at once
-SLICE_BYTES = 2 << 20
 CUTS_ACCURACY = 10_000
 
 CHUNKS = (
@@ -210,7 +209,7 @@ def write(
                     yield from now.rest()
                     now = None
                 now = now or Chunks(int(shards[a]), bits, count)
-                for part in slices(batch.column("text").slice(a, b - a), SLICE_BYTES):
+                for part in slices(batch.column("text").slice(a, b - a)):
                     ids, edges = document_ids(part, vocabulary, end_id)
                     doc_ids = batch.column("doc_id").slice(a, len(part)).to_pylist()
                     a += len(part)
@@ -218,6 +217,7 @@ def write(
                         yield _row(row)
         if now is not None:
             yield from now.rest()
+        give_back()
 
     ordered = dealt.sortWithinPartitions("shard", "doc_id", "text")
     ordered.mapInArrow(run, CHUNKS).write.option("compression", "none").parquet(path)

@@ -16,7 +16,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .frames import fresh
+from .frames import fresh, without
 from .graph import components
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -116,7 +116,7 @@ def judged(
     if redirects is not None:
         edges = edges.unionByName(redirects.select(node(F.col("source")).alias("u"), node(F.col("target")).alias("v")))
     aliases = alias_verdicts(edges, rules)
-    names = pages.columns
+    names = without(pages, column).columns
     at, hit = fresh(pages, "_node"), fresh(pages, "_hit")
     rows = pages.withColumns({at: node(F.col(url)), hit: longest_rule(host(F.col(url)), path(F.col(url)), rules)})
     alias_at, alias_verdict = fresh(pages, "_alias"), fresh(pages, "_alias_verdict")
