@@ -257,11 +257,14 @@ def _(spark, folder):
     people = settle(measured(spark, folder), "people")
     docs = settle(dossier.build_generic(publish_pool(people)), "docs")
     meta = publish.site_meta(docs, outfield(people), "parquet", "Série A", "2025/26")
-    return meta.select(
+    facets = publish.site_facets(outfield(people)).agg(
+        F.count_if(C("facet") == "club").alias("clubs"), F.count_if(C("facet") == "nationality").alias("nationalities")
+    )
+    return meta.join(facets.select("*", F.lit("Série A").alias("league")), "league").select(
         "league",
         "player_count",
-        F.size("clubs").cast("bigint").alias("clubs"),
-        F.size("nationalities").cast("bigint").alias("nationalities"),
+        "clubs",
+        "nationalities",
         C("filters.height")[0].alias("height_min"),
         C("filters.height")[1].alias("height_max"),
         C("filters.minutes")[1].alias("minutes_max"),
@@ -286,6 +289,7 @@ def _(spark, folder):
     people = settle(measured(spark, folder), "people")
     docs = settle(dossier.build_generic(publish_pool(people)), "docs")
     meta = publish.site_meta(docs, outfield(people), "parquet", "Série A", "2025/26")
-    paths = publish.write_site(docs, meta, os.path.join(scratch_dir(spark), "poolgrade", f"site-{uuid.uuid4().hex}"))
+    facets = publish.site_facets(outfield(people))
+    paths = publish.write_site(docs, meta, facets, os.path.join(scratch_dir(spark), "poolgrade", f"site-{uuid.uuid4().hex}"))
     written = spark.read.schema("player_id string, position_family string").json(paths["dossiers"])
     return written.groupBy("position_family").agg(F.count(F.lit(1)).alias("players"))

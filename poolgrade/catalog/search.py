@@ -388,7 +388,8 @@ def _(spark, folder):
          CASE WHEN v > 90 THEN 'gold' WHEN v > 75 THEN 'silver' WHEN v > 50 THEN 'bronze' END AS volume_badge,
          CASE WHEN least(v, e) > 90 THEN 'gold' WHEN least(v, e) > 75 THEN 'silver' WHEN least(v, e) > 50 THEN 'bronze' END AS dual_badge,
          CASE WHEN v >= 85 THEN 5 WHEN v >= 68 THEN 4 WHEN v >= 48 THEN 3 WHEN v >= 28 THEN 2 ELSE 1 END AS tier,
-         CASE WHEN v >= 85 THEN 92 WHEN v >= 75 THEN 80 WHEN v >= 65 THEN 70 WHEN v >= 55 THEN 60 WHEN v >= 45 THEN 50 WHEN v >= 35 THEN 40 WHEN v >= 25 THEN 30 ELSE 15 END AS grade_points FROM g""",
+         CASE WHEN v >= 85 THEN 92 WHEN v >= 75 THEN 80 WHEN v >= 65 THEN 70 WHEN v >= 55 THEN 60 WHEN v >= 45 THEN 50 WHEN v >= 35 THEN 40 WHEN v >= 25 THEN 30 ELSE 15 END AS grade_points,
+         CASE WHEN v / 10e0 / 10e0 * 100e0 >= 85 THEN 5 WHEN v / 10e0 / 10e0 * 100e0 >= 68 THEN 4 WHEN v / 10e0 / 10e0 * 100e0 >= 48 THEN 3 WHEN v / 10e0 / 10e0 * 100e0 >= 28 THEN 2 ELSE 1 END AS rating_tier FROM g""",
     ),
 )
 def _(spark, folder):
@@ -404,6 +405,7 @@ def _(spark, folder):
         labels.dual_badge(C("v"), C("e")).alias("dual_badge"),
         labels.tier(C("v")).alias("tier"),
         labels.grade_score(C("grade")).alias("grade_points"),
+        labels.rating_tier(C("v") / 10).alias("rating_tier"),
     )
 
 

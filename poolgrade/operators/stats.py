@@ -26,11 +26,6 @@ def facet_values(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     )
 
 
-def facet_lists(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """One row with a sorted list per facet, for facets from small dimensions (clubs, countries)."""
-    return df.agg(*[F.array_sort(F.collect_set(c)).alias(c) for c in columns])
-
-
 def filter_bounds(df: DataFrame) -> DataFrame:
     """Published bounds of the search filters."""
     return df.agg(

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import config
-from ..operators.stats import facet_lists, filter_bounds
+from ..operators.stats import facet_values, filter_bounds
 
 C = F.col
 INDEX_FIELDS = (
@@ -35,9 +35,9 @@ def player_index(docs: DataFrame) -> DataFrame:
 
 
 def site_meta(docs: DataFrame, people: DataFrame, source: str, league: str, season: str) -> DataFrame:
-    """One row: counts per family, facets, filter bounds and the scatter catalogue.
+    """One row: counts per family, filter bounds and the scatter catalogue.
 
-    Facets and bounds come from all outfield rows, counts from the rated ones.
+    Bounds come from all outfield rows, counts from the rated ones. The facets are a table of their own.
     """
     counts = docs.groupBy().agg(
         F.count(F.lit(1)).alias("player_count"),
@@ -47,12 +47,9 @@ def site_meta(docs: DataFrame, people: DataFrame, source: str, league: str, seas
         F.bround(F.min("rating"), 1).alias("_low"),
         F.bround(F.max("rating"), 1).alias("_high"),
     )
-    facets = facet_lists(people, ["club", "nationality"])
     bounds = filter_bounds(people.withColumn("rating", F.lit(0.0)))
     one = F.lit(1).alias("_one")
-    joined = (
-        counts.select("*", one).join(facets.select("*", one), "_one").join(bounds.select("*", one), "_one")
-    )
+    joined = counts.select("*", one).join(bounds.select("*", one), "_one")
     families = F.array(
         *[
             F.struct(
@@ -84,8 +81,6 @@ def site_meta(docs: DataFrame, people: DataFrame, source: str, league: str, seas
         F.lit(source).alias("source"),
         "player_count",
         families.alias("families"),
-        C("club").alias("clubs"),
-        C("nationality").alias("nationalities"),
         F.struct(
             F.array("height_min", "height_max").alias("height"),
             F.array("minutes_min", "minutes_max").alias("minutes"),
@@ -96,9 +91,15 @@ def site_meta(docs: DataFrame, people: DataFrame, source: str, league: str, seas
     )
 
 
-def write_site(docs: DataFrame, meta: DataFrame, folder: str) -> dict[str, str]:
-    """Index, dossiers (a folder per family, read by key) and meta as JSON datasets."""
-    paths = {n: f"{folder.rstrip('/')}/{n}" for n in ("players", "dossiers", "meta")}
+def site_facets(people: DataFrame) -> DataFrame:
+    """The values of the club and nationality filters, one row each, in order."""
+    return facet_values(people, ["club", "nationality"]).orderBy("facet", "value")
+
+
+def write_site(docs: DataFrame, meta: DataFrame, facets: DataFrame, folder: str) -> dict[str, str]:
+    """Index, dossiers (a folder per family, read by key), meta and facets as JSON datasets."""
+    paths = {n: f"{folder.rstrip('/')}/{n}" for n in ("players", "dossiers", "meta", "facets")}
+    facets.write.json(paths["facets"])
     player_index(docs).write.json(paths["players"])
     docs.write.partitionBy("position_family").json(paths["dossiers"])
     meta.write.json(paths["meta"])
