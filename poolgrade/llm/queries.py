@@ -118,6 +118,45 @@ def op5_token_planes(spark: SparkSession, folder: str) -> DataFrame:
     return token_planes.read(spark, path, with_ids=False)
 
 
+_WIDTHS = sorted(repetition.LIMITS)
+
+
+def _grams(n: int) -> str:
+    return " || ' ' || ".join(["word", *(f"lead(word, {k}) OVER o" for k in range(1, n))])
+
+
+SQL["op3_repetition_rules"] = rf"""
+WITH docs AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+split AS (SELECT doc_id, t, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS ws FROM docs),
+words AS (SELECT doc_id, unnest(ws) AS word, generate_subscripts(ws, 1) AS p FROM split),
+grams AS (SELECT doc_id, p, word, {", ".join(f"{_grams(n)} AS g{n}" for n in _WIDTHS)}
+    FROM words WINDOW o AS (PARTITION BY doc_id ORDER BY p)),
+twice AS (SELECT doc_id, p, word, {", ".join(
+    f"CASE WHEN g{n} IS NOT NULL AND count(*) OVER (PARTITION BY doc_id, g{n}) > 1 THEN 1 ELSE 0 END AS t{n}" for n in _WIDTHS)}
+    FROM grams),
+marks AS (SELECT doc_id, length(word) AS size, {", ".join(
+    f"max(t{n}) OVER (PARTITION BY doc_id ORDER BY p ROWS BETWEEN {n - 1} PRECEDING AND CURRENT ROW) AS m{n}" for n in _WIDTHS)}
+    FROM twice),
+covered AS (SELECT doc_id, sum(m{repetition.BASE}) AS n_repeat, sum(size) AS chars,
+    {", ".join(f"sum(m{n} * size) AS c{n}" for n in _WIDTHS)} FROM marks GROUP BY doc_id),
+lines AS (SELECT doc_id, unnest(string_split(t, chr(10))) AS line FROM docs),
+same AS (SELECT doc_id, count(*) - 1 AS n, length(regexp_replace(line, '[\x20\x09-\x0D]', '', 'g')) AS size
+    FROM lines WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY doc_id, line),
+dup AS (SELECT doc_id, sum(n) AS n_dup, sum(n * size) AS dup_chars FROM same GROUP BY doc_id),
+counts AS (SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(chars, 0) AS BIGINT) AS word_chars,
+    CAST(length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+    CAST(coalesce(n_dup, 0) AS BIGINT) AS n_dup_lines, CAST(coalesce(n_repeat, 0) AS BIGINT) AS n_repeat_words,
+    {", ".join(f"coalesce(c{n}, 0)::DOUBLE / greatest(coalesce(chars, 0), 1)::DOUBLE AS repeat_share_{n}" for n in _WIDTHS)},
+    coalesce(dup_chars, 0)::DOUBLE / greatest(coalesce(chars, 0), 1)::DOUBLE AS line_share
+    FROM split LEFT JOIN covered USING (doc_id) LEFT JOIN dup USING (doc_id)),
+judged AS (SELECT *, n_words < {repetition.LEAST_WORDS} OR 100 * n_repeat_words > {repetition.BASE_PERCENT} * n_words AS base_failed
+    FROM counts)
+SELECT *, NOT base_failed AND line_share <= {repetition.LINE_LIMIT}
+    {" ".join(f"AND repeat_share_{n} <= {most}" for n, most in repetition.LIMITS.items())} AS kept
+FROM judged
+"""
+
+
 TOXIC_FROM = 0.3
 GOOD_FROM = 0.5
 
@@ -172,6 +211,29 @@ def op10_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+SQL["op10_decontamination"] = rf"""
+WITH docs AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{url_filter.UPPER}', '{url_filter.LOWER}'),
+    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM documents),
+items AS (SELECT CAST(item_id AS VARCHAR) AS item, regexp_extract_all(translate(coalesce(text, ''),
+    '{url_filter.UPPER}', '{url_filter.LOWER}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM benchmark),
+spots AS (SELECT item, ws, least({decontam.WIDTH}, len(ws)) AS n,
+    unnest(range(1, len(ws) - least({decontam.WIDTH}, len(ws)) + 2)) AS p FROM items WHERE len(ws) > 0),
+windows AS (SELECT DISTINCT item, n, array_to_string(list_slice(ws, p, p + n - 1), ' ') AS k FROM spots),
+words AS (SELECT doc_id, unnest(ws) AS word, generate_subscripts(ws, 1) AS p FROM docs),
+grams AS (SELECT doc_id, p, {", ".join(f"{_grams(n)} AS g{n}" for n in range(1, decontam.WIDTH + 1))}
+    FROM words WINDOW o AS (PARTITION BY doc_id ORDER BY p)),
+keyed AS ({" UNION ALL ".join(f"SELECT doc_id, p, {n} AS n, g{n} AS k FROM grams" for n in range(1, decontam.WIDTH + 1))}),
+found AS (SELECT doc_id, p, n, item FROM keyed JOIN windows USING (n, k)),
+hits AS (SELECT doc_id, count(DISTINCT spot) AS n_hit FROM (SELECT doc_id, unnest(range(p, p + n)) AS spot FROM found) GROUP BY doc_id),
+listed AS (SELECT doc_id, count(DISTINCT item) AS n_items, string_agg(DISTINCT item, ',' ORDER BY item) AS names
+    FROM found GROUP BY doc_id)
+SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+    sha256(coalesce(names, '')) AS items_sha256,
+    coalesce(n_hit, 0) > 0 AND {decontam.COVERAGE} * coalesce(n_hit, 0) >= len(ws) AS contaminated
+FROM docs LEFT JOIN hits USING (doc_id) LEFT JOIN listed USING (doc_id)
+"""
+
+
 @query
 def op2_bpe_transducer(spark: SparkSession, folder: str) -> DataFrame:
     return bpe_digests(texts(spark, folder))

@@ -66,7 +66,7 @@ def test_components(spark):
     assert {r["node"]: r["root"] for r in got.collect()} == want
 
 
-@pytest.mark.parametrize("name", ["op1_url_filter", "op4_chat_format"])
+@pytest.mark.parametrize("name", ["op1_url_filter", "op3_repetition_rules", "op4_chat_format", "op10_decontamination"])
 def test_query_matches_sql(spark, name):
     found = queries.QUERIES[name](spark, FOLDER)
     names = sorted(found.columns)
