@@ -6,8 +6,10 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from check import connect
-from poolgrade.llm import chat, decontam, graph, queries, repetition, simhash, url_filter
+from poolgrade.llm import chat, decontam, graph, jaccard, queries, repetition, simhash, url_filter
+from poolgrade.llm.frames import written
 
 from . import brute
 
@@ -181,6 +183,55 @@ def test_simhash_of_odd_texts(spark):
     assert simhash.clustered(none, "doc_id", "bits").count() == 0
 
 
+# ------------------------------------------------------------------------------------- jaccard
+
+
+def similar_groups(texts):
+    """key -> least key reached through sets of five-word shingles with a similarity of 0.8 or more."""
+    sets = {}
+    for key, text in texts.items():
+        words = (text or "").lower().split()
+        sets[key] = {tuple(words[k : k + 5]) for k in range(max(1, len(words) - 4))} if words else set()
+    root = {k: k for k in texts}
+    for a in sorted(texts):
+        for b in texts:
+            if b < a and 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b]):
+                low, high = sorted((root[a], root[b]))
+                root = {k: low if r == high else r for k, r in root.items()}
+    return root
+
+
+@pytest.mark.parametrize("pairs", [8, 0])
+def test_near_copies_lose_no_chain(spark, pairs, monkeypatch):
+    """Chains of edited texts around one passage, also when no entry's pairs are listed."""
+    monkeypatch.setattr(jaccard, "OFTEN", 10**9 if pairs else 3)
+    draw = random.Random(5)
+    passage = [f"p{k}" for k in range(30)]
+    texts = {0: None, 1: " ", 2: "a b", 3: "A  b", 4: "a b c d e f"}
+    for chain in range(12):
+        words = passage + [f"w{chain}x{k}" for k in range(draw.choice([3, 10, 60]))]
+        for _ in range(8):
+            texts[len(texts)] = " ".join(words)
+            for _ in range(draw.choice([0, 1, 1, 2])):
+                words[draw.randrange(len(words))] = f"n{draw.random()}"
+    docs = spark.createDataFrame(list(texts.items()), "id long, text string")
+    docs = jaccard.nodes(docs).select("id", "text", "near.*")
+    got = {r["id"]: r["component"] for r in jaccard.clustered(docs, pairs).collect()}
+    want = similar_groups(texts)
+    assert got == want and 13 < len(set(want.values())) < len(texts) - 20
+
+
+def test_pipeline_leaves_no_near_copy(spark):
+    docs = queries.table(spark, "/root/testdata/sf0.01", "documents")
+    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
+    stages = dict(corpus_pipeline.STAGES)
+    once = written(stages["near_duplicates"](spark, docs, FOLDER), "once")
+    before = {r["doc_id"] for r in once.collect()}
+    kept = [r["doc_id"] for r in stages["near_copies"](spark, once, FOLDER).collect()]
+    want = set(similar_groups({k: texts[k] for k in before}).values())
+    assert sorted(kept) == sorted(want) and len(want) < len(before)
+
+
 # ------------------------------------------------------------------------------- decontamination
 
 
