@@ -4,7 +4,7 @@ A text's terms say how it is written: the shape of each word (capitals, small le
 of neighbouring shapes, and words that repeat the word before them. Term weights use document frequencies over
 all documents. A truncated singular value decomposition of labelled documents gives the latent space; the labelled
 vectors, whose number is bounded, go to every task, which computes all cosines in blocks. The nearest vote with a
-weight that falls with the angle.
+weight that falls with the angle. A word of more than 64 characters counts as its consecutive pieces of 64.
 
 Texts without words have the zero vector and get the share of good labels. Without training rows all scores are 0.5.
 """
@@ -30,6 +30,7 @@ SAMPLE = 4000  # labelled vectors that vote, and that the space is fitted on
 NEAREST = 25
 WIDTH = 0.05  # of the weight's fall with 1 - cosine
 BLOCK = 512  # documents compared at a time
+PIECE = 64  # characters
 
 WORDS = byte_table("".join(map(chr, range(0x21, 0x7F))), False)
 SCORE = T.StructType([T.StructField("score", T.DoubleType())])
@@ -38,20 +39,37 @@ _RUN = re.compile(r"(.)\1+")
 
 def shape(word: str) -> int:
     """A number for how a word is written: kinds of characters, with runs cut to one."""
-    kinds = "".join("A" if c.isupper() else "a" if c.isalpha() else "9" if c.isdigit() else c for c in word[:64])
+    kinds = "".join("A" if c.isupper() else "a" if c.isalpha() else "9" if c.isdigit() else c for c in word)
     return zlib.crc32(_RUN.sub(r"\1", kinds).encode())
 
 
+def piece_shapes(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """The shapes of all words' pieces in a row, and how many pieces each word has."""
+    sizes = np.fromiter((max(1, -(-len(w) // PIECE)) for w in words), np.int64, len(words))
+    return np.array([shape(w[k : k + PIECE]) for w in words for k in range(0, len(w), PIECE)], np.int64), sizes
+
+
 def term_counts(texts: pa.Array) -> np.ndarray:
     """One row per text: counts of its hashed shapes, shape pairs and repeats."""
     codes, edges, words = split_words(texts, WORDS)
     n = len(texts)
     owner = np.repeat(np.arange(n), np.diff(edges)) * TERMS
-    shapes = np.array([shape(w) for w in words], np.int64)[codes] if len(codes) else np.zeros(0, np.int64)
+    again = (codes[1:] == codes[:-1]) & (owner[1:] == owner[:-1])
+    repeats = owner[1:][again] + 1
+    shapes = np.zeros(0, np.int64)
+    if len(codes):
+        known, sizes = piece_shapes(words)
+        first = np.cumsum(sizes) - sizes
+        if sizes.max() > 1:
+            counts = sizes[codes]
+            begin = np.cumsum(counts) - counts
+            at = np.repeat(first[codes] - begin, counts) + np.arange(counts.sum())
+            shapes, owner = known[at], np.repeat(owner, counts)
+        else:
+            shapes = known[first[codes]]
     same = owner[1:] == owner[:-1]
     pairs = (shapes[:-1] * 31 + shapes[1:] * 17 + 5)[same]
-    again = (codes[1:] == codes[:-1]) & same
-    places = [owner + shapes % TERMS, owner[1:][same] + pairs % TERMS, owner[1:][again] + 1]
+    places = [owner + shapes % TERMS, owner[1:][same] + pairs % TERMS, repeats]
     return np.bincount(np.concatenate(places), minlength=n * TERMS).reshape(n, TERMS)
 
 

@@ -1,6 +1,7 @@
 """Held-out accuracy of the classifiers, their defined results on odd input, and the pipeline's stages."""
 
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -102,6 +103,15 @@ def test_samples_repeat_and_keep_to_their_size(spark):
     assert counts["rare"] == 200 and 400 < counts["common"] < 600
 
 
+def test_quality_reads_long_words_whole():
+    """Words of more than 64 characters count as pieces; shorter ones as before."""
+    head = "a" * 64
+    texts = pa.array([head, head + "9-" * 32, head + "9-" * 32 + "A." * 500, "b c", None])
+    counts = quality_knn.term_counts(texts)
+    assert [int(c.sum()) for c in counts] == [1, 3, 35, 3, 0]
+    assert not (counts[0] == counts[1]).all() and (counts[3] == quality_knn.term_counts(pa.array(["x y"]))[0]).all()
+
+
 # ------------------------------------------------------------------------------------ pipeline
 
 
