@@ -28,8 +28,8 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .frames import bounded_batches, give_back, shared_dir, slices
-from .words import SPACE, Stretches, gathered, listed, stretches
+from .frames import bounded_batches, give_back, shared_dir
+from .words import SPACE, Stretches, gathered, listed, stretches, unpacked
 
 END_ID = 2
 BLOCK_IDS = 1 << 16
@@ -37,6 +37,10 @@ CHUNK_IDS = 1 << 19
 LEVEL = 3
 LINE = 2000  # words that the tokenizer gets as one text
 LINES = 8  # texts that it gets at once
+LONG = 40  # characters of a word that is remembered
+REMEMBERED = 1 << 19  # words per generation; two generations are kept, at most 200 MB a worker
+MARKED = r"(?s)^(?P<stem>.*[A-Za-z\x{C0}-\x{D6}\x{D8}-\x{F6}\x{F8}-\x{FF}])(?P<marks>[.,;:!?]+)$"
+GATHER_BYTES = 8 << 20  # text whose words are looked up together
 CUTS_ACCURACY = 10_000
 
 CHUNKS = (
@@ -59,34 +63,87 @@ def _tokenizer(path: str):
     return tokenizer, lengths
 
 
+class Remembered:
+    """Packed ids of words after a blank; a full generation becomes the old one, and what is asked again comes back."""
+
+    def __init__(self, most: int):
+        self.most, self.now, self.old = most, {}, {}
+
+    def recall(self, words: list[str]) -> list[bytes | None]:
+        out = list(map(self.now.get, words))
+        if self.old:
+            for k, ids in enumerate(out):
+                if ids is None and (back := self.old.get(words[k])) is not None:
+                    out[k] = self.now[words[k]] = back
+        return out
+
+    def add(self, words: list[str], ids: list[bytes]) -> None:
+        if len(self.now) + len(words) > self.most:
+            self.now, self.old = {}, self.now
+        self.now.update(zip(words, ids))
+
+
+@lru_cache(maxsize=2)
+def _memory(path: str) -> Remembered:
+    """One per Python worker, kept from slice to slice and from task to task."""
+    return Remembered(REMEMBERED)
+
+
+def _coded(texts: list[str], path: str) -> list[np.ndarray]:
+    out, tokenizer = [], _tokenizer(path)[0]
+    for start in range(0, len(texts), LINES):  # the library's own results are large
+        some = tokenizer.encode_batch_fast(texts[start : start + LINES], add_special_tokens=False)
+        out += [np.array(c.ids, "<u4") for c in some]
+    return out
+
+
 def stretch_ids(cut: Stretches, path: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Ids of all stretches by the tokenizers library, as `gathered` takes them.
+    """Ids of all stretches, as `gathered` takes them; only words that are not remembered reach the library.
+
+    Marks that end a word are encoded apart from it, as the library's own pattern always cuts between a
+    letter and a mark.
+    """
+    parts = pc.extract_regex(cut.after, MARKED)
+    marked = pc.is_valid(parts)
+    stems = pc.if_else(marked, pc.struct_field(parts, "stem"), cut.after).dictionary_encode()
+    marks = pc.struct_field(parts.filter(marked), "marks").dictionary_encode()
+    ids = word_ids(stems.dictionary, path)
+    ends = [c.tobytes() for c in _coded(listed(marks.dictionary), path)]
+    out = list(map(ids.__getitem__, stems.indices.to_pylist()))
+    for k, mark in zip(np.flatnonzero(marked.to_numpy(zero_copy_only=False)).tolist(), marks.indices.to_pylist()):
+        out[k] += ends[mark]
+    return unpacked(out + [c.tobytes() for c in _coded(cut.others, path)])
+
+
+def word_ids(after: pa.Array, path: str) -> list[bytes]:
+    """Packed ids of different words after a blank.
 
     Many words go to the library in one line, each after the blank that it has in the text; the lengths of
-    the tokens tell where each ends. Words that end in a blank would run into the next and go by themselves.
+    the tokens tell where each ends. Words that end in a blank would run into the next one of a line, so they
+    go by themselves.
     """
-    tokenizer, lengths = _tokenizer(path)
-    runs_on = pc.match_substring_regex(cut.after, f"{SPACE}$|^$").to_numpy(zero_copy_only=False)
-    joint, alone = np.flatnonzero(~runs_on), np.flatnonzero(runs_on)
-    words = listed(cut.after.take(pa.array(joint)))
-    lines = [" " + " ".join(words[i : i + LINE]) for i in range(0, len(words), LINE)]
-    apart = [" " + w for w in listed(cut.after.take(pa.array(alone)))] + cut.others
-    texts, coded = [*lines, *apart], []
-    for start in range(0, len(texts), LINES):  # the library's own results are large
-        some = tokenizer.encode_batch_fast(texts[start : start + LINES], add_special_tokens=False)
-        coded += [np.array(c.ids, "<u4") for c in some]
+    known, lengths = _memory(path), _tokenizer(path)[1]
+    words = listed(after)
+    out = known.recall(words)
+    missing = np.fromiter((k for k, ids in enumerate(out) if ids is None), np.int64)
+    new = after.take(pa.array(missing))
+    runs_on = pc.match_substring_regex(new, f"{SPACE}$|^$").to_numpy(zero_copy_only=False)
+    joint, alone = missing[~runs_on].tolist(), missing[runs_on].tolist()
+    line = [words[k] for k in joint]
+    coded = _coded([" " + " ".join(line[i : i + LINE]) for i in range(0, len(line), LINE)], path)
     flat = np.concatenate([np.zeros(0, "<u4"), *coded])
-    size = pc.binary_length(cut.after).to_numpy(zero_copy_only=False)[joint].astype(np.int64) + 1
+    size = pc.binary_length(new).to_numpy(zero_copy_only=False)[~runs_on].astype(np.int64) + 1
     # words and tokens both cover the lines without a gap
-    ends = np.searchsorted(np.cumsum(lengths[flat]), np.cumsum(size), side="right")
-    sizes = np.zeros(cut.spaced + len(cut.others), np.int64)
-    sizes[joint] = np.diff(ends, prepend=0)
-    rest = np.concatenate([alone, np.arange(cut.spaced, len(sizes))])
-    sizes[rest] = [len(c) for c in coded[len(lines) :]]
-    order = np.concatenate([joint, rest])
-    places = np.zeros(len(sizes), np.int64)
-    places[order] = np.cumsum(sizes[order]) - sizes[order]
-    return flat, sizes, places
+    ends = (np.searchsorted(np.cumsum(lengths[flat]), np.cumsum(size), side="right") * 4).tolist()
+    raw = flat.tobytes()
+    line_ids = [raw[a:b] for a, b in zip([0, *ends], ends)]
+    for k, ids in zip(joint, line_ids):
+        out[k] = ids
+    for k, ids in zip(alone, _coded([" " + words[k] for k in alone], path)):
+        out[k] = ids.tobytes()
+    short = [(w, ids) for w, ids in zip(line, line_ids) if len(w) <= LONG]
+    known.add([w for w, _ in short], [ids for _, ids in short])
+    return out
 
 
 def document_ids(texts: pa.Array, path: str, end_id: int | None) -> tuple[np.ndarray, np.ndarray]:
@@ -177,6 +234,31 @@ def chunk_ids(row: dict) -> np.ndarray:
     return np.concatenate(parts) if parts else np.zeros(0, "<u4")
 
 
+def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.Array, pa.Array]]:
+    """(shard, document ids, texts) in order, each of one shard and of about ``GATHER_BYTES``: equal words meet there."""
+    held: list[pa.RecordBatch] = []
+    size = 0
+
+    def rest():
+        table = pa.Table.from_batches(held).combine_chunks()
+        docs, texts = (pa.concat_arrays(table.column(c).chunks) for c in ("doc_id", "text"))
+        return held[0].column("shard")[0].as_py(), docs, texts
+
+    for batch in batches:
+        shards = batch.column("shard").to_numpy()
+        cuts = [0, *(np.flatnonzero(np.diff(shards)) + 1).tolist(), len(shards)]
+        for a, b in zip(cuts, cuts[1:]):
+            if a == b:
+                continue
+            if held and (size >= GATHER_BYTES or held[0].column("shard")[0].as_py() != shards[a]):
+                yield rest()
+                held, size = [], 0
+            held.append(batch.slice(a, b - a))
+            size += pc.sum(pc.binary_length(held[-1].column("text"))).as_py() or 0
+    if held:
+        yield rest()
+
+
 def write(
     docs: DataFrame, path: str, vocabulary: str, doc_id: str = "doc_id", text: str = "text", end_id: int | None = END_ID, bits: int = 8
 ) -> None:
@@ -201,20 +283,14 @@ def write(
 
     def run(batches):
         now: Chunks | None = None
-        for batch in batches:
-            shards = batch.column("shard").to_numpy()
-            cuts = [0, *(np.flatnonzero(np.diff(shards)) + 1).tolist(), len(shards)]
-            for a, b in zip(cuts, cuts[1:]):
-                if now is not None and now.shard != shards[a]:
-                    yield from now.rest()
-                    now = None
-                now = now or Chunks(int(shards[a]), bits, count)
-                for part in slices(batch.column("text").slice(a, b - a)):
-                    ids, edges = document_ids(part, vocabulary, end_id)
-                    doc_ids = batch.column("doc_id").slice(a, len(part)).to_pylist()
-                    a += len(part)
-                    for row in now.add(doc_ids, np.diff(edges), ids):
-                        yield _row(row)
+        for shard, doc_ids, text in _gathered(batches):
+            if now is not None and now.shard != shard:
+                yield from now.rest()
+                now = None
+            now = now or Chunks(shard, bits, count)
+            ids, edges = document_ids(text, vocabulary, end_id)
+            for row in now.add(doc_ids.to_pylist(), np.diff(edges), ids):
+                yield _row(row)
         if now is not None:
             yield from now.rest()
         give_back()
