@@ -8,10 +8,11 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, decontam, langid, quality_knn, repetition, simhash, token_planes, toxicity, url_filter
+from . import bpe, chat, decontam, fim, langid, pieces, quality_knn, repair, repetition, simhash, token_planes, toxicity, url_filter
 from .frames import remainder, written
 
 VOCABULARY = "byte_bpe_50k.json"
+PIECES = "piece_bpe_32k.model"
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -237,3 +238,145 @@ FROM docs LEFT JOIN hits USING (doc_id) LEFT JOIN listed USING (doc_id)
 @query
 def op2_bpe_transducer(spark: SparkSession, folder: str) -> DataFrame:
     return bpe_digests(texts(spark, folder))
+
+
+@query
+def op11_conversation_repair(spark: SparkSession, folder: str) -> DataFrame:
+    turns = table(spark, folder, "conversations").select("conv_id", "turn", "role", "text")
+    told = repair.audited(repair.repaired(repair.damaged(turns)))
+    asked = turns.groupBy(F.col("conv_id").alias("asked")).agg(F.lit(1).alias("one"))
+    rows = asked.join(told, F.col("asked").eqNullSafe(F.col("conv_id")), "left")
+    counts = [F.coalesce(f"sums.{c}", F.lit(0)).cast("long").alias(c) for c in ("blank", "duplicate", "truncated", "illegal", "cost")]
+    return rows.select(
+        F.col("asked").alias("conv_id"),
+        F.coalesce(F.col("sums.most") - F.col("sums.least") + 1 - F.col("sums.numbers"), F.lit(0)).cast("long").alias("gaps"),
+        *counts,
+        F.coalesce("audit", F.lit("")).alias("audit"),
+        F.coalesce("digest", F.sha2(F.lit(""), 256)).alias("repaired_sha256"),
+    )
+
+
+def _least(*labels: str) -> str:
+    """The least (cost, audit) of SQL structs, nulls aside."""
+    return f"list_sort(list_filter([{', '.join(labels)}], lambda x: x IS NOT NULL))[1]"
+
+
+def _after(label: str, cost: str, edit: str) -> str:
+    return f"CASE WHEN {label} IS NOT NULL THEN {{'c': {label}.c + {cost}, 'a': {label}.a || '{edit}'}} END"
+
+
+def _lattice_sql() -> str:
+    """The cheapest edits up to each turn, for each role that may be written last, turn by turn."""
+    names = "nsua"
+    out = []
+    for to, x in enumerate(names):
+        ways = [_after(x, "2", "D")]
+        for (at, letter), there in repair.FOLLOWS.items():
+            if there != to:
+                continue
+            kept = f"{_after(names[at], 'more', 'K')}"
+            ways.append(f"CASE WHEN fault NOT IN (1, 2) AND letter = '{letter}' THEN {kept} END")
+            if letter in "ua":
+                ways.append(f"CASE WHEN fault NOT IN (1, 2) THEN {_after(names[at], '1 + more', 'R')} END")
+        out.append(f"{_least(*ways)} AS {x}")
+    return ", ".join(out)
+
+
+CRC_POLYNOMIAL, ONES = 0xEDB88320, 0xFFFFFFFF  # fixed values of crc32
+_START = "{'c': 0, 'a': ''}"
+_NO = "CAST(NULL AS STRUCT(c INTEGER, a VARCHAR))"
+_TO_USER = _least("u", _after("n", "5", "I"), _after("s", "5", "I"), _after("a", "5", "I"))
+SQL["op11_conversation_repair"] = rf"""
+WITH RECURSIVE codes AS (SELECT list_transform(range(256), lambda i: list_reduce(list_prepend(i, range(8)),
+    lambda c, k: xor(c >> 1, CASE WHEN c & 1 = 1 THEN {CRC_POLYNOMIAL} ELSE 0 END))) AS code),
+marked AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+    xor({ONES}, list_reduce(list_prepend({ONES}, list_transform(string_split(
+        coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' '), ''), lambda x: CAST(ascii(x) AS BIGINT))),
+        lambda c, b: xor(c >> 8, code[(xor(c, b) & 255) + 1]))) % 20 AS f FROM conversations, codes),
+hurt AS (SELECT conv_id, turn, CASE f WHEN 4 THEN 'user' ELSE role END AS role,
+    CASE f WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+    unnest(range(CASE f WHEN 3 THEN 2 ELSE 1 END)) AS copy FROM marked WHERE f <> 0),
+seen AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy) AS spot,
+    row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST, copy) AS nth FROM hurt),
+rows_ AS (SELECT *, CASE WHEN NOT regexp_matches(text, '[^ 	-
+]') THEN 1 WHEN nth > 1 THEN 2
+    WHEN NOT regexp_matches(text, '[.!?][ 	-
+]*\z') THEN 3 ELSE 0 END AS fault, left(role, 1) AS letter,
+    lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY spot) AS before FROM seen),
+sums AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 1) AS blank,
+    count(*) FILTER (fault = 2) AS duplicate, count(*) FILTER (fault = 3) AS truncated,
+    count(*) FILTER (before IS NOT NULL AND before || letter NOT IN ('su', 'ua', 'au')) AS illegal, max(spot) AS n FROM rows_ GROUP BY conv_id),
+-- labels with the insertions that may follow: none yet, system, user, assistant
+steps AS (
+    SELECT conv_id, 0 AS i, {_START} AS n, {_NO} AS s, {_after(_START, "5", "I")} AS u, {_after(_START, "10", "II")} AS a FROM sums
+    UNION ALL
+    SELECT conv_id, i, n, s, u, {_least("a", _after("u", "5", "I"))} AS a FROM (
+        SELECT conv_id, i, n, s, {_TO_USER} AS u, a FROM (
+            SELECT conv_id, i + 1 AS i, {{lattice}} FROM (
+                SELECT t.conv_id, t.i, t.n, t.s, t.u, t.a, fault, letter, CASE fault WHEN 3 THEN 5 ELSE 0 END AS more
+                FROM steps t JOIN rows_ r ON r.conv_id IS NOT DISTINCT FROM t.conv_id AND r.spot = t.i + 1)))),
+best AS (SELECT z.*, {_least("t.n", "t.a")} AS w FROM sums z JOIN steps t ON z.conv_id IS NOT DISTINCT FROM t.conv_id AND z.n = t.i),
+edits AS (SELECT conv_id, unnest(string_split(w.a, '')) AS edit, generate_subscripts(string_split(w.a, ''), 1) AS k FROM best WHERE w.a <> ''),
+placed AS (SELECT *, count(*) FILTER (edit <> 'I') OVER o AS spot, count(*) FILTER (edit <> 'D') OVER o AS nth FROM edits
+    WINDOW o AS (PARTITION BY conv_id ORDER BY k)),
+lines AS (SELECT p.conv_id, p.nth, CASE WHEN edit = 'K' THEN r.role
+        WHEN (p.nth - CASE WHEN g.c % 2 = 1 THEN 1 ELSE 0 END) % 2 = 1 THEN 'user' ELSE 'assistant' END
+        || ':' || CASE edit WHEN 'I' THEN '' ELSE r.text END AS line
+    FROM placed p JOIN (SELECT conv_id, max(nth) AS c FROM placed GROUP BY conv_id) g ON g.conv_id IS NOT DISTINCT FROM p.conv_id
+    LEFT JOIN rows_ r ON r.conv_id IS NOT DISTINCT FROM p.conv_id AND r.spot = p.spot WHERE edit <> 'D'),
+told AS (SELECT conv_id, sha256(string_agg(line, chr(10) ORDER BY nth)) AS digest FROM lines GROUP BY conv_id),
+ids AS (SELECT DISTINCT conv_id FROM conversations)
+SELECT ids.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT AS blank, coalesce(duplicate, 0)::BIGINT AS duplicate,
+    coalesce(truncated, 0)::BIGINT AS truncated, coalesce(illegal, 0)::BIGINT AS illegal, coalesce(w.c, 0)::BIGINT AS cost,
+    coalesce(w.a, '') AS audit, coalesce(digest, sha256('')) AS repaired_sha256
+FROM ids LEFT JOIN best ON best.conv_id IS NOT DISTINCT FROM ids.conv_id LEFT JOIN told ON told.conv_id IS NOT DISTINCT FROM ids.conv_id
+""".replace("{lattice}", _lattice_sql())
+
+
+@query
+def op12_fill_in_middle(spark: SparkSession, folder: str) -> DataFrame:
+    made = fim.transformed(texts(spark, folder)).select("doc_id", "fim.*")
+    return fim.restored(made, column="restored").select(
+        "doc_id",
+        "n",
+        "form",
+        "prefix_chars",
+        "middle_chars",
+        F.sha2("output", 256).alias("output_sha256"),
+        F.sha2("restored", 256).alias("restored_sha256"),
+    )
+
+
+def _drawn(k: int) -> str:
+    return f"CAST('0x' || substr(digest, {8 * k + 1}, 8) AS BIGINT)"
+
+
+SQL["op12_fill_in_middle"] = rf"""
+WITH docs AS (SELECT doc_id, coalesce(text, '') AS t, sha256('{fim.SEED}:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS digest,
+    regexp_extract_all(coalesce(text, ''), '[ 	-
+]*[^ 	-
+]+|[ 	-
+]+') AS units FROM documents),
+drawn AS (SELECT doc_id, t, units, len(units) AS n, {_drawn(0)} % (len(units) + 1) AS h1, {_drawn(1)} % (len(units) + 1) AS h2,
+    CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR {_drawn(2)} % 100 >= {fim.MOVED_PERCENT} THEN 'plain'
+    WHEN {_drawn(3)} % 100 < {fim.SUFFIX_FIRST_PERCENT} THEN 'spm' ELSE 'psm' END AS form FROM docs),
+cut AS (SELECT doc_id, t, n, form, array_to_string(units[1:least(h1, h2)], '') AS prefix,
+    array_to_string(units[least(h1, h2) + 1:greatest(h1, h2)], '') AS middle, array_to_string(units[greatest(h1, h2) + 1:], '') AS suffix
+    FROM drawn)
+SELECT doc_id, CAST(n AS BIGINT) AS n, form, CASE WHEN form <> 'plain' THEN length(prefix) END AS prefix_chars,
+    CASE WHEN form <> 'plain' THEN length(middle) END AS middle_chars,
+    sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle
+        ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256,
+    sha256(t) AS restored_sha256 FROM cut
+"""
+
+
+@query
+def op13_sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
+    coded = pieces.encoded(texts(spark, folder), public_tokenizers.path(PIECES), back=True)
+    return coded.select(
+        "doc_id",
+        F.size("pieces.ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join("pieces.ids", " "), 256).alias("ids_sha256"),
+        F.sha2("pieces.decoded", 256).alias("decoded_sha256"),
+    )
