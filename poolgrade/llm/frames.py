@@ -113,9 +113,7 @@ def shared_dir(spark: SparkSession) -> str:
         return folder
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder that every executor can reach")
-    folder = f"{spark.conf.get('spark.sql.warehouse.dir')}/shared"
-    spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    return f"{spark.conf.get('spark.sql.warehouse.dir')}/shared"
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
