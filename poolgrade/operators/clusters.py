@@ -5,137 +5,85 @@ from __future__ import annotations
 import math
 from collections.abc import Mapping, Sequence
 
-from pyspark.ml.clustering import BisectingKMeans, GaussianMixture, KMeans
-from pyspark.ml.evaluation import ClusteringEvaluator
-from pyspark.ml.feature import PCA, VectorAssembler
-from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import config
-from ..functions.scalar import row_mean, total
-from ..session import settle
+from ..functions.scalar import row_mean
+from ..session import settle, settle_measured
+from . import lloyd, mixtures
 from .pools import min_max
 
 C = F.col
-SEEDS = (42, 43, 44)
+STARTS = 30
 
 # ------------------------------------------------------------------------------- features
 
 
 def scaled_features(df: DataFrame, columns: Sequence[str], out: str = "features") -> tuple[DataFrame, dict]:
-    """Settled frame with a vector of population-scaled columns, and their means and deviations.
+    """Settled frame with an array of population-scaled columns (nulls count as 0), and their means and deviations.
 
-    Only two numbers per column reach the driver.
+    Only two numbers per column reach the driver. Values are rounded, so later sums do not hang on task order.
     """
+    values = [F.coalesce(C(c).cast("double"), F.lit(0.0)) for c in columns]
     stats = df.agg(
-        *[e.alias(f"{k}_{i}") for i, c in enumerate(columns) for k, e in (("m", F.avg(c)), ("s", F.stddev_pop(c)))]
+        *[e.alias(f"{k}_{i}") for i, v in enumerate(values) for k, e in (("m", F.avg(v)), ("s", F.stddev_pop(v)))]
     ).first()
-    scale = {c: (stats[f"m_{i}"], stats[f"s_{i}"] or 1.0) for i, c in enumerate(columns)}
-    scaled = df.withColumns({f"_f{i}": (C(c) - F.lit(scale[c][0])) / F.lit(scale[c][1]) for i, c in enumerate(columns)})
-    made = VectorAssembler(inputCols=[f"_f{i}" for i in range(len(columns))], outputCol=out).transform(scaled)
-    return settle(made.drop(*[f"_f{i}" for i in range(len(columns))]), "features"), scale
+    scale = {c: (stats[f"m_{i}"] or 0.0, stats[f"s_{i}"] or 1.0) for i, c in enumerate(columns)}
+    scaled = [F.round((v - F.lit(scale[c][0])) / F.lit(scale[c][1]), lloyd.DIGITS) for v, c in zip(values, columns)]
+    return settle(df.withColumn(out, F.array(*scaled)), "features"), scale
 
 
 def unscale(centre: Sequence[float], columns: Sequence[str], scale: Mapping[str, tuple[float, float]]) -> dict[str, float]:
     return {c: float(v) * scale[c][1] + scale[c][0] for c, v in zip(columns, centre)}
 
 
-# --------------------------------------------------------------------------------- models
+# ------------------------------------------------------------------------------ hierarchy
 
 
-def best_kmeans(df: DataFrame, k: int, seeds: Sequence[int] = SEEDS):
-    """K-means over several starts; the lowest cost wins."""
-    fits = [KMeans(k=k, seed=s, featuresCol="features", predictionCol="cluster").fit(df) for s in seeds]
-    return min(fits, key=lambda m: m.summary.trainingCost)
+def bisected(rows: DataFrame, leaves: int, starts: int = STARTS, id_col: str = "player_id") -> tuple[DataFrame, list[dict]]:
+    """Top-down hierarchy: the leaf of greatest scatter is cut in two by the best of many 2-means, until enough leaves.
 
-
-def mixture(df: DataFrame, k: int, seed: int = 42):
-    return GaussianMixture(
-        k=k, seed=seed, featuresCol="features", predictionCol="cluster", probabilityCol="membership"
-    ).fit(df)
-
-
-def mixture_bic(model, k: int, dims: int, rows: int) -> float:
-    free = (k - 1) + k * dims + k * dims * (dims + 1) / 2
-    return -2.0 * model.summary.logLikelihood + free * math.log(rows)
-
-
-def bisecting(df: DataFrame, k: int, seed: int = 42):
-    """Top-down hierarchy."""
-    return BisectingKMeans(k=k, seed=seed, featuresCol="features", predictionCol="cluster").fit(df)
-
-
-def principal_axes(df: DataFrame, k: int):
-    """PCA model and the sign of each component that makes its largest loading positive."""
-    model = PCA(k=k, inputCol="features", outputCol="components").fit(df)
-    matrix = model.pc.toArray()
-    signs = [1.0 if column[abs(column).argmax()] >= 0 else -1.0 for column in matrix.T]
-    return model, signs
-
-
-def loadings(model, signs: Sequence[float], columns: Sequence[str]) -> list[tuple[str, str, float]]:
-    matrix = model.pc.toArray()
-    return [
-        (f"PC{j + 1}", c, float(matrix[i][j] * s)) for j, s in enumerate(signs) for i, c in enumerate(columns)
-    ]
-
-
-def component_scores(df: DataFrame, model, signs: Sequence[float]) -> DataFrame:
-    array = vector_to_array("components")
-    return model.transform(df).withColumns(
-        {f"pc{j + 1}": F.get(array, j) * F.lit(s) for j, s in enumerate(signs)}
-    ).drop("components")
-
-
-def top_loadings(rows: DataFrame, top: int = 3) -> DataFrame:
-    """Largest loadings of each component by size; a component has one row per feature."""
-    ordered = F.slice(
-        F.array_sort(F.collect_list(F.struct((-F.abs("loading")).alias("o"), C("feature"), C("loading")))), 1, top
-    )
-    return rows.groupBy("component").agg(ordered.alias("t")).select(
-        "component", F.posexplode("t").alias("place", "e")
-    ).select("component", "place", "e.feature", "e.loading")
+    Returns the rows with their leaf's ``node`` and the tree: node, parent, size, scatter, removed (by cutting the
+    node; null for leaves) and centre. Node 0 is the pool; a leaf that cannot be cut stays.
+    """
+    one = lloyd.best(lloyd.advance(rows, lloyd.first_models(rows, (1,), 1, id_col=id_col)))
+    if not one or one[1, None].cost == math.inf:
+        return rows.withColumn("node", F.lit(0)), []
+    root = one[1, None]
+    tree = [{"node": 0, "parent": None, "size": rows.count(), "scatter": root.cost, "removed": None, "centre": root.centres[0]}]
+    out, stuck = rows.withColumn("node", F.lit(0)), set()
+    while sum(t["removed"] is None for t in tree) < leaves:
+        free = [t for t in tree if t["removed"] is None and t["node"] not in stuck]
+        if not free:
+            break
+        leaf = max(free, key=lambda t: (round(t["scatter"], 6), -t["node"]))
+        model = lloyd.fit(out.where(C("node") == leaf["node"]), (2,), starts, id_col=id_col)[2]
+        first = max(t["node"] for t in tree) + 1
+        side = lloyd.cluster_of(model)
+        sizes = {f"n{i}": F.count_if(C("node") == first + i) for i in (0, 1)}
+        costs = {
+            f"c{i}": F.sum(F.when(C("node") == first + i, lloyd._squares("features", c)).otherwise(0.0))
+            for i, c in enumerate(model.centres)
+        }
+        cut, told = settle_measured(
+            out.withColumn("node", F.when(C("node") == leaf["node"], F.lit(first) + side).otherwise(C("node"))), "nodes", sizes | costs
+        )
+        if not told["n0"] or not told["n1"]:
+            stuck.add(leaf["node"])
+            continue
+        out = cut
+        leaf["removed"] = leaf["scatter"] - told["c0"] - told["c1"]
+        tree += [
+            {"node": first + i, "parent": leaf["node"], "size": told[f"n{i}"], "scatter": told[f"c{i}"], "removed": None, "centre": c}
+            for i, c in enumerate(model.centres)
+        ]
+    return out, tree
 
 
 # ----------------------------------------------------------------------------- diagnostics
 
 
-def _dims(df: DataFrame, dims: int) -> DataFrame:
-    array = vector_to_array("features")
-    return df.withColumns({f"_d{i}": F.get(array, i) for i in range(dims)})
-
-
-def separation(labelled: DataFrame, dims: int) -> tuple[float, float]:
-    """Calinski-Harabasz and Davies-Bouldin from the centroids and the distances to them."""
-    df = _dims(labelled.select("cluster", "features"), dims)
-    names = [f"_d{i}" for i in range(dims)]
-    centres = settle(
-        df.groupBy("cluster").agg(F.count(F.lit(1)).alias("n"), *[F.avg(n).alias(f"c{n}") for n in names]), "centres"
-    )
-    square = total([(C(n) - C(f"c{n}")) * (C(n) - C(f"c{n}")) for n in names])
-    spread = (
-        df.join(F.broadcast(centres), "cluster")
-        .groupBy("cluster")
-        .agg(F.sum(square).alias("w"), F.avg(F.sqrt(square)).alias("s"))
-    )
-    rows = centres.join(spread, "cluster").collect()  # one row per cluster
-    k, n = len(rows), sum(r["n"] for r in rows)
-    points = [[r[f"c{d}"] for d in names] for r in rows]
-    middle = [sum(r["n"] * p[i] for r, p in zip(rows, points)) / n for i in range(dims)]
-    between = sum(r["n"] * math.dist(p, middle) ** 2 for r, p in zip(rows, points))
-    within = sum(r["w"] for r in rows)
-    worst = [
-        max((rows[i]["s"] + rows[j]["s"]) / (math.dist(points[i], points[j]) or 1e-12) for j in range(k) if j != i)
-        for i in range(k)
-    ]
-    return (between / (k - 1)) / (within / (n - k) or 1e-12), sum(worst) / k
-
-
-def silhouette(labelled: DataFrame) -> float:
-    return ClusteringEvaluator(featuresCol="features", predictionCol="cluster").evaluate(labelled)
-
-
 def label_agreement(df: DataFrame, a: str, b: str) -> DataFrame:
     """Agreement percent, adjusted Rand index and normalised mutual information, from counts only."""
     cells = df.groupBy(C(a).cast("string").alias("a"), C(b).cast("string").alias("b")).agg(
@@ -171,63 +119,66 @@ def label_agreement(df: DataFrame, a: str, b: str) -> DataFrame:
     )
 
 
-def k_selection(df: DataFrame, dims: int, label: str, ks: Sequence[int] = (2, 3, 4, 5, 6), seeds=SEEDS) -> list[dict]:
-    """Diagnostics of K-means and the mixture for each K; the models run distributed."""
-    rows = df.count()
-    out = []
-    for k in ks:
-        labelled = settle(best_kmeans(df, k, seeds).transform(df), "kmeans")
-        ch, db = separation(labelled, dims)
-        out.append(
-            {
-                "k": k,
-                "silhouette": silhouette(labelled),
-                "calinski": ch,
-                "davies_bouldin": db,
-                "gmm_bic": mixture_bic(mixture(df, k), k, dims, rows),
-                "ari": label_agreement(labelled, label, "cluster").first()["ari"],
-            }
-        )
+def k_selection(
+    df: DataFrame, label: str, ks: Sequence[int] = (2, 3, 4, 5, 6), starts: int = STARTS, id_col: str = "player_id"
+) -> list[dict]:
+    """Figures of the best K-means of each K, with the best K by each of them; ties go to the smaller K."""
+    fits = lloyd.fit(df, ks, starts, id_col=id_col)
+    models = [fits[k] for k in sorted(fits)]
+    out = lloyd.separations(df, models)
+    for row, model in zip(out, models):
+        labelled = df.withColumn("cluster", lloyd.cluster_of(model))
+        row["ari"] = label_agreement(labelled, label, "cluster").first()["ari"]
+    for figure, sign in (("silhouette", -1), ("calinski", -1), ("davies_bouldin", 1)):
+        chosen = min(out, key=lambda x: (sign * round(x[figure], 6), x["k"]), default=None)
+        for row in out:
+            row[f"best_{figure}"] = row is chosen
     return out
 
 
-def bootstrap_stability(
-    df: DataFrame, k: int, reps: int, seeds=SEEDS, share: float = 0.8, id_col: str = "player_id"
-) -> float:
-    """Mean agreement of refits on resamples (with replacement) with the full fit."""
-    base = settle(best_kmeans(df, k, seeds).transform(df).withColumnRenamed("cluster", "base"), "base")
-    scores = []
-    for rep in range(reps):
-        # how often a row is drawn follows from its id and the repetition, whatever the file layout
-        unit = F.pmod(F.xxhash64(id_col, F.lit(rep)), F.lit(1 << 30)) / (1 << 30)
-        times, below, chance = F.lit(0), 0.0, math.exp(-share)
-        for n in range(1, 9):
-            below += chance
-            times = times + F.when(unit >= below, 1).otherwise(0)
-            chance *= share / n
-        drawn = base.withColumn("_times", times).where("_times > 0")
-        resample = settle(drawn.withColumn("_nth", F.explode(F.sequence(F.lit(1), "_times"))).drop("_nth", "_times"), "resample")
-        refit = best_kmeans(resample, k, seeds[:1]).transform(resample)
-        scores.append(label_agreement(refit, "base", "cluster").first()["ari"])
-    return sum(scores) / len(scores)
+# -------------------------------------------------------------------- labels for clusters
 
 
-# -------------------------------------------------------------------- labels for clusters
+def unique_labels(centroids: DataFrame, labels: Sequence[str], rest: str, by: Sequence[str] = ()) -> DataFrame:
+    """(by, cluster, label): each label in turn takes the free cluster of greatest score, of equal ones the lowest.
+
+    ``centroids`` has ``cluster`` and a score column per label; there are few clusters. Clusters left over get ``rest``.
+    """
+    numbered = centroids.withColumn("cluster", C("cluster").cast("int"))
+    told = numbered.groupBy(*by).agg(F.sort_array(F.collect_list(F.struct("cluster", *labels))).alias("_cells"))
+    told = told.withColumn("_taken", F.array().cast("array<int>"))
+    for label in labels:
+        free = F.filter("_cells", lambda x: ~F.array_contains("_taken", x["cluster"]))
+        told = told.withColumn("_best", F.array_max(F.transform(free, _ranked(label)))["c"])
+        told = told.withColumn("_taken", F.when(C("_best").isNull(), C("_taken")).otherwise(F.array_append("_taken", -C("_best"))))
+    names = F.array(*[F.lit(x) for x in labels])
+    told = told.select(*by, F.explode("_cells").alias("x"), "_taken").select(*by, C("x")["cluster"].alias("cluster"), "_taken")
+    place = F.array_position("_taken", C("cluster"))
+    return told.select(*by, "cluster", F.when(place > 0, F.get(names, (place - 1).cast("int"))).otherwise(F.lit(rest)).alias("label"))
+
 
+def _ranked(label: str):
+    return lambda x: F.struct(x[label].alias("v"), (-x["cluster"]).alias("c"))
 
-def unique_labels(centres: Sequence[Mapping[str, float]], goals: Mapping[str, Mapping[str, float]], rest: str) -> list[str]:
-    """Each label takes the best remaining centre by its weighted score; left-over centres get ``rest``."""
-    scores = [{g: sum(w * c[f] for f, w in terms.items()) for g, terms in goals.items()} for c in centres]
-    given: dict[int, str] = {}
-    for goal in list(goals)[: min(len(centres), 3)]:
-        free = [i for i in range(len(centres)) if i not in given]
-        given[max(free, key=lambda i: scores[i][goal])] = goal
-    return [given.get(i, rest) for i in range(len(centres))]
 
+def dominant_labels(centroids: DataFrame, labels: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
+    """(by, cluster, label): the label of greatest score, of equal ones the first named; labels may repeat."""
+    peak = F.greatest(*[C(x) for x in labels])
+    label = F.coalesce(*[F.when(C(x) == peak, F.lit(x)) for x in labels])
+    return centroids.select(*by, C("cluster").cast("int").alias("cluster"), label.alias("label"))
 
-def dominant_labels(centres: Sequence[Mapping[str, float]], goals: Mapping[str, Mapping[str, float]]) -> list[str]:
-    """The label of the largest score per centre; labels may repeat."""
-    return [max(goals, key=lambda g: sum(w * c[f] for f, w in goals[g].items())) for c in centres]
+
+def centroid_scores(spark, centres: Sequence[Mapping[str, float]], goals: Mapping[str, Mapping[str, float]]) -> DataFrame:
+    """A centroid table for the two functions above: a weighted score per label."""
+    rows = [(i, *[float(sum(w * c[f] for f, w in terms.items())) for terms in goals.values()]) for i, c in enumerate(centres)]
+    return spark.createDataFrame(rows, "cluster int, " + ", ".join(f"`{g}` double" for g in goals))
+
+
+def named(df: DataFrame, names: DataFrame, out: str, cluster: str = "cluster") -> DataFrame:
+    """``df`` with the label of its cluster as ``out``, instead of a column of that name; ``names`` has one row per cluster."""
+    df = df.drop(out)
+    names = names.select(C("cluster").alias("_c"), C("label").alias(out))
+    return df.join(F.broadcast(names), C(cluster) == C("_c"), "left").drop("_c")
 
 
 def scaled_centres(centres: Sequence[Mapping[str, float]], columns: Sequence[str]) -> list[dict[str, float]]:
@@ -242,8 +193,12 @@ def scaled_centres(centres: Sequence[Mapping[str, float]], columns: Sequence[str
     return out
 
 
-def name_of(cluster: Column, names: Sequence[str]) -> Column:
-    return F.get(F.array(*[F.lit(n) for n in names]), cluster)
+def confusion(df: DataFrame, a: str, b: str, labels: Sequence[str]) -> DataFrame:
+    """(a, b, n) for every pair of the labels, also where no row has it."""
+    spark = df.sparkSession
+    cells = spark.createDataFrame([(x, y) for x in labels for y in labels], "a string, b string")
+    found = df.groupBy(C(a).alias("a"), C(b).alias("b")).agg(F.count(F.lit(1)).alias("n"))
+    return cells.join(found, ["a", "b"], "left").select("a", "b", F.coalesce("n", F.lit(0)).alias("n"))
 
 
 # Which centroid figures speak for which label.
@@ -265,16 +220,11 @@ AXIS_GOALS = {
 }
 
 
-def mixture_labels(df: DataFrame, model, names: Sequence[str], certain: float = 0.45) -> DataFrame:
+def mixture_labels(df: DataFrame, model: mixtures.Mixture, names: DataFrame, certain: float = 0.45) -> DataFrame:
     """Component label, hybrid when no membership is clear, with confidence and entropy."""
-    p = vector_to_array("membership")
-    scored = model.transform(df).withColumn("_p", p)
-    entropy = F.aggregate("_p", F.lit(0.0), lambda acc, x: acc - x * F.log(x + F.lit(1e-12)))
-    return scored.withColumns(
-        {"confidence": F.array_max("_p"), "entropy": entropy, "component": name_of(C("cluster"), names)}
-    ).withColumn(
-        "gmm_label", F.when(C("confidence") < certain, config.HYBRID).otherwise(C("component"))
-    ).drop("_p")
+    scored = mixtures.with_memberships(df, model).withColumnRenamed("component", "_cluster")
+    scored = named(scored, names, "component", "_cluster")
+    return scored.withColumn("gmm_label", F.when(C("confidence") < certain, config.HYBRID).otherwise(C("component"))).drop("_cluster")
 
 
 def quadrant_labels(x: Column, y: Column, margin: float) -> Column:
@@ -312,20 +262,26 @@ def with_two_axes(df: DataFrame) -> DataFrame:
     ).drop(*[f"_u_{c}" for c in (*AXIS_BUILD, *AXIS_DEFEND)])
 
 
-def with_two_axis_profile(df: DataFrame, seeds: Sequence[int] = SEEDS) -> DataFrame:
-    """Construction and defence scores, three clusters of them, and the lean of the hybrids.
-
-    The cluster with the smallest gap between the axes is the hybrid one.
+def two_axis_labels(centres: DataFrame) -> DataFrame:
+    """(cluster, label) of centroids with ``score_con`` and ``score_def``: the smallest gap is the hybrid, of the others the
+    strongest builder is the builder, the rest defend. Of equal ones the lowest cluster counts first. There are few clusters.
     """
-    ready, scale = scaled_features(with_two_axes(df), ["score_con", "score_def"])
-    model = best_kmeans(ready, 3, seeds)
-    centres = [unscale(c, ["score_con", "score_def"], scale) for c in model.clusterCenters()]
-    gaps = [abs(c["score_con"] - c["score_def"]) for c in centres]
-    hybrid = gaps.index(min(gaps))
-    others = sorted((i for i in range(len(centres)) if i != hybrid), key=lambda i: -centres[i]["score_con"])
-    names = {hybrid: config.HYBRID}
-    for place, i in enumerate(others):
-        names[i] = ("Construtor", "Defensivo")[min(place, 1)]
-    labelled = model.transform(ready).withColumn("perfil_k3", name_of(C("cluster"), [names[i] for i in range(len(centres))]))
+    gap = F.abs(C("score_con") - C("score_def"))
+    cells = centres.select(F.sort_array(F.collect_list(F.struct(gap.alias("gap"), "cluster", "score_con"))).alias("x"))
+    others = F.sort_array(F.transform(F.slice("x", 2, F.size("x")), lambda c: F.struct((-c["score_con"]).alias("o"), c["cluster"].alias("cluster"))))
+    cells = cells.select(C("x")[0]["cluster"].alias("hybrid"), others.alias("y"))
+    cells = cells.select("hybrid", F.explode_outer(F.concat(F.array(C("hybrid")), F.transform("y", lambda c: c["cluster"]))).alias("cluster"), F.get("y", 0)["cluster"].alias("first"))
+    label = F.when(C("cluster") == C("hybrid"), config.HYBRID).when(C("cluster") == C("first"), "Construtor").otherwise("Defensivo")
+    return cells.where(C("cluster").isNotNull()).select("cluster", label.alias("label"))
+
+
+def with_two_axis_profile(df: DataFrame, starts: int = STARTS) -> DataFrame:
+    """Construction and defence scores, three clusters of them, and the lean of the hybrids."""
+    axes = ["score_con", "score_def"]
+    ready, scale = scaled_features(with_two_axes(df), axes)
+    model = lloyd.fit(ready, (3,), starts).get(3) or lloyd.Model(3, 0, ((0.0, 0.0),) * 3)  # an empty pool has no centres
+    centres = [(i, *unscale(c, axes, scale).values()) for i, c in enumerate(model.centres)]
+    names = two_axis_labels(df.sparkSession.createDataFrame(centres, "cluster int, score_con double, score_def double"))
+    labelled = named(ready.withColumn("cluster", lloyd.cluster_of(model)), names, "perfil_k3")
     lean = F.when(C("score_con") >= C("score_def"), "+ Construtor").otherwise("+ Defensivo")
     return labelled.withColumn("hybrid_lean", F.when(C("perfil_k3") == config.HYBRID, lean)).drop("features", "cluster")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import uuid
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
@@ -33,6 +34,11 @@ def local_session(cores: str = "*", shuffle_partitions: int = 8, memory: str = "
     )
 
 
+def workers(spark: SparkSession) -> None:
+    """Python workers get this project's folder as a module path, for sessions that did not ship it."""
+    spark.sparkContext.environment.setdefault("PYTHONPATH", str(Path(__file__).resolve().parents[1]))
+
+
 def scratch_dir(spark: SparkSession) -> str:
     """The shared folder named by ``spark.checkpoint.dir``; in local mode, without one, a folder of the warehouse."""
     configured = spark.conf.get("spark.checkpoint.dir", None)
@@ -40,9 +46,7 @@ def scratch_dir(spark: SparkSession) -> str:
         return configured
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder that every executor can reach")
-    folder = os.path.join(spark.conf.get("spark.sql.warehouse.dir"), "shared")
-    spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    return os.path.join(spark.conf.get("spark.sql.warehouse.dir"), "shared")
 
 
 def settle(df: DataFrame, name: str = "stage") -> DataFrame:
@@ -71,8 +75,5 @@ def settle_measured(df: DataFrame, name: str, measures: dict[str, Column]) -> tu
 
 def release(spark: SparkSession) -> bool:
     """Delete the settled frames of this project in the shared folder, once their results are written."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        return False
-    path = spark._jvm.org.apache.hadoop.fs.Path(os.path.join(folder, "poolgrade"))
+    path = spark._jvm.org.apache.hadoop.fs.Path(os.path.join(scratch_dir(spark), "poolgrade"))
     return path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
