@@ -156,7 +156,7 @@ def _(spark, folder):
     share = F.create_map(*[F.lit(x) for i, v in enumerate(found.variances[:3]) for x in (f"PC{i + 1}", float(v))])
     scored = components.with_scores(ready, found, 3)
     sizes = scored.groupBy(k.raw_quadrant_labels(C("pc1"), C("pc2")).alias("label")).agg(F.count(F.lit(1)).alias("players"))
-    top = k.top_loadings(rows).withColumn("variance", share[C("component")])
+    top = components.top_loadings(rows).withColumn("variance", share[C("component")])
     members = sizes.select(
         F.lit("quadrant").alias("component"), F.lit(0).alias("place"), C("label").alias("feature"),
         C("players").cast("double").alias("loading"), F.lit(None).cast("double").alias("variance"),

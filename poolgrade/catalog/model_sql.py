@@ -40,6 +40,9 @@ def lloyd_ctes(
     sums = ", ".join(f"sum(times * x{i}) AS t{i}" for i in range(dims))
     means = ", ".join(f"round(t{i} / n, {lloyd.DIGITS}) + 0e0" for i in range(dims))
     reps = f"range({max(weights, 1)}) r(rep)"
+    moves = "list_sum(list_transform(range(1, k + 1), lambda c: " + " + ".join(
+        f"(fresh[c][{j}] - centres[c][{j}]) * (fresh[c][{j}] - centres[c][{j}])" for j in range(1, dims + 1)
+    ) + "))"
     return [
         f"points{name} AS MATERIALIZED (SELECT * FROM {source} WHERE {where})",
         f"draws{name} AS (SELECT s, j, substr(md5(s || ':' || {id_col}), 1 + {lloyd.DRAW_HEX} * j, {lloyd.DRAW_HEX}) || {id_col} AS h, [{x}] AS p "
@@ -47,7 +50,7 @@ def lloyd_ctes(
         f"firsts{name} AS (SELECT s, j, arg_min(p, h) AS p FROM draws{name} GROUP BY s, j)",
         f"""steps{name} AS (SELECT 0 AS step, k, s, rep, list(p ORDER BY j) AS centres, TRUE AS moved, 0e0 AS cost
         FROM firsts{name} JOIN (SELECT unnest([{", ".join(map(str, ks))}]) AS k) ON j < k, {reps} GROUP BY k, s, rep
-      UNION ALL SELECT step + 1, k, s, rep, fresh, fresh IS DISTINCT FROM centres, cost FROM (
+      UNION ALL SELECT step + 1, k, s, rep, fresh, {moves} > {lloyd.STILL!r}, cost FROM (
         SELECT m.step, m.k, m.s, m.rep, m.centres, sum(cost) AS cost,
             list(CASE WHEN coalesce(n, 0) = 0 THEN m.centres[m.c] ELSE [{means}] END ORDER BY m.c) AS fresh
         FROM (SELECT step, k, s, rep, centres, unnest(range(1, k + 1)) AS c FROM steps{name} WHERE moved AND step < {lloyd.STEPS}) m

@@ -78,3 +78,10 @@ def with_scores(df: DataFrame, found: Components, n: int, features: str = "featu
 
 def loading_rows(found: Components, columns: Sequence[str], n: int) -> list[tuple[str, str, float]]:
     return [(f"PC{i + 1}", c, float(found.loadings[i, j])) for i in range(n) for j, c in enumerate(columns)]
+
+
+def top_loadings(rows: DataFrame, top: int = 3) -> DataFrame:
+    """Largest loadings of each component by size; a component has one row per feature."""
+    ordered = F.slice(F.array_sort(F.collect_list(F.struct((-F.abs("loading")).alias("o"), C("feature"), C("loading")))), 1, top)
+    told = rows.groupBy("component").agg(ordered.alias("t")).select("component", F.posexplode("t").alias("place", "e"))
+    return told.select("component", "place", "e.feature", "e.loading")

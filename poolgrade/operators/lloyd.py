@@ -3,7 +3,8 @@
 All models (number of clusters, start, resample) advance together: a pass reads the rows once, sums every
 model's clusters inside the task, and one small row per cluster leaves it. The driver holds centres only. The
 number of passes is that of the slowest model, whatever the number of models. Coordinates and centres are rounded to
-nine places, so the order in which tasks are added up changes nothing and models end exactly where they stand still.
+nine places, so the order in which tasks are added up changes nothing. A model ends when its centres' squared moves add
+up to no more than ``STILL``.
 
 Starts are drawn by md5 of start and id, resamples are weights of each row, drawn by md5 of repetition and id:
 no resample is written. A cluster that loses all rows keeps its centre; equal distances go to the lower cluster number.
@@ -25,9 +26,12 @@ from ..session import settle, workers
 C = F.col
 DIGITS = 9
 STEPS = 100
+STILL = 1e-4
 DRAW_HEX = 5  # hex digits of a start's md5 that rank the rows for one cluster
 WEIGHT_HEX = 8  # hex digits of a repetition's md5 that draw a row's weight
 MOST_WEIGHT = 8
+BLOCK = 1000  # rows whose distances to a stack of models are held at once
+STACK = 200  # models of a stack
 
 
 @dataclass(frozen=True)
@@ -86,53 +90,71 @@ def _points(frame: pd.DataFrame, column: str) -> np.ndarray:
 
 
 def _distances(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
-    """Squared distances, added up column by column as SQL would."""
-    out = np.zeros((len(x), len(centres)))
+    """Squared distances (rows, ..., clusters) to centres (..., clusters, columns), added up column by column as SQL would."""
+    out = np.zeros((len(x), *centres.shape[:-1]))
+    spread = (slice(None), *[None] * (centres.ndim - 1))
     for j in range(x.shape[1]):
-        apart = x[:, j, None] - centres[None, :, j]
-        out += apart * apart
+        apart = x[:, j][spread] - centres[..., j]
+        apart *= apart
+        out += apart
     return out
 
 
-def _sums(rows: DataFrame, models: Sequence[Model]) -> dict[tuple[int, int], dict]:
-    """One pass: size, cost, distances and coordinate sums of every model's clusters."""
+def _groups(models: Sequence[Model]) -> list[tuple[list[int], np.ndarray]]:
+    """Models of one k together, a few at a time, with their centres stacked."""
+    out = []
+    for k in sorted({m.k for m in models}):
+        mine = [i for i, m in enumerate(models) if m.k == k]
+        for at in range(0, len(mine), STACK):
+            some = mine[at : at + STACK]
+            out.append((some, np.array([models[i].centres for i in some])))
+    return out
+
+
+def _sums(rows: DataFrame, models: Sequence[Model]) -> list[np.ndarray]:
+    """One pass: per model a table (clusters by size, cost, distances, squared norms, coordinate sums); none without rows."""
     dims = len(models[0].centres[0])
-    centres = [np.array(m.centres) for m in models]
+    names = ["n", "cost", "spread", "norm", *[f"s{j}" for j in range(dims)]]
+    groups = _groups(models)
     weighted = any(m.rep is not None for m in models)
-    names = ["model", "cluster", "n", "cost", "spread", "norm", *[f"s{j}" for j in range(dims)]]
+    reps = [[models[i].rep for i in some] for some, _ in groups]
 
     def run(frames):
-        total = [np.zeros((len(c), 4 + dims)) for c in centres]
+        total = [np.zeros((centres.shape[0] * centres.shape[1], len(names))) for _, centres in groups]
         for frame in frames:
-            if not len(frame):
-                continue
-            x = _points(frame, "features")
-            norm = (x * x).sum(axis=1)
-            w = _points(frame, "weights") if weighted else None
-            for model, mine, out in zip(models, centres, total):
-                apart = _distances(x, mine)
-                label = apart.argmin(axis=1)
-                near = apart[np.arange(len(x)), label]
-                times = np.ones(len(x)) if model.rep is None else w[:, model.rep]
-                for at, value in enumerate((1.0, near, np.sqrt(near), norm, *x.T)):
-                    out[:, at] += np.bincount(label, times * value, len(mine))
-        rows = [(m, c, *line) for m, out in enumerate(total) for c, line in enumerate(out.tolist())]
-        yield pd.DataFrame(rows, columns=names)
-
-    schema = "model int, cluster int, " + ", ".join(f"{c} double" for c in names[2:])
+            for at in range(0, len(frame), BLOCK):
+                x = _points(frame[at : at + BLOCK], "features")
+                norm = (x * x).sum(axis=1)
+                w = _points(frame[at : at + BLOCK], "weights") if weighted else None
+                for (some, centres), rep, out in zip(groups, reps, total):
+                    apart = _distances(x, centres)
+                    label = apart.argmin(axis=2)
+                    near = np.take_along_axis(apart, label[:, :, None], 2)[:, :, 0]
+                    cell = (label + np.arange(len(some)) * centres.shape[1]).ravel()
+                    times = w[:, rep] if weighted else np.ones((len(x), len(some)))
+                    for c, value in enumerate((1.0, near, np.sqrt(near), norm[:, None], *x.T[:, :, None])):
+                        out[:, c] += np.bincount(cell, (times * value).ravel(), len(out))
+        model = np.concatenate([np.repeat(some, centres.shape[1]) for some, centres in groups])
+        cluster = np.concatenate([np.tile(np.arange(centres.shape[1]), len(some)) for some, centres in groups])
+        yield pd.DataFrame({"model": model, "cluster": cluster, **dict(zip(names, np.concatenate(total).T))})
+
     workers(rows.sparkSession)
+    schema = "model int, cluster int, " + ", ".join(f"{c} double" for c in names)
     told = rows.select("features", *["weights"] * weighted).mapInPandas(run, schema)
-    told = told.groupBy("model", "cluster").agg(*[F.sum(c).alias(c) for c in names[2:]])
-    return {(r["model"], r["cluster"]): r.asDict() for r in told.collect()}
+    told = told.groupBy("model", "cluster").agg(*[F.sum(c).alias(c) for c in names]).toPandas()
+    if not len(told):
+        return []
+    told = told.sort_values(["model", "cluster"])
+    return np.split(told[names].to_numpy(float), np.cumsum([m.k for m in models])[:-1])
 
 
-def _moved(model: Model, lines: list[dict]) -> Model:
+def _moved(model: Model, table: np.ndarray) -> Model:
+    sums = table.tolist()
     new = tuple(
-        tuple(round(line[f"s{j}"] / line["n"], DIGITS) + 0.0 for j in range(len(old))) if line["n"] else old
-        for old, line in zip(model.centres, lines)
+        tuple(round(s / line[0], DIGITS) + 0.0 for s in line[4:]) if line[0] else old for old, line in zip(model.centres, sums)
     )
-    cost = sum(line["cost"] for line in lines)
-    return replace(model, centres=new, cost=cost, steps=model.steps + 1, still=new == model.centres)
+    apart = sum((a - b) * (a - b) for old, fresh in zip(model.centres, new) for a, b in zip(old, fresh))
+    return replace(model, centres=new, cost=sum(line[1] for line in sums), steps=model.steps + 1, still=apart <= STILL)
 
 
 def advance(rows: DataFrame, models: Sequence[Model], steps: int = STEPS) -> list[Model]:
@@ -146,7 +168,7 @@ def advance(rows: DataFrame, models: Sequence[Model], steps: int = STEPS) -> lis
         if not sums:  # no rows
             break
         for at, i in enumerate(moving):
-            models[i] = _moved(models[i], [sums[at, c] for c in range(models[i].k)])
+            models[i] = _moved(models[i], sums[at])
     return models
 
 
@@ -189,7 +211,7 @@ def separations(rows: DataFrame, models: Sequence[Model]) -> list[dict]:
         return []
     sums = _sums(rows, models)
     dims = len(models[0].centres[0])
-    tables = [np.array([[sums[i, c][n] for n in ("n", "norm", *[f"s{j}" for j in range(dims)])] for c in range(m.k)]) for i, m in enumerate(models)]
+    tables = [t[:, [0, 3, *range(4, 4 + dims)]] for t in sums]
 
     def run(frames):
         total = np.zeros(len(models))
@@ -217,13 +239,13 @@ def separations(rows: DataFrame, models: Sequence[Model]) -> list[dict]:
     silhouettes = {r["model"]: r["total"] for r in told.collect()}
     out = []
     for i, model in enumerate(models):
-        lines = [sums[i, c] for c in range(model.k) if sums[i, c]["n"]]
-        n, k = sum(x["n"] for x in lines), len(lines)
-        points = [[x[f"s{j}"] / x["n"] for j in range(dims)] for x in lines]
-        middle = [sum(x[f"s{j}"] for x in lines) / n for j in range(dims)]
-        between = sum(x["n"] * math.dist(p, middle) ** 2 for x, p in zip(lines, points))
-        within = sum(x["cost"] for x in lines)
-        wide = [x["spread"] / x["n"] for x in lines]
+        lines = [line for line in sums[i].tolist() if line[0]]
+        n, k = sum(x[0] for x in lines), len(lines)
+        points = [[s / x[0] for s in x[4:]] for x in lines]
+        middle = [sum(x[4 + j] for x in lines) / n for j in range(dims)]
+        between = sum(x[0] * math.dist(p, middle) ** 2 for x, p in zip(lines, points))
+        within = sum(x[1] for x in lines)
+        wide = [x[2] / x[0] for x in lines]
         worst = [
             max(((wide[a] + wide[b]) / (math.dist(points[a], points[b]) or 1e-12) for b in range(k) if b != a), default=0.0)
             for a in range(k)

@@ -8,7 +8,7 @@ from poolgrade.operators import ranks
 
 FOLDER = "/root/testdata/sf0.001"
 ENTRIES = load()
-SLOW = {"o2_all_families", "m7_k_selection", "m9_bootstrap_stability"}
+SLOW = {"o2_all_families"}
 CHECKED = [n for n, e in ENTRIES.items() if e.sql is not None]
 
 
