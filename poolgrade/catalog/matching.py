@@ -177,3 +177,28 @@ def _(spark, folder):
         table(spark, folder, "region").selectExpr("100 + r_regionkey AS c", "CASE r_regionkey WHEN 0 THEN 'Clube do Remo' ELSE concat(r_name, ' EC') END AS name")
     )
     return tidy(m.match_directory(clubs, directory))
+
+
+_BLOCKS = (
+    "list_max(flatten(list_transform(range(1, length(a) + 1), lambda i: list_transform(range(1, length(a) - i + 2), lambda n: "
+    "{'n': CASE WHEN instr(b, substr(a, i, n)) > 0 THEN n ELSE 0 END, 'i': -i, 'j': -instr(b, substr(a, i, n))}))))"
+)
+
+
+@query(
+    "j9_sequence_ratio",
+    "J9",
+    f"""WITH RECURSIVE texts AS (SELECT p_partkey AS q, lower(p_name) AS a, lower(coalesce(lead(p_name) OVER (ORDER BY p_partkey), '')) AS b FROM part),
+     parts AS (SELECT q, a, b, {_BLOCKS} AS x FROM texts
+       UNION ALL SELECT q, a, b, {_BLOCKS} AS x FROM (
+         SELECT q, unnest([substr(a, 1, -x.i - 1), substr(a, -x.i + x.n)]) AS a, unnest([substr(b, 1, -x.j - 1), substr(b, -x.j + x.n)]) AS b FROM parts WHERE x.n > 0)
+       WHERE a <> '' AND b <> ''),
+     met AS (SELECT q, sum(x.n) AS n FROM parts GROUP BY q)
+     SELECT q, a, b, {r("2e0 * coalesce(n, 0) / (length(a) + length(b))", "ratio")} FROM texts JOIN met USING (q)""",
+)
+def _(spark, folder):
+    """Likeness of each name and the next one by longest matching blocks."""
+    own = table(spark, folder, "part").select(C("p_partkey").alias("q"), F.lower("p_name").alias("a"))
+    after = own.select((C("q") - 1).alias("q"), C("a").alias("b"))
+    pairs = own.join(after, "q", "left").na.fill("", ["b"])
+    return tidy(m.with_sequence_ratio(pairs, "a", "b"))

@@ -10,7 +10,6 @@ distinct (name, club) texts first, because the score depends on nothing else.
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
-from difflib import SequenceMatcher
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -18,12 +17,16 @@ from pyspark.sql import functions as F
 
 from .. import config
 from ..functions.text import is_youth_team, name_variants, normalise, tokens
-from ..session import settle
+from ..session import settle, workers
+from .sequence import ratios
 
 C = F.col
 BLOCK_ROWS = 10_000
 """Rows of a block, on either side, that one task joins; larger blocks are cut on both sides."""
 
+# The least best score, its lead, and what equal birth years and heights add at most.
+ROSTER_BEST, ROSTER_LEAD, ROSTER_MORE = 76.0, 4.0, 11.0
+
 
 # ------------------------------------------------------------------------------- blocked joins
 
@@ -168,8 +171,17 @@ def club_pairs(
 
 
 def sequence_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
-    """Similarity of two texts by their longest matching blocks, for pairs nothing else decides."""
-    return pd.Series([SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b)], dtype="float64")
+    """Similarity of two texts by their longest matching blocks, for pairs nothing else decides; repeated pairs once."""
+    pairs = pd.DataFrame({"a": a, "b": b})
+    met = pairs.drop_duplicates()
+    met = met.assign(ratio=ratios(met["a"].tolist(), met["b"].tolist()))
+    return pairs.merge(met, on=["a", "b"], how="left")["ratio"]
+
+
+def with_sequence_ratio(df: DataFrame, a: str, b: str) -> DataFrame:
+    """``ratio`` of two text columns."""
+    workers(df.sparkSession)
+    return df.withColumn("ratio", F.pandas_udf(sequence_ratio, "double")(a, b))
 
 
 def _take(found: str) -> str:
@@ -194,7 +206,8 @@ def matched_tokens(query: str, candidate: str) -> Column:
 
 def with_name_scores(pairs: DataFrame) -> DataFrame:
     """Add matched count and coverages for normalised names ``qn`` and ``cn``."""
-    df = pairs.withColumns({"_q": tokens(C("qn")), "_c": tokens(C("cn"))})
+    made = {"_q": tokens(C("qn")), "_c": tokens(C("cn"))}
+    df = pairs.withColumns({k: v for k, v in made.items() if k not in pairs.columns})
     words, rest = matched_tokens("_q", "_c")
     df = df.withColumn("_words", words).withColumn("matched", F.expr(rest))
     return df.withColumns(
@@ -207,6 +220,7 @@ def with_name_scores(pairs: DataFrame) -> DataFrame:
 
 def _ratio_where(df: DataFrame, needed: Column) -> DataFrame:
     """``ratio`` for the rows that need it; the others skip the Python worker."""
+    workers(df.sparkSession)
     ratio = F.pandas_udf(sequence_ratio, "double")
     asked = df.where(needed).withColumn("ratio", ratio("qn", "cn"))
     rest = df.where(~needed).withColumn("ratio", F.lit(0.0))
@@ -229,11 +243,14 @@ def feed_name_score(pairs: DataFrame) -> DataFrame:
     return df.withColumn("ns", F.least(F.lit(100.0), score)).drop("_q", "_c", "matched", "cover_q", "cover_c", "ratio")
 
 
-def roster_name_score(pairs: DataFrame) -> DataFrame:
-    """``ns`` of the roster variant: spelling counts up to 88, a shared long last word adds 4."""
+def roster_name_score(pairs: DataFrame, least: Column | float = 0.0) -> DataFrame:
+    """``ns`` of the roster variant: spelling counts up to 88, a shared long last word adds 4.
+
+    Spelling is asked for where its characters in common allow more points than the words give, and at least ``least``
+    in all; below that, ``ns`` may be the points of the words alone.
+    """
     df = with_name_scores(pairs)
     same = C("qn") == C("cn")
-    df = _ratio_where(df, (C("cover_q") < 1) & ~same)
     band = (
         F.when(C("cover_q") >= 1, F.lit(90.0) + C("cover_c") * 6.0)
         .when(C("cover_c") >= 1, F.lit(82.0) + C("cover_q") * 6.0)
@@ -241,10 +258,19 @@ def roster_name_score(pairs: DataFrame) -> DataFrame:
         .otherwise(0.0)
     )
     last_q, last_c = F.element_at("_q", -1), F.element_at("_c", -1)
-    bonus = (F.size("_q") > 1) & (F.size("_c") > 1) & (last_q == last_c) & (F.length(last_q) > 3)
-    score = F.greatest(band, C("ratio") * 88.0) + F.when(bonus, 4.0).otherwise(0.0)
-    score = F.when((C("qn") == "") | (C("cn") == ""), 0.0).when(same, 100.0).otherwise(F.least(score, F.lit(100.0)))
-    return df.withColumn("ns", score).drop("_q", "_c", "matched", "cover_q", "cover_c", "ratio")
+    long_last = (F.size("_q") > 1) & (F.size("_c") > 1) & (last_q == last_c) & (F.length(last_q) > 3)
+    df = df.withColumns({"_band": band, "_bonus": F.when(long_last, 4.0).otherwise(0.0)})
+    empty = (C("qn") == "") | (C("cn") == "")
+    least = F.lit(least) if isinstance(least, float) else least
+    marks = [C(m) if m in pairs.columns else _numbered(C(n)) for m, n in (("_mq", "qn"), ("_mc", "cn"))]
+    allowed = []  # by the lengths, then by the characters in common
+    for most in (_length_ratio(C("qn"), C("cn")), _most_ratio(*marks)):
+        points = most * 88.0 + 1e-6
+        allowed.append((points > C("_band")) & (points + C("_bonus") >= least))
+    df = _ratio_where(df, F.coalesce((C("cover_q") < 1) & ~same & ~empty & allowed[0] & allowed[1], F.lit(False)))
+    score = F.greatest(C("_band"), C("ratio") * 88.0) + C("_bonus")
+    score = F.when(empty, 0.0).when(same, 100.0).otherwise(F.least(score, F.lit(100.0)))
+    return df.withColumn("ns", score).drop("_q", "_c", "matched", "cover_q", "cover_c", "ratio", "_band", "_bonus")
 
 
 # ------------------------------------------------------------------------- candidate pairs
@@ -313,26 +339,14 @@ def _spelling_keys(df: DataFrame, name: str, ratio: Column) -> DataFrame:
     return marks.select(*df.columns, F.explode(F.array_distinct(keys)).alias("_w"))
 
 
-def _may_reach(a: Column, b: Column, ratio: Column) -> Column:
-    """False if the texts have too few characters in common for the ratio, wherever these stand."""
-    both = F.size(F.array_intersect(_numbered(a), _numbered(b)))
-    return both * 2.0 >= (ratio - 1e-9) * (F.length(a) + F.length(b))
+def _length_ratio(a: Column, b: Column) -> Column:
+    """What the ratio of two texts can be at most, by their lengths."""
+    return F.least(F.length(a), F.length(b)) * 2.0 / F.greatest(F.length(a) + F.length(b), F.lit(1))
 
 
-def candidate_pairs(left: DataFrame, right: DataFrame, same_club: Sequence[str], ratio: float) -> DataFrame:
-    """Pairs (q, c) inside matching clubs that share a word, an initial or enough characters.
-
-    ``left`` has q, qn and ``right`` c, cn; ``same_club`` are the columns that must agree.
-    """
-    l, r = left.select("q", "qn", *same_club), right.select("c", "cn", *same_club)
-    keys = [*same_club, "_w"]
-    ways = [
-        (_words(l, "qn"), _words(r, "cn")),
-        (_initials(l, "qn"), _first_letters(r, "cn")),
-        (_rare_characters(l, "qn", ratio), _rare_characters(r, "cn", ratio)),
-    ]
-    found = [block_join(a.drop("qn"), b.drop("cn"), keys, "c").select("q", "c") for a, b in ways]
-    return settle(found[0].unionByName(found[1]).unionByName(found[2]).distinct(), "candidates")
+def _most_ratio(a: Column, b: Column) -> Column:
+    """What the ratio of two texts can be at most, by their characters (see `_numbered`) in common, wherever these stand."""
+    return F.size(F.array_intersect(a, b)) * 2.0 / F.greatest(F.size(a) + F.size(b), F.lit(1))
 
 
 def texts(df: DataFrame, name: str, club: str, key: str) -> DataFrame:
@@ -443,21 +457,50 @@ def match_roster(players: DataFrame, roster: DataFrame) -> DataFrame:
     r = roster.select(
         "c", normalise(C("name")).alias("cn"), "club", C("birth_year").alias("c_birth"), C("height").alias("c_height")
     )
-    l = settle(l, "players")
-    r = settle(r, "roster")
-    pairs = candidate_pairs(l, r, ["club"], 0.63).join(l.drop("club"), "q").join(r.drop("club"), "c")
-    scored = roster_name_score(pairs).where(C("ns") > 0)
+    # words and numbered characters of each text are made once, not per pair
+    l = settle(l.withColumns({"_q": tokens(C("qn")), "_mq": _numbered(C("qn"))}), "players")
+    r = settle(r.withColumns({"_c": tokens(C("cn")), "_mc": _numbered(C("cn"))}), "roster")
     born = F.abs(C("birth_year") - C("c_birth"))
     tall = F.abs(C("height") - C("c_height"))
     both_born = (C("birth_year") != 0) & (C("c_birth") != 0)
     both_tall = (C("height") != 0) & (C("c_height") != 0)
-    score = (
-        C("ns")
-        + F.when(both_born, F.when(born == 0, 7).when(born == 1, 2).otherwise(-28)).otherwise(0)
-        + F.when(both_tall, F.when(tall <= 2, 4).when(tall > 6, -12).otherwise(0)).otherwise(0)
+    more = F.coalesce(F.when(both_born, F.when(born == 0, 7).when(born == 1, 2).otherwise(-28)), F.lit(0)) + F.coalesce(
+        F.when(both_tall, F.when(tall <= 2, 4).when(tall > 6, -12).otherwise(0)), F.lit(0)
     )
-    scored = settle(scored.select("q", "c", F.round(score, 9).alias("score")), "roster-scores")
-    return _with_margin(scored, "q", 76.0, 4.0)
+
+    def scores(pairs: DataFrame, needed: Column) -> DataFrame:
+        """Scores that reach ``needed`` are exact; lower ones may leave spelling out or be left out."""
+        met = pairs.join(l, "q").join(r.drop("club"), "c").withColumn("_more", more)
+        # 92 is the most without all words of the player, so far apart in age all of them must be there
+        words = F.size(F.array_except(F.filter("_q", lambda t: F.length(t) > 1), C("_c"))) == 0
+        met = met.where((needed - C("_more") <= 100) & ((needed - C("_more") <= 92) | words))
+        named = roster_name_score(met, needed - C("_more")).where(C("ns") > 0)
+        return named.select("q", "c", F.round(C("ns") + C("_more"), 9).alias("score"))
+
+    # Only a best score of 76 and runners-up within 4 of it count, so nothing below 72 does.
+    ways = [(_words(l, "qn"), _words(r, "cn")), (_initials(l, "qn"), _first_letters(r, "cn"))]
+    met = [block_join(a.select("q", "club", "_w"), b.select("c", "club", "_w"), ["club", "_w"], "c").select("q", "c") for a, b in ways]
+    met = settle(met[0].unionByName(met[1]).distinct(), "roster-pairs")
+    worded = settle(scores(met, F.lit(ROSTER_BEST - ROSTER_LEAD)), "roster-words")
+    # Spelling alone gives 88 x ratio. It counts where it comes within the lead of the best score by words, so a player
+    # whom words decide clearly asks for no spelling at all.
+    peak = worded.groupBy("q").agg(F.max("score").alias("peak"))
+    floor = F.greatest(F.lit(ROSTER_BEST), F.coalesce("peak", F.lit(0.0))) - ROSTER_LEAD
+    open_ = l.join(peak, "q", "left").withColumn("_need", floor).withColumn("_r", (C("_need") - ROSTER_MORE) / 88.0 - 1e-6)
+    open_ = open_.where(C("_r") <= 1)
+    least = (ROSTER_BEST - ROSTER_LEAD - ROSTER_MORE) / 88.0 - 1e-6
+    spelled = block_join(
+        _spelling_keys(open_, "qn", C("_r")).select("q", "club", "_w"),
+        _spelling_keys(r, "cn", F.lit(least)).select("c", "club", "_w"),
+        ["club", "_w"],
+        "c",
+    ).select("q", "c").distinct()
+    spelled = spelled.join(worded, ["q", "c"], "left_anti").join(open_.drop("club"), "q").join(r.drop("club"), "c")
+    spelled = spelled.where(_length_ratio(C("qn"), C("cn")) * 88.0 + more >= C("_need") - 1e-6)
+    spelled = spelled.where(_most_ratio(C("_mq"), C("_mc")) * 88.0 + more >= C("_need") - 1e-6)
+    spelled = settle(spelled.select("q", "c"), "roster-spelled")
+    scored = settle(worded.unionByName(scores(spelled, F.lit(ROSTER_BEST - ROSTER_LEAD))), "roster-scores")
+    return _with_margin(scored, "q", ROSTER_BEST, ROSTER_LEAD)
 
 
 def match_without_club(players: DataFrame, people: DataFrame, year: int) -> DataFrame:
@@ -533,7 +576,7 @@ def match_directory(clubs: DataFrame, directory: DataFrame) -> DataFrame:
         _spelling_keys(open_, "qn", C("_r")).select("q", "_w"), _spelling_keys(r, "cn", F.lit(0.55)).select("c", "_w"), ["_w"], "c"
     ).select("q", "c").distinct()
     spelled = spelled.join(worded, ["q", "c"], "left_anti").join(open_, "q").join(r, "c")
-    spelled = spelled.where(_may_reach(C("qn"), C("cn"), C("_r"))).select("q", "c")
+    spelled = spelled.where(_most_ratio(_numbered(C("qn")), _numbered(C("cn"))) >= C("_r") - 1e-9).select("q", "c")
     scored = settle(worded.unionByName(scores(spelled)), "directory-scores")
     found = _with_margin(scored, "q", 55.0, 5.0)
     return forced.unionByName(found.join(forced, "q", "left_anti"))
