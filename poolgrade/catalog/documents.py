@@ -21,6 +21,27 @@ C = F.col
 GENERIC_LIST = ", ".join(f"'{f}'" for f in GENERIC)
 
 
+STORED: dict[tuple[str, str], tuple[str, object]] = {}
+
+
+def stored_documents(spark, folder):
+    """The documents of all six families, built once per application and tables and stored in the shared folder.
+
+    The queries below read them as a site reads its stored documents; a copy that was released is built again.
+    """
+    key = (spark.sparkContext.applicationId, folder)
+    if key in STORED:
+        path = spark._jvm.org.apache.hadoop.fs.Path(STORED[key][0])
+        if path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
+            return spark.read.schema(STORED[key][1]).parquet(STORED[key][0])
+    history, _target = season_frames(spark, folder)
+    docs = dossier.build_all(pool(spark, folder), history)
+    path = os.path.join(scratch_dir(spark), "poolgrade", f"documents-{uuid.uuid4().hex}")
+    docs.write.parquet(path)
+    STORED[key] = (path, docs.schema)
+    return spark.read.schema(docs.schema).parquet(path)
+
+
 def _round(expr: str, places: int) -> str:
     """Half-even on the exact binary value, as the documents round."""
     return f"CAST(printf('%.{places}f', {expr}) AS DOUBLE)"
@@ -127,18 +148,23 @@ def _(spark, folder):
     )
 
 
+def _scatter_sql(key: str) -> str:
+    """Value of a scatter metric by family; a family without it has 0."""
+    cells = " ".join(f"WHEN '{f}' THEN coalesce({x.scatter[key]}, 0e0)" for f, x in config.FAMILIES.items() if key in x.scatter)
+    return f"CASE family {cells} ELSE 0e0 END"
+
+
 @query(
     "o4_scatter",
     "O4 A9",
     with_base(
-        "pts AS (SELECT family, player_id, label, CASE WHEN family = 'extremos' OR family = 'meio-campistas' THEN xa WHEN family = 'meias-ofensivos' THEN xa ELSE 0e0 END AS x, carry_prog AS y FROM pool WHERE family IN ("
-        + GENERIC_LIST + "))",
+        f"pts AS (SELECT family, player_id, label, {_scatter_sql('xa')} AS x, {_scatter_sql('progressao')} AS y FROM pool)",
         select="SELECT family AS position_family, player_id, label, " + rounded("x y") + ", " + r("avg(x) OVER (PARTITION BY family)", "avg_x") + ", "
         + r("avg(y) OVER (PARTITION BY family)", "avg_y") + " FROM pts",
     ),
 )
 def _(spark, folder):
-    docs = dossier.build_generic(pool(spark, folder))
+    docs = stored_documents(spark, folder)
     return tidy(compare.scatter_points(docs, "xa", "progressao"), "position_family", "player_id", "label", "x", "y", "avg_x", "avg_y")
 
 
@@ -191,22 +217,29 @@ def _(spark, folder):
     return compare.verdict(compare.versus_metrics(_pairs(docs), compare.comparison_cards(docs)))
 
 
+def _regulars(docs):
+    """Every player against the one of most minutes in the family."""
+    first = docs.groupBy("position_family").agg(F.min_by("player_id", F.struct(-C("minutes"), C("player_id"))).alias("id_b"))
+    return docs.join(F.broadcast(first), "position_family").where(C("player_id") != C("id_b")).select(C("player_id").alias("id_a"), "id_b")
+
+
 @query(
     "j18_aspect_table",
     "J18 U2 O6",
     with_base(
-        *VERSUS_CTES,
         *ASPECT_CTES,
         DOC_CTE,
         f"items AS ({_aspect_rows()})",
+        "top AS (SELECT family, player_id AS id_b FROM pool QUALIFY row_number() OVER (PARTITION BY family ORDER BY minutes DESC, player_id) = 1)",
+        "duo AS (SELECT pool.player_id AS id_a, id_b FROM pool JOIN top USING (family) WHERE pool.player_id <> id_b)",
         select="SELECT id_a, id_b, x.grp AS aspect_group, x.label, x.percentile AS value_a, y.percentile AS value_b, CASE WHEN x.percentile = y.percentile THEN 'tie' WHEN x.percentile > y.percentile THEN 'a' ELSE 'b' END AS leads "
         "FROM duo JOIN items x ON x.player_id = id_a JOIN items y ON y.player_id = id_b AND x.grp = y.grp AND x.label = y.label",
         once=True,
     ),
 )
 def _(spark, folder):
-    docs = settle(dossier.build_generic(pool(spark, folder)), "docs")
-    return compare.aspect_table(_pairs(docs), compare.comparison_cards(docs))
+    docs = stored_documents(spark, folder)
+    return compare.aspect_table(_regulars(docs), compare.comparison_cards(docs))
 
 
 @query(
@@ -227,11 +260,47 @@ def _(spark, folder):
 
 @query("o2_all_families", "O1 O2 O3 O9 N4 N20 N22 C9")
 def _(spark, folder):
-    history, _target = season_frames(spark, folder)
-    docs = dossier.build_all(pool(spark, folder), history)
+    docs = stored_documents(spark, folder)
     return docs.select("player_id", "position_family", "profile", "rating", "hybrid_lean", F.to_json("ratings").alias("ratings"))
 
 
+_PROFILES = "CASE family " + " ".join(f"WHEN '{f}' THEN '{'|'.join(x.profiles)}'" for f, x in config.FAMILIES.items()) + " END"
+CONTENT = [
+    *ASPECT_CTES, DOC_CTE, f"items AS ({_aspect_rows()})",
+    "flat AS (SELECT player_id, count(*) AS aspects, sum(percentile) AS percentiles, string_agg(label, '|' ORDER BY grp, place) AS labels FROM items GROUP BY player_id)",
+]
+CONTENT_SQL = (
+    f"SELECT p.player_id, family AS position_family, p.name, club, p.label, position, nationality, birth_year, height, foot, minutes, {_round('minutes_share * 100e0', 1)} AS minutes_pct, "
+    f"CAST(goals AS INTEGER) AS goals, CAST(assists AS INTEGER) AS assists, {_PROFILES} AS profiles, f.aspects, {r('f.percentiles', 'percentiles')}, f.labels FROM pool p JOIN flat f USING (player_id)"
+)
+_CONTENT_FIELDS = (
+    "player_id string, position_family string, name string, club string, label string, position string, nationality string, birth_year int, height int, foot string, "
+    "minutes int, minutes_pct double, goals int, assists int"
+)
+_ASPECT_ITEMS = "array<struct<label:string,percentile:double>>"
+
+
+def content(docs):
+    """The fields of each document, its aspects counted, added up and named in order."""
+    none = F.array().cast(_ASPECT_ITEMS)
+    pick = lambda a: F.struct(a["label"].alias("label"), a["percentile"].alias("percentile"))
+    every = F.flatten(F.array(*[F.coalesce(F.transform(f"aspects.{g}", pick), none) for g in sorted(compare.ASPECT_GROUPS)]))
+    docs = docs.withColumn("_all", every)
+    return docs.select(
+        *[x.split(" ")[0] for x in _CONTENT_FIELDS.split(", ")],
+        F.array_join("profiles_available", "|").alias("profiles"),
+        F.size("_all").cast("long").alias("aspects"),
+        F.aggregate("_all", F.lit(0.0), lambda t, a: t + a["percentile"]).alias("percentiles"),
+        F.array_join(F.transform("_all", lambda a: a["label"]), "|").alias("labels"),
+    )
+
+
+@query("o2_contents", "O1 O2 O9", with_base(*CONTENT, select=CONTENT_SQL))
+def _(spark, folder):
+    """Documents of all six families, field by field."""
+    return tidy(content(stored_documents(spark, folder)))
+
+
 @query("o8_archetype_table", "O8 T3")
 def _(spark, folder):
     from ..plans.fullbacks import rate_fullbacks
@@ -247,15 +316,15 @@ def _(spark, folder):
     "o10_site_meta",
     "O10 A5 A6 A7",
     with_base(
-        select="SELECT 'Série A' AS league, (SELECT count(*) FROM pool WHERE family IN (" + GENERIC_LIST + ")) AS player_count, "
+        select="SELECT 'Série A' AS league, (SELECT count(*) FROM pool) AS player_count, "
         "count(DISTINCT club) AS clubs, count(DISTINCT nationality) AS nationalities, min(height) FILTER (height > 0) AS height_min, max(height) FILTER (height > 0) AS height_max, "
-        "max(minutes) AS minutes_max, min(birth_year) AS birth_min, max(birth_year) AS birth_max, (SELECT count(*) FROM pool WHERE family = 'extremos') AS wingers "
+        "max(minutes) AS minutes_max, min(birth_year) AS birth_min, max(birth_year) AS birth_max, " + ", ".join(f"(SELECT count(*) FROM pool WHERE family = '{f}') AS n{i}" for i, f in enumerate(config.FAMILIES)) + " "
         "FROM meas WHERE position IS NOT NULL AND position <> 'Goleiro'",
     ),
 )
 def _(spark, folder):
     people = settle(measured(spark, folder), "people")
-    docs = settle(dossier.build_generic(publish_pool(people)), "docs")
+    docs = stored_documents(spark, folder)
     meta = publish.site_meta(docs, outfield(people), "parquet", "Série A", "2025/26")
     facets = publish.site_facets(outfield(people)).agg(
         F.count_if(C("facet") == "club").alias("clubs"), F.count_if(C("facet") == "nationality").alias("nationalities")
@@ -270,26 +339,18 @@ def _(spark, folder):
         C("filters.minutes")[1].alias("minutes_max"),
         C("filters.birth_year")[0].alias("birth_min"),
         C("filters.birth_year")[1].alias("birth_max"),
-        F.expr("filter(families, f -> f.key = 'extremos')[0].count").alias("wingers"),
+        *[F.expr(f"filter(families, f -> f.key = '{f}')[0].count").alias(f"n{i}") for i, f in enumerate(config.FAMILIES)],
     )
 
 
-def publish_pool(people):
-    from ..operators.pools import eligible
-
-    return eligible(outfield(people))
-
-
-@query(
-    "o11_written_site",
-    "O9 O11 S6",
-    with_base(select="SELECT family AS position_family, count(*) AS players FROM pool WHERE family IN (" + GENERIC_LIST + ") GROUP BY family"),
-)
+@query("o11_written_site", "O9 O11 S6", with_base(*CONTENT, select=CONTENT_SQL))
 def _(spark, folder):
+    """The written documents of all six families, read back and compared field by field."""
     people = settle(measured(spark, folder), "people")
-    docs = settle(dossier.build_generic(publish_pool(people)), "docs")
+    docs = stored_documents(spark, folder)
     meta = publish.site_meta(docs, outfield(people), "parquet", "Série A", "2025/26")
     facets = publish.site_facets(outfield(people))
     paths = publish.write_site(docs, meta, facets, os.path.join(scratch_dir(spark), "poolgrade", f"site-{uuid.uuid4().hex}"))
-    written = spark.read.schema("player_id string, position_family string").json(paths["dossiers"])
-    return written.groupBy("position_family").agg(F.count(F.lit(1)).alias("players"))
+    groups = ", ".join(f"{g}:{_ASPECT_ITEMS}" for g in compare.ASPECT_GROUPS)
+    written = spark.read.schema(f"{_CONTENT_FIELDS}, profiles_available array<string>, aspects struct<{groups}>").json(paths["dossiers"])
+    return tidy(content(written))

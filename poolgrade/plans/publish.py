@@ -92,8 +92,8 @@ def site_meta(docs: DataFrame, people: DataFrame, source: str, league: str, seas
 
 
 def site_facets(people: DataFrame) -> DataFrame:
-    """The values of the club and nationality filters, one row each, in order."""
-    return facet_values(people, ["club", "nationality"]).orderBy("facet", "value")
+    """The values of the club and nationality filters, one row each."""
+    return facet_values(people, ["club", "nationality"])
 
 
 def write_site(docs: DataFrame, meta: DataFrame, facets: DataFrame, folder: str) -> dict[str, str]:

@@ -8,7 +8,6 @@ from poolgrade.operators import ranks
 
 FOLDER = "/root/testdata/sf0.001"
 ENTRIES = load()
-SLOW = {"o2_all_families"}
 CHECKED = [n for n, e in ENTRIES.items() if e.sql is not None]
 
 
@@ -32,7 +31,7 @@ def test_query_matches_sql_with_many_cuts(spark, con, monkeypatch, name):
     assert differences(spark, con, FOLDER, ENTRIES[name])[1] == ""
 
 
-@pytest.mark.parametrize("name", [n for n, e in ENTRIES.items() if e.sql is None and n not in SLOW])
+@pytest.mark.parametrize("name", [n for n, e in ENTRIES.items() if e.sql is None])
 def test_query_without_sql_has_rows(spark, name):
     assert ENTRIES[name].run(spark, FOLDER).count() > 0
 
