@@ -55,23 +55,47 @@ def longest_rule(host: Column, path: Column, rules: Sequence[tuple[str, str]]) -
     return F.array_max(F.array(*hits)) if hits else F.lit(None).cast("struct<size:int,rule:string,verdict:string>")
 
 
+def _without_dots(path: Column) -> Column:
+    """A path without its ``.`` and ``..`` segments; one too many ``..`` goes no higher than the top."""
+    parts = F.split(path, "/", -1)
+
+    def step(done: Column, part: Column) -> Column:
+        up = F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0)))
+        return F.when(part == ".", done).when(part == "..", up).otherwise(F.array_append(done, part))
+
+    kept = F.aggregate(F.slice(parts, 2, F.size(parts)), F.array().cast("array<string>"), step)
+    folder = F.element_at(parts, -1).isin(".", "..")
+    whole = F.concat(F.lit("/"), F.array_join(F.when(folder, F.array_append(kept, F.lit(""))).otherwise(kept), "/"))
+    return F.when(path.rlike(r"/\.\.?(/|$)"), whole).otherwise(path)
+
+
 def _resolved(href: Column, base: Column) -> Column:
-    """A link's target as seen from the page at ``base``."""
+    """A link's target as seen from the page at ``base``; null if it is no page's address.
+
+    A fragment alone is the page itself, a query alone its path with that query, any other relative link starts in
+    the page's folder; dot segments are taken out.
+    """
     folder = F.regexp_replace(path(base), r"[^/]*$", "")
     at = F.concat(F.lit("x://"), host(base))
-    href = F.replace(F.trim(href), F.lit("&amp;"), F.lit("&"))
-    return (
-        F.when(href.rlike("^[A-Za-z][A-Za-z0-9+.-]*://"), href)
+    href = F.regexp_replace(F.replace(F.trim(href), F.lit("&amp;"), F.lit("&")), r"(?s)#.*$", "")
+    there = (
+        F.when(href == "", base)
+        .when(href.rlike("^[A-Za-z][A-Za-z0-9+.-]*://"), href)
+        .when(href.rlike("^[A-Za-z][A-Za-z0-9+.-]*:"), None)  # mailto: and its like
         .when(href.startswith("//"), F.concat(F.lit("x:"), href))
         .when(href.startswith("/"), F.concat(at, href))
-        .when(href == "", base)
+        .when(href.startswith("?"), F.concat(at, path(base), href))
         .otherwise(F.concat(at, F.when(folder == "", "/").otherwise(folder), href))
     )
+    query = F.regexp_extract(there, r"(?s)^.*?://[^/?#]*[^?#]*([^#]*)", 1)
+    return F.concat(F.lit("x://"), host(there), _without_dots(path(there)), query)
 
 
 def link_edges(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
-    """(u, v) of each page and the targets of its canonical links and refresh redirects."""
+    """(u, v) of each page and the targets of its canonical links and refresh redirects; comments hold no links."""
     rows = pages.select(F.col(url).alias("url"), F.col(html).alias("html"))
+    rows = rows.where(F.col("html").rlike(r"(?i)canonical|http-equiv"))
+    rows = rows.withColumn("html", F.regexp_replace("html", r"(?s)<!--.*?(-->|\z)", " "))
     rows = rows.where(F.col("html").rlike(r"(?i)canonical|http-equiv") & (host(F.col("url")) != ""))
     tags = F.explode(F.regexp_extract_all("html", F.lit(r"(?is)<(?:link|meta)\b[^>]*>"), F.lit(0))).alias("tag")
     quoted = r"""\s*=\s*["']?\s*"""

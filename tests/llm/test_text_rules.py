@@ -43,6 +43,20 @@ PAGES = [
     (11, "http://h.example.org/a/c", '<link rel="canonical" href="http://i.example.net/fr/?a=1&amp;b=2">', "block"),
     (12, "http://WWW.Example.COM/en/1", None, "allow"),
     (13, "http://m.example.com/en/1", None, "block"),
+    # relative references: dot segments, a query alone, a fragment alone, other schemes, comments
+    (14, "http://n.example.org/x/q", '<link rel="canonical" href="http://j.example.net/es/3">', "block"),
+    (15, "http://n.example.org/x/y/p", '<link rel="canonical" href="../q">', "block"),
+    (16, "http://n.example.org/v/w/", '<link rel="canonical" href="./.././../../x/./q#z">', "block"),
+    (17, "http://o.example.org/x/p?z=2", '<link rel="canonical" href="http://j.example.net/es/4">', "block"),
+    (18, "http://o.example.org/x/p?z=1", '<link rel="canonical" href="?z=2">', "block"),
+    (19, "http://p.example.org/x/", '<link rel="canonical" href="http://j.example.net/es/5">', "block"),
+    (20, "http://p.example.org/x/p", '<link rel="canonical" href="#top">', "allow"),
+    (21, "http://q.example.org/", '<!-- <link rel="canonical" href="http://j.example.net/es/6"> --><p>', "allow"),
+    (22, "http://r.example.org/", '<!-- open <link rel="canonical" href="http://j.example.net/es/7">', "allow"),
+    (23, "http://s.example.org/mailto:x", '<link rel="canonical" href="http://j.example.net/es/8">', "block"),
+    (24, "http://s.example.org/a", '<link rel="canonical" href="mailto:x">', "allow"),
+    (25, "http://t.example.org/x/", '<link rel="canonical" href="http://j.example.net/es/9">', "block"),
+    (26, "http://t.example.org/x/y/z", '<link rel="canonical" href="..">', "block"),
 ]
 
 
