@@ -448,7 +448,7 @@ def _posp(expr: str) -> str:
 
 @query(
     "r6_efficiency_impact_score",
-    "R4 R5 R6 J2 R10",
+    "R4 R5 R6 R10",
     with_base(
         *SEASON_CTES,
         *fit_ctes("fit", EFFICIENCY),

@@ -33,11 +33,10 @@ def _(spark, folder):
 
 @query(
     "j2_outer_merge",
-    "J2 R10",
-    "WITH m AS (SELECT l_partkey, l_suppkey, l_returnflag, max(l_extendedprice) AS s FROM lineitem GROUP BY ALL), "
-    + ", ".join(f"{n} AS (SELECT l_partkey, l_suppkey, s AS {n}_s FROM m WHERE l_returnflag = '{n.upper()}')" for n in "anr")
-    + " SELECT l_partkey, l_suppkey, " + r("a_s", "accepted") + ", " + r("n_s", "pending") + ", " + r("r_s", "returned")
-    + " FROM a FULL JOIN n USING (l_partkey, l_suppkey) FULL JOIN r USING (l_partkey, l_suppkey)",
+    "J2",
+    "SELECT l_partkey, l_suppkey, "
+    + ", ".join(r(f"max(l_extendedprice) FILTER (l_returnflag = '{flag}')", name) for name, flag in (("accepted", "A"), ("pending", "N"), ("returned", "R")))
+    + " FROM lineitem WHERE l_returnflag IN ('A', 'N', 'R') GROUP BY l_partkey, l_suppkey",
 )
 def _(spark, folder):
     lines = table(spark, folder, "lineitem")
