@@ -4,7 +4,8 @@ A text's terms say how it is written: the shape of each word (capitals, small le
 of neighbouring shapes, and words that repeat the word before them. Term weights use document frequencies over
 all documents. A truncated singular value decomposition of labelled documents gives the latent space; the labelled
 vectors, whose number is bounded, go to every task, which computes all cosines in blocks. The nearest vote with a
-weight that falls with the angle. A word of more than 64 characters counts as its consecutive pieces of 64.
+weight that falls with the angle; voters as near as the last of them vote too. A word of more than 64 characters
+counts as its consecutive pieces of 64. Repeated rows get equal scores.
 
 Texts without words have the zero vector and get the share of good labels. Without training rows all scores are 0.5.
 """
@@ -45,7 +46,7 @@ def shape(word: str) -> int:
 
 def piece_shapes(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """The shapes of all words' pieces in a row, and how many pieces each word has."""
-    sizes = np.fromiter((max(1, -(-len(w) // PIECE)) for w in words), np.int64, len(words))
+    sizes = np.fromiter((-(-len(w) // PIECE) for w in words), np.int64, len(words))  # the empty word has none
     return np.array([shape(w[k : k + PIECE]) for w in words for k in range(0, len(w), PIECE)], np.int64), sizes
 
 
@@ -116,9 +117,10 @@ class Voters:
             counts = term_counts(texts.slice(start, BLOCK))
             cosines = self.latent(counts) @ self.vectors.T
             k = min(NEAREST, cosines.shape[1])
-            near = np.argpartition(-cosines, k - 1, axis=1)[:, :k]
-            weight = np.exp((np.take_along_axis(cosines, near, 1) - 1) / WIDTH)
-            votes = (weight * self.labels[near]).sum(axis=1) / np.maximum(1e-30, weight.sum(axis=1))
+            last = np.partition(cosines, -k, axis=1)[:, -k]
+            # all that are as near as the last one vote, so ties are not cut
+            weight = np.exp((cosines - 1) / WIDTH) * (cosines >= last[:, None])
+            votes = weight @ self.labels / np.maximum(1e-30, weight.sum(axis=1))
             out[start : start + len(votes)] = np.where(counts.any(axis=1), votes, self.prior)
         return [np.clip(out, 0, 1)]
 
@@ -130,12 +132,12 @@ def fit(
     frequency, n = document_frequencies(docs)
     rows = labelled(docs, labels, label, train, sample)
     field = T.StructType([T.StructField("x", T.BinaryType())])
-    judge = lambda: lambda texts: [[r.tobytes() for r in np.minimum(term_counts(texts), 65535).astype("<u2")]]
+    judge = lambda: lambda texts: [[r.tobytes() for r in term_counts(texts).astype("<u4")]]
     got = with_results(rows, "text", field, judge, "terms", given="arrow").select("doc_id", "label", "terms.x").collect()
     if not got:
         return None
     got.sort(key=lambda r: (r["doc_id"], bytes(r["x"])))
-    counts = np.stack([np.frombuffer(r["x"], "<u2") for r in got]).astype(np.int64)
+    counts = np.stack([np.frombuffer(r["x"], "<u4") for r in got]).astype(np.int64)
     return Voters(counts, np.array([r["label"] for r in got], float), frequency, n)
 
 

@@ -1,5 +1,6 @@
 """Held-out accuracy of the classifiers, their defined results on odd input, and the pipeline's stages."""
 
+import numpy as np
 import public_tokenizers
 import pyarrow as pa
 import pytest
@@ -161,3 +162,36 @@ def test_pipeline_on_empty_tables(spark, tmp_path):
     for name in ("op2_bpe_transducer", "op3_repetition_rules", "op5_token_planes", "op6_language_id", "op7_toxicity",
                  "op8_quality_neighbours", "op9_simhash_components", "op10_decontamination"):
         assert queries.QUERIES[name](spark, f"file://{tmp_path}").count() == 0
+
+
+def test_votes_against_all_cosines_with_ties():
+    draw = np.random.default_rng(3)
+    counts = draw.integers(0, 4, (60, quality_knn.TERMS))
+    counts[30:] = counts[:30]  # every voter twice, with labels of their own
+    labels = draw.integers(0, 2, 60).astype(float)
+    voters = quality_knn.Voters(counts, labels, (counts > 0).sum(axis=0).astype(float), 60)
+    texts = pa.array(["Some words, and more of them. " * 3, "x" * 70_000 + " y", "", "12 34 ab! " * 9])
+    got = voters.score(texts)[0]
+    for text, score in zip(texts.to_pylist(), got):
+        own = quality_knn.term_counts(pa.array([text]))
+        if not own.any():
+            assert score == pytest.approx(labels.mean())
+            continue
+        cosines = (voters.latent(own) @ voters.vectors.T)[0]
+        last = sorted(cosines)[-quality_knn.NEAREST]
+        weight = [np.exp((c - 1) / quality_knn.WIDTH) if c >= last else 0.0 for c in cosines]
+        assert score == pytest.approx(sum(w * y for w, y in zip(weight, labels)) / sum(weight), abs=1e-4)
+
+
+def test_a_term_counts_as_often_in_the_fit_as_in_scoring(spark):
+    text = "ab " * 70_000
+    docs = spark.createDataFrame([(1, text), (2, "Other words. " * 5)], "doc_id long, text string")
+    voters = quality_knn.fit(docs, spark.createDataFrame([(1, 1, 0), (2, 0, 0)], LABELS), F.lit(True))
+    own = voters.latent(quality_knn.term_counts(pa.array([text])))
+    assert float((own @ voters.vectors.T).max()) == pytest.approx(1.0, abs=1e-5)
+
+
+def test_blanks_beside_each_other_make_no_word():
+    one, two = (quality_knn.term_counts(pa.array([t]))[0].tolist() for t in ("Ab cd. 12 ef", " Ab  cd.\n\n12 \t ef "))
+    assert one == two
+    assert quality_knn.term_counts(pa.array(["", "  ", None, "a"])).any(axis=1).tolist() == [False, False, False, True]
