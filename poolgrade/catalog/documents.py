@@ -8,6 +8,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from .. import config
+from ..functions import labels
 from ..operators.identity import outfield
 from ..plans import compare, dossier, publish
 from ..plans.aspects import with_aspects
@@ -114,6 +115,38 @@ def _(spark, folder):
     )
 
 
+# Aspects whose badge comes from two parts, by group and place; the others' comes from their own efficiency.
+_PARTS = {
+    ("defensivos", 2): ("asp_ad_vol", "asp_custo_def_eff"),
+    ("construcao", 3): ("asp_passes_total_vol", "asp_rec_passes_vol"),
+    ("ofensivos", 1): ("asp_cond_prog_vol", "asp_acel_vol"),
+    ("terco_final", 1): ("asp_passes_chave_vol", "asp_passe_area_certos90"),
+    ("terco_final", 2): ("asp_acoes_at_vol", "asp_toques_area_vol"),
+}
+_PART_ROWS = " UNION ALL ".join(
+    f"SELECT player_id, '{g}' AS grp, {p} AS place, least({_round(a, 1)}, {_round(b, 1)}) AS least_part FROM doc WHERE family = 'laterais' OR '{g}' = 'defensivos'"
+    for (g, p), (a, b) in _PARTS.items()
+)
+
+
+@query(
+    "c12_aspect_badges",
+    "C12 O1",
+    with_base(
+        *ASPECT_CTES, DOC_CTE, f"items AS ({_aspect_rows()})", f"parts AS ({_PART_ROWS})",
+        "both_ AS (SELECT i.*, CASE WHEN least_part IS NOT NULL THEN least_part WHEN efficiency_pct IS NOT NULL THEN least(percentile, efficiency_pct) "
+        "WHEN i.label = 'Conduções Progressivas' THEN percentile END AS v FROM items i LEFT JOIN parts USING (player_id, grp, place))",
+        select="SELECT player_id, grp, CAST(place AS INTEGER) AS place, label, CASE WHEN v > 90 THEN 'gold' WHEN v > 75 THEN 'silver' WHEN v > 50 THEN 'bronze' END AS badge FROM both_",
+    ),
+)
+def _(spark, folder):
+    people = with_aspects(pool(spark, folder))
+    docs = settle(people.select("player_id", *[e.alias(n) for n, e in dossier.aspect_groups().items()]), "aspects")
+    groups = F.array(*[F.struct(F.lit(n).alias("grp"), C(n).alias("items")) for n in compare.ASPECT_GROUPS])
+    rows = docs.select("player_id", F.explode(groups).alias("g")).select("player_id", "g.grp", F.posexplode("g.items").alias("place", "a"))
+    return rows.select("player_id", "grp", "place", "a.label", labels.aspect_badge(C("a")).alias("badge"))
+
+
 RATED_CTES = [
     *blocks_ctes(GENERIC),
     *profile_ctes(GENERIC),

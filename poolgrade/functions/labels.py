@@ -53,6 +53,27 @@ def dual_badge(volume: Column, efficiency: Column) -> Column:
     return F.when(efficiency.isNotNull(), volume_badge(F.least(volume, efficiency)))
 
 
+# What the efficiency among an aspect's parts is called, and the aspect that volume alone decides.
+EFFICIENCY_PARTS = ("Eficiência", "Eficiência Defensiva")
+VOLUME_ASPECT = "Conduções Progressivas"
+
+
+def aspect_badge(item: Column) -> Column:
+    """Badge of an aspect: of its pair, of a part and its efficiency, of two parts, of its own efficiency, or of volume."""
+    pair, parts = item["pair_badge"], item["sub_metrics"]
+    paired = dual_badge(F.get(pair, 0), F.get(pair, 1))
+    at = F.array_position(F.transform(parts, lambda x: x["label"].isin(*EFFICIENCY_PARTS)), True)
+    others = F.filter(F.transform(parts, lambda x, i: F.when(i + 1 != at, x["percentile"])), lambda v: v.isNotNull())
+    part = dual_badge(F.get(others, 0), F.get(parts, (at - 1).cast("int"))["percentile"])
+    two = dual_badge(F.get(parts, 0)["percentile"], F.get(parts, 1)["percentile"])
+    group = F.when(pair.isNotNull(), paired).when((at > 0) & (F.size(others) > 0), part).when(F.size(parts) == 2, two)
+    alone = F.when(
+        item["efficiency_pct"].isNotNull() & item["percentile"].isNotNull(), dual_badge(item["percentile"], item["efficiency_pct"])
+    ).when(item["label"] == VOLUME_ASPECT, volume_badge(item["percentile"]))
+    defence = (item["kind"] == "def_efficiency_group") & pair.isNotNull()
+    return F.when(defence, paired).otherwise(F.coalesce(F.when(item["kind"] == "metric_group", group), alone))
+
+
 def medal(rank: Column, pool_size: Column) -> Column:
     return F.when(pool_size > 0, _ladder(rank / pool_size, MEDALS, None, lambda v, b: v <= b))
 
