@@ -10,14 +10,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import league_of, season_of
-from ..session import scratch_dir
+from ..session import scratch_dir, settle
 
 
 def season_scan(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
     """All season files in one scan, tagged with season and league."""
-    df = spark.read.option("recursiveFileLookup", True).parquet(*paths)
-    folder = F.regexp_extract(F.try_url_decode(F.input_file_name()), r"([^/]+)/[^/]+$", 1)
-    return df.withColumns({"season": season_of(folder), "league": league_of(folder)})
+    df = spark.read.option("recursiveFileLookup", True).parquet(*paths).withColumn("_file", F.input_file_name())
+    # one row per file: the text rules read a file's name once, not once for each of its rows
+    folder = F.regexp_extract(F.try_url_decode("_file"), r"([^/]+)/[^/]+$", 1)
+    files = settle(df.select("_file").distinct(), "season-files")
+    files = files.withColumns({"season": season_of(folder), "league": league_of(folder)})
+    return df.join(F.broadcast(files), "_file").drop("_file")
 
 
 def union_seasons(frames: Sequence[DataFrame]) -> DataFrame:
