@@ -13,11 +13,11 @@ no resample is written. A cluster that loses all rows keeps its centre; equal di
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Iterable, Iterator, Sequence
 from dataclasses import dataclass, replace
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -30,8 +30,9 @@ STILL = 1e-4
 DRAW_HEX = 5  # hex digits of a start's md5 that rank the rows for one cluster
 WEIGHT_HEX = 8  # hex digits of a repetition's md5 that draw a row's weight
 MOST_WEIGHT = 8
-BLOCK = 1000  # rows whose distances to a stack of models are held at once
+BLOCK = 250  # rows whose distances to a stack of models are held at once
 STACK = 200  # models of a stack
+CLOSE = 1e-12  # share of the squared norms below which two distances by products cannot be told apart
 
 
 @dataclass(frozen=True)
@@ -67,12 +68,16 @@ def with_weights(rows: DataFrame, reps: int, share: float = 0.8, id_col: str = "
     """``weights``: how often each resample of ``share`` of the rows, with replacement, draws the row (Poisson)."""
     limits = weight_limits(share)
 
-    def weight(rep: Column) -> Column:
+    def drawn(rep: Column) -> Column:
         text = F.concat(rep.cast("string"), F.lit(":"), C(id_col).cast("string")).cast("binary")
-        drawn = F.conv(F.substring(F.md5(text), 1, WEIGHT_HEX), 16, 10).cast("long")
-        return sum((F.when(drawn >= x, 1).otherwise(0) for x in limits[1:]), F.when(drawn >= limits[0], 1).otherwise(0)).cast("double")
+        return F.conv(F.substring(F.md5(text), 1, WEIGHT_HEX), 16, 10).cast("long")
 
-    return rows.withColumn("weights", F.transform(F.sequence(F.lit(0), F.lit(reps - 1)), weight))
+    def weight(draw: Column) -> Column:
+        return sum((F.when(draw >= x, 1).otherwise(0) for x in limits[1:]), F.when(draw >= limits[0], 1).otherwise(0)).cast("tinyint")
+
+    # draws in an array of their own: each md5 is taken once, not once for every limit
+    draws = F.transform(F.sequence(F.lit(0), F.lit(reps - 1)), drawn)
+    return rows.withColumn("weights", F.transform(draws, weight))
 
 
 def weight_limits(share: float) -> list[int]:
@@ -85,8 +90,15 @@ def weight_limits(share: float) -> list[int]:
     return out
 
 
-def _points(frame: pd.DataFrame, column: str) -> np.ndarray:
-    return np.array(frame[column].tolist(), float)
+def blocks(batches: Iterable[pa.RecordBatch], *columns: str) -> Iterator[list[np.ndarray]]:
+    """The named array columns as matrices, ``BLOCK`` rows at a time."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, BLOCK):
+            some = batch.slice(at, BLOCK)
+            yield [
+                some.column(c).flatten().to_numpy(zero_copy_only=False).reshape(some.num_rows, -1).astype(float, copy=False)
+                for c in columns
+            ]
 
 
 def _distances(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
@@ -100,6 +112,33 @@ def _distances(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
     return out
 
 
+def nearest(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    """Nearest cluster (rows, models) among centres (models, clusters, columns).
+
+    Distances come from matrix products; where the two least are too close for these, they are added up column by column.
+    """
+    half = (centres * centres).sum(axis=2) / 2
+    # half the squared distances, without the row's own norm
+    apart = [half[:, c] - x @ np.ascontiguousarray(centres[:, c].T) for c in range(centres.shape[1])]
+    limit = CLOSE * ((x * x).sum(axis=1)[:, None] + (half.max(axis=1) + 1.0))
+    limit += np.minimum.reduce(apart)
+    label, count = np.zeros(limit.shape, np.int16), np.zeros(limit.shape, np.int16)
+    for c, one in enumerate(apart):
+        near = one <= limit
+        count += near
+        label += np.multiply(near, c, dtype=np.int16)
+    row, model = np.nonzero(count != 1)
+    for at in range(0, len(row), BLOCK * STACK):
+        r, m = row[at : at + BLOCK * STACK], model[at : at + BLOCK * STACK]
+        exact = np.zeros((len(r), centres.shape[1]))
+        for j in range(x.shape[1]):
+            apart = x[r, j][:, None] - centres[m, :, j]
+            apart *= apart
+            exact += apart
+        label[r, m] = exact.argmin(axis=1)
+    return label
+
+
 def _groups(models: Sequence[Model]) -> list[tuple[list[int], np.ndarray]]:
     """Models of one k together, a few at a time, with their centres stacked."""
     out = []
@@ -111,41 +150,55 @@ def _groups(models: Sequence[Model]) -> list[tuple[list[int], np.ndarray]]:
     return out
 
 
-def _sums(rows: DataFrame, models: Sequence[Model]) -> list[np.ndarray]:
-    """One pass: per model a table (clusters by size, cost, distances, squared norms, coordinate sums); none without rows."""
+def _sums(rows: DataFrame, models: Sequence[Model], spread: bool = False) -> list[np.ndarray]:
+    """One pass: per model a table (clusters by size, cost, distances, squared norms, coordinate sums); none without rows.
+
+    Distances (not squared) are added up if ``spread`` asks for them, else 0.
+    """
     dims = len(models[0].centres[0])
-    names = ["n", "cost", "spread", "norm", *[f"s{j}" for j in range(dims)]]
+    names = ["n", "spread", "norm", *[f"s{j}" for j in range(dims)]]
     groups = _groups(models)
     weighted = any(m.rep is not None for m in models)
     reps = [[models[i].rep for i in some] for some, _ in groups]
-
-    def run(frames):
-        total = [np.zeros((centres.shape[0] * centres.shape[1], len(names))) for _, centres in groups]
-        for frame in frames:
-            for at in range(0, len(frame), BLOCK):
-                x = _points(frame[at : at + BLOCK], "features")
-                norm = (x * x).sum(axis=1)
-                w = _points(frame[at : at + BLOCK], "weights") if weighted else None
-                for (some, centres), rep, out in zip(groups, reps, total):
-                    apart = _distances(x, centres)
-                    label = apart.argmin(axis=2)
-                    near = np.take_along_axis(apart, label[:, :, None], 2)[:, :, 0]
-                    cell = (label + np.arange(len(some)) * centres.shape[1]).ravel()
-                    times = w[:, rep] if weighted else np.ones((len(x), len(some)))
-                    for c, value in enumerate((1.0, near, np.sqrt(near), norm[:, None], *x.T[:, :, None])):
-                        out[:, c] += np.bincount(cell, (times * value).ravel(), len(out))
+    columns = ["features", *["weights"] * weighted]
+
+    def run(batches):
+        total = [np.zeros((*centres.shape[:2], len(names))) for _, centres in groups]
+        for x, *w in blocks(batches, *columns):
+            values = np.concatenate([np.ones((len(x), 1)), np.zeros((len(x), 1)), (x * x).sum(axis=1)[:, None], x], axis=1)
+            for (some, centres), rep, out in zip(groups, reps, total):
+                label = nearest(x, centres)
+                times = w[0][:, rep] if weighted else np.ones(label.shape)
+                if spread:
+                    own = centres[np.arange(len(some)), label]
+                    near = sum((x[:, j][:, None] - own[:, :, j]) ** 2 for j in range(dims))
+                    apart = times * np.sqrt(near)
+                for c in range(centres.shape[1]):
+                    mine = label == c
+                    out[:, c] += (mine * times).T @ values
+                    if spread:
+                        out[:, c, 1] += (mine * apart).sum(axis=0)
         model = np.concatenate([np.repeat(some, centres.shape[1]) for some, centres in groups])
         cluster = np.concatenate([np.tile(np.arange(centres.shape[1]), len(some)) for some, centres in groups])
-        yield pd.DataFrame({"model": model, "cluster": cluster, **dict(zip(names, np.concatenate(total).T))})
+        table = np.concatenate([t.reshape(-1, len(names)) for t in total])
+        yield pa.RecordBatch.from_pydict(
+            {"model": model.astype(np.int32), "cluster": cluster.astype(np.int32), **dict(zip(names, table.T.copy()))}
+        )
 
     workers(rows.sparkSession)
     schema = "model int, cluster int, " + ", ".join(f"{c} double" for c in names)
-    told = rows.select("features", *["weights"] * weighted).mapInPandas(run, schema)
+    told = rows.select(*columns).mapInArrow(run, schema)
     told = told.groupBy("model", "cluster").agg(*[F.sum(c).alias(c) for c in names]).toPandas()
     if not len(told):
         return []
     told = told.sort_values(["model", "cluster"])
-    return np.split(told[names].to_numpy(float), np.cumsum([m.k for m in models])[:-1])
+    table = told[names].to_numpy(float)
+    # the squared distances of a cluster's rows to its centre follow from its sums
+    centres = np.array([c for m in models for c in m.centres])
+    n, norm, sums = table[:, 0], table[:, 2], table[:, 3:]
+    cost = np.maximum(0.0, norm - 2 * (centres * sums).sum(axis=1) + n * (centres * centres).sum(axis=1))
+    table = np.insert(table, 1, cost, axis=1)
+    return np.split(table, np.cumsum([m.k for m in models])[:-1])
 
 
 def _moved(model: Model, table: np.ndarray) -> Model:
@@ -209,19 +262,16 @@ def separations(rows: DataFrame, models: Sequence[Model]) -> list[dict]:
     """
     if not models:
         return []
-    sums = _sums(rows, models)
+    sums = _sums(rows, models, spread=True)
     dims = len(models[0].centres[0])
     tables = [t[:, [0, 3, *range(4, 4 + dims)]] for t in sums]
 
-    def run(frames):
+    def run(batches):
         total = np.zeros(len(models))
-        for frame in frames:
-            if not len(frame):
-                continue
-            x = _points(frame, "features")
+        for (x,) in blocks(batches, "features"):
             norm = (x * x).sum(axis=1)
             for i, (model, t) in enumerate(zip(models, tables)):
-                label = _distances(x, np.array(model.centres)).argmin(axis=1)
+                label = nearest(x, np.array([model.centres]))[:, 0]
                 size = t[:, 0]
                 with np.errstate(divide="ignore", invalid="ignore"):
                     mean = norm[:, None] + t[:, 1] / size - 2 * (x @ t[:, 2:].T) / size
@@ -233,9 +283,9 @@ def separations(rows: DataFrame, models: Sequence[Model]) -> list[dict]:
                 own = np.where(alone, 0.0, own)
                 top = np.maximum(own, np.where(alone, 1.0, other))
                 total[i] += np.where(alone | (top == 0), 0.0, (np.where(alone, 0.0, other) - own) / np.where(top == 0, 1.0, top)).sum()
-        yield pd.DataFrame({"model": range(len(models)), "total": total})
+        yield pa.RecordBatch.from_pydict({"model": np.arange(len(models), dtype=np.int32), "total": total})
 
-    told = rows.select("features").mapInPandas(run, "model int, total double").groupBy("model").agg(F.sum("total").alias("total"))
+    told = rows.select("features").mapInArrow(run, "model int, total double").groupBy("model").agg(F.sum("total").alias("total"))
     silhouettes = {r["model"]: r["total"] for r in told.collect()}
     out = []
     for i, model in enumerate(models):
@@ -265,21 +315,23 @@ def separations(rows: DataFrame, models: Sequence[Model]) -> list[dict]:
 def contingencies(rows: DataFrame, base: Model, refits: Sequence[Model]) -> DataFrame:
     """(rep, k, a, b, n): how often base label a meets refit label b, with the weights of the refit's resample."""
     schema = "rep int, k int, a int, b int, n double"
-
-    def run(frames):
-        total = [np.zeros((base.k, m.k)) for m in refits]
-        for frame in frames:
-            if not len(frame):
-                continue
-            x, w = _points(frame, "features"), _points(frame, "weights")
-            first = _distances(x, np.array(base.centres)).argmin(axis=1)
-            for model, out in zip(refits, total):
-                label = _distances(x, np.array(model.centres)).argmin(axis=1)
-                out += np.bincount(first * model.k + label, w[:, model.rep], out.size).reshape(out.shape)
-        cells = [(m.rep, base.k, a, b, n) for m, t in zip(refits, total) for (a, b), n in np.ndenumerate(t) if n]
-        yield pd.DataFrame(cells, columns=["rep", "k", "a", "b", "n"])
-
-    told = rows.select("features", "weights").mapInPandas(run, schema)
+    groups = _groups(refits)
+    reps = [[refits[i].rep for i in some] for some, _ in groups]
+    centre = np.array([base.centres])
+
+    def run(batches):
+        total = [np.zeros((*centres.shape[:2], base.k)) for _, centres in groups]
+        for x, w in blocks(batches, "features", "weights"):
+            first = (nearest(x, centre) == np.arange(base.k)).astype(float)
+            for (_, centres), rep, out in zip(groups, reps, total):
+                label, times = nearest(x, centres), w[:, rep]
+                for b in range(centres.shape[1]):
+                    out[:, b] += ((label == b) * times).T @ first
+        cells = [(r, base.k, a, b, n) for rep, t in zip(reps, total) for r, one in zip(rep, t) for (b, a), n in np.ndenumerate(one) if n]
+        kinds = {"rep": np.int32, "k": np.int32, "a": np.int32, "b": np.int32, "n": float}
+        yield pa.RecordBatch.from_pydict({c: np.array([x[i] for x in cells], t) for i, (c, t) in enumerate(kinds.items())})
+
+    told = rows.select("features", "weights").mapInArrow(run, schema)
     return told.groupBy("rep", "k", "a", "b").agg(F.sum("n").alias("n"))
 
 
