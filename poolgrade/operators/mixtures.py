@@ -9,11 +9,11 @@ plain column expressions.
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -53,13 +53,22 @@ class Mixture:
         return np.linalg.inv(np.linalg.cholesky(self.covariances))
 
 
-def _log_densities(x: np.ndarray, model: Mixture, factors: np.ndarray) -> np.ndarray:
-    out = np.empty((len(x), model.k))
-    for c in range(model.k):
-        z = (x - model.means[c]) @ factors[c].T
-        out[:, c] = np.log(np.diag(factors[c])).sum() - 0.5 * (x.shape[1] * math.log(2 * math.pi) + (z * z).sum(axis=1))
+def _log_densities(models: Sequence[Mixture]) -> Callable[[np.ndarray], np.ndarray]:
+    """A function from rows to the log densities of all components of all models, one matrix product for all."""
+    means = np.concatenate([m.means for m in models])
+    factors = np.concatenate([m.factors() for m in models])
+    dims = means.shape[1]
+    stacked = factors.reshape(-1, dims).T
+    moved = np.einsum("cij,cj->ci", factors, means)
+    fixed = np.log(np.diagonal(factors, axis1=1, axis2=2)).sum(axis=1) - 0.5 * dims * math.log(2 * math.pi)
     with np.errstate(divide="ignore"):
-        return out + np.log(model.weights)
+        fixed = fixed + np.log(np.concatenate([m.weights for m in models]))
+
+    def told(x: np.ndarray) -> np.ndarray:
+        z = (x @ stacked).reshape(len(x), len(means), dims) - moved
+        return fixed - 0.5 * np.einsum("rci,rci->rc", z, z)
+
+    return told
 
 
 def _names(dims: int) -> list[str]:
@@ -69,29 +78,29 @@ def _names(dims: int) -> list[str]:
 def _sums(rows: DataFrame, dims: int, sizes: Sequence[int], member) -> dict:
     """One pass: per model and component the sums of memberships, of values and of their products, and likelihoods.
 
-    ``member(x)`` gives per model the memberships and the log-likelihood of a block of rows.
+    ``member(x)`` gives the memberships in all components of all models, side by side, and each model's log-likelihood
+    of a block of rows.
     """
     names = _names(dims)
     lower = [(i, j) for i in range(dims) for j in range(i + 1)]
 
-    def run(frames):
-        total = [np.zeros((k, len(names))) for k in sizes]
+    def run(batches):
+        total = np.zeros((sum(sizes), len(names)))
         likelihood = np.zeros(len(sizes))
-        for frame in frames:
-            if not len(frame):
-                continue
-            x = np.array(frame["features"].tolist(), float)
+        for (x,) in lloyd.blocks(batches, "features"):
             products = np.stack([x[:, i] * x[:, j] for i, j in lower], axis=1)
             table = np.concatenate([np.ones((len(x), 1)), x, products], axis=1)
-            for i, (share, log) in enumerate(member(x)):
-                total[i] += share.T @ table
-                likelihood[i] += log
-        lines = [(m, c, likelihood[m] if c == 0 else 0.0, *line) for m, t in enumerate(total) for c, line in enumerate(t.tolist())]
-        yield pd.DataFrame(lines, columns=["model", "component", "log", *names])
+            shares, logs = member(x)
+            total += shares.T @ table
+            likelihood += logs
+        model = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
+        component = np.concatenate([np.arange(k, dtype=np.int32) for k in sizes])
+        log = np.where(component == 0, likelihood[model], 0.0)
+        yield pa.RecordBatch.from_pydict({"model": model, "component": component, "log": log, **dict(zip(names, total.T.copy()))})
 
     workers(rows.sparkSession)
     schema = "model int, component int, log double, " + ", ".join(f"{n} double" for n in names)
-    told = rows.select("features").mapInPandas(run, schema)
+    told = rows.select("features").mapInArrow(run, schema)
     told = told.groupBy("model", "component").agg(*[F.sum(n).alias(n) for n in ("log", *names)])
     return {(r["model"], r["component"]): r.asDict() for r in told.collect()}
 
@@ -116,9 +125,8 @@ def of_clusters(rows: DataFrame, models: Sequence[lloyd.Model]) -> list[Mixture]
     dims = len(models[0].centres[0])
 
     def member(x):
-        for m in models:
-            label = lloyd._distances(x, np.array(m.centres)).argmin(axis=1)
-            yield np.eye(m.k)[label], 0.0
+        labels = [lloyd.nearest(x, np.array([m.centres]))[:, 0] for m in models]
+        return np.concatenate([np.eye(m.k)[label] for m, label in zip(models, labels)], axis=1), np.zeros(len(models))
 
     sums = _sums(rows, dims, [m.k for m in models], member)
     out = []
@@ -143,15 +151,16 @@ def of_labels(rows: DataFrame, label: str, labels: Sequence[str], dims: int) ->
 
 def step(rows: DataFrame, models: Sequence[Mixture]) -> list[Mixture]:
     """One EM step of all models, in one pass; ``likelihood`` is that of the parameters given."""
-    factors = [m.factors() for m in models]
+    densities = _log_densities(models)
+    first = np.cumsum([0, *[m.k for m in models[:-1]]])
+    model = np.repeat(np.arange(len(models)), [m.k for m in models])
 
     def member(x):
-        for model, f in zip(models, factors):
-            log = _log_densities(x, model, f)
-            most = log.max(axis=1, keepdims=True)
-            share = np.exp(log - most)
-            whole = share.sum(axis=1, keepdims=True)
-            yield share / whole, float((most + np.log(whole)).sum())
+        log = densities(x)
+        most = np.maximum.reduceat(log, first, axis=1)
+        share = np.exp(log - most[:, model])
+        whole = np.add.reduceat(share, first, axis=1)
+        return share / whole[:, model], (most + np.log(whole)).sum(axis=0)
 
     dims = models[0].means.shape[1]
     sums = _sums(rows, dims, [m.k for m in models], member)
