@@ -159,10 +159,10 @@ def _(spark, folder):
 def _(spark, folder):
     base = people(spark, folder)
     listed = base.groupBy("name", "club").agg(F.min("p_partkey").alias("c"))
-    results = base.select(C("p_partkey").alias("q"), "name", "club").join(
+    results = listed.select("name", "club").join(
         listed.select("name", "c", C("club").alias("result_club")), "name"
     ).withColumn("result_name", C("name"))
-    return m.pick_result(results)
+    return m.pick_result(base.select(C("p_partkey").alias("q"), "name", "club"), results)
 
 
 @query("j11_directory_match", "J11 X10 J8 J9")

@@ -1,10 +1,14 @@
 """Work that must not grow with repeated rows: kinds of players, names of files, centres of many models."""
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
+from poolgrade.catalog import backs, load
+from poolgrade.functions.scalar import exact_round
 from poolgrade.operators import lloyd, matching
-from poolgrade.sources import seasons
+from poolgrade.plans import centrebacks as cb
+from poolgrade.sources import seasons, tables
 
 BORN, TALL = "birth_year", "height"
 
@@ -67,3 +71,25 @@ def test_nearest_is_the_first_of_equal_centres():
     centres[:5, 2] = 2 * x[:5] - centres[:5, 0]  # as far from a row as another
     want = lloyd._distances(x, centres).argmin(axis=2)
     assert (lloyd.nearest(x, centres) == want).all() and not (want == 3).any()
+
+
+def test_queries_alike_are_scored_once(spark, monkeypatch):
+    sizes = {}
+    settle = matching.settle
+
+    def counted(df, name="stage"):
+        out = settle(df, name)
+        sizes[name] = out.count()
+        return out
+
+    monkeypatch.setattr(matching, "settle", counted)
+    queries = spark.createDataFrame(
+        [*[(q, "red bolt", "b1") for q in range(30)], (40, "red bolt", None), (41, "blue rod", "b9"), (41, "blue rod", "b9"), (None, "red bolt", "b1")],
+        "q long, name string, club string",
+    )
+    fields = "name string, club string, c long, result_name string, result_club string"
+    rows = [("red bolt", club, c, "red bolt", rc) for club in ("b1", None) for c, rc in ((5, "b1"), (3, "x"))]
+    results = spark.createDataFrame([*rows, ("blue rod", "b9", 7, "blue rod", "x")], fields)
+    found = {(r["q"], r["match_id"], r["score"]) for r in matching.pick_result(queries, results).collect()}
+    assert found == {(q, 5, 125) for q in range(30)}  # 41 has two hits of 25 points, 40 no club
+    assert sizes["result-kinds"] == 3
