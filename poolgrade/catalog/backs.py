@@ -140,7 +140,7 @@ RATING_CTES = [
     ),
 )
 def _(spark, folder):
-    skilled = settle(cb.with_skill_indices(settle(pool(spark, folder))))
+    skilled = settle(cb.with_skill_indices(settle(pool(spark, folder).select(*cb.NEEDED))))
     rated = settle(cb.with_axis_ratings(cb.with_axis_components(skilled)))
     out = rank_columns(
         rated, FAMILY, "player_id", {f"rank_{k}": (f"rating_{k}", "rank") for k in ("construcao", "defesa")}
@@ -185,7 +185,7 @@ LEGACY_CTES = [
     ),
 )
 def _(spark, folder):
-    out = cb.with_legacy_ratings(settle(cb.with_skill_indices(settle(pool(spark, folder)))))
+    out = cb.with_legacy_ratings(settle(cb.with_skill_indices(settle(pool(spark, folder).select(*cb.NEEDED)))))
     out = out.withColumnsRenamed(
         {"legacy_construcao_raw": "lc", "legacy_defesa_raw": "ld", "rating_construcao_legacy": "band"}
     )
@@ -579,7 +579,7 @@ def _(spark, folder):
     ),
 )
 def _(spark, folder):
-    skilled = settle(cb.with_skill_indices(settle(pool(spark, folder))))
+    skilled = settle(cb.with_skill_indices(settle(pool(spark, folder).select(*cb.NEEDED))))
     rated = settle(cb.with_axis_ratings(cb.with_axis_components(skilled)))
     med = medians(rated, FAMILY, {"con": "rating_construcao", "def": "rating_defesa"})
     shaped = rated.withColumns(

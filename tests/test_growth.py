@@ -93,3 +93,14 @@ def test_queries_alike_are_scored_once(spark, monkeypatch):
     found = {(r["q"], r["match_id"], r["score"]) for r in matching.pick_result(queries, results).collect()}
     assert found == {(q, 5, 125) for q in range(30)}  # 41 has two hits of 25 points, 40 no club
     assert sizes["result-kinds"] == 3
+
+
+def test_axis_ratings_carry_only_what_they_read(spark, monkeypatch):
+    seen = []
+    made = {c: F.lit("p" if c in ("player_id", "family") else 1.0).alias(c) for c in (*cb.NEEDED, "xa", "crosses", "label")}
+    monkeypatch.setattr(backs, "pool", lambda *_: spark.range(1).select(*made.values()))
+    monkeypatch.setattr(backs, "settle", lambda df, name="stage": seen.append(df.columns) or df)
+    monkeypatch.setattr(cb, "with_skill_indices", lambda df: (_ for _ in ()).throw(LookupError))
+    with pytest.raises(LookupError):
+        load()["n14_axis_ratings"].run(spark, "")
+    assert seen == [list(cb.NEEDED)]
