@@ -13,7 +13,7 @@ from ..plans import families
 from ..plans import fullbacks as fb
 from ..plans import studies
 from ..session import settle
-from ..sources.tables import season_sheet
+from ..sources.tables import season_counts, season_sheet
 from . import query
 from .base import (
     BASE_SQL,
@@ -185,7 +185,7 @@ LEGACY_CTES = [
     ),
 )
 def _(spark, folder):
-    out = cb.with_legacy_ratings(settle(cb.with_skill_indices(settle(pool(spark, folder).select(*cb.NEEDED)))))
+    out = cb.with_legacy_ratings(settle(cb.with_skill_indices(settle(pool(spark, folder)))))
     out = out.withColumnsRenamed(
         {"legacy_construcao_raw": "lc", "legacy_defesa_raw": "ld", "rating_construcao_legacy": "band"}
     )
@@ -409,7 +409,8 @@ CAPS = {"duelos_def": "5e0", "duelos_ar": "5e0", "passes_prog": "5e0", "passes_l
 
 def season_frames(spark, folder):
     """Study rows of all families, history and target."""
-    rows = studies.season_shares(settle(season_sheet(spark, folder), "seasons"), "season", "league")
+    counts = settle(season_counts(spark, folder), "seasons")
+    rows = studies.season_shares(season_sheet(counts), "season", "league")
     rows = studies.study_columns(rows).where(C("family").isNotNull() & (C("position") != "Goleiro"))
     rows = rows.where((C("minutes") >= STUDY_MINUTES) & (C("minutes_share") > 0.2))
     rows = rows.withColumn("player_id", F.concat_ws("-", "player_id", C("season").cast("string")))
@@ -579,7 +580,7 @@ def _(spark, folder):
     ),
 )
 def _(spark, folder):
-    skilled = settle(cb.with_skill_indices(settle(pool(spark, folder).select(*cb.NEEDED))))
+    skilled = settle(cb.with_skill_indices(settle(pool(spark, folder))))
     rated = settle(cb.with_axis_ratings(cb.with_axis_components(skilled)))
     med = medians(rated, FAMILY, {"con": "rating_construcao", "def": "rating_defesa"})
     shaped = rated.withColumns(

@@ -104,3 +104,18 @@ def test_axis_ratings_carry_only_what_they_read(spark, monkeypatch):
     with pytest.raises(LookupError):
         load()["n14_axis_ratings"].run(spark, "")
     assert seen == [list(cb.NEEDED)]
+
+
+def test_a_part_is_identified_once_for_all_its_seasons(spark, tmp_path):
+    spark.createDataFrame([(1, "Red Bolt", "Brand#1", "PROMO", 30), (2, "-Rod-", "Brand#2", "LARGE", 9)], "p_partkey long, p_name string, p_brand string, p_type string, p_size int").write.parquet(str(tmp_path / "part.parquet"))
+    lines = spark.range(80).selectExpr(
+        "id % 2 + 1 AS l_partkey", "cast(id % 7 + 1 AS int) AS l_linenumber", "cast(id AS double) AS l_quantity", "0.06D AS l_discount", "0.01D AS l_tax",
+        "'A' AS l_returnflag", "'F' AS l_linestatus", "make_timestamp(1992 + cast(id % 4 AS int), 1, 1, 0, 0, 0) AS l_shipdate",
+    )
+    lines.write.parquet(str(tmp_path / "lineitem.parquet"))
+    counts = tables.season_counts(spark, str(tmp_path))
+    join = counts._jdf.queryExecution().optimizedPlan().toString()
+    assert join.index("Join") < join.index("regexp_replace")
+    assert not {"passes", "duels_def_pct"} & set(counts.columns)
+    rows = tables.season_sheet(counts).select("season", "league", "player_id", "position", "passes").collect()
+    assert len(rows) == 4 and {(r["league"], r["player_id"]) for r in rows} == {("B", "red-bolt-brand-1-1"), ("A", "rod-brand-2-2")}
