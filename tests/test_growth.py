@@ -119,3 +119,15 @@ def test_a_part_is_identified_once_for_all_its_seasons(spark, tmp_path):
     assert not {"passes", "duels_def_pct"} & set(counts.columns)
     rows = tables.season_sheet(counts).select("season", "league", "player_id", "position", "passes").collect()
     assert len(rows) == 4 and {(r["league"], r["player_id"]) for r in rows} == {("B", "red-bolt-brand-1-1"), ("A", "rod-brand-2-2")}
+
+
+def test_rounding_leaves_the_text_only_near_ties(spark):
+    draw = np.random.default_rng(2)
+    values = [float(v) for v in draw.normal(scale=300, size=4000)] + [k / 8 + e for k in range(-80, 80) for e in (0.0, 1e-12)]
+    values += [6.35, 84.95, -0.04, 0.0, -0.0, 1e9 + 0.25, 3e15, None]
+    df = spark.createDataFrame([(v,) for v in values], "v double")
+    for places in (0, 1, 2):
+        text = F.regexp_replace(F.format_number("v", places), ",", "").cast("double")
+        shown = df.select(exact_round(F.col("v"), places).cast("string").alias("a"), text.cast("string").alias("b"))
+        assert all(r["a"] == r["b"] for r in shown.collect())
+    assert "rint" in df.select(exact_round(F.col("v"), 1))._jdf.queryExecution().optimizedPlan().toString().lower()
