@@ -107,6 +107,12 @@ def raw_features(spark, folder):
     return k.scaled_features(study_pool(spark, folder), RAW)
 
 
+def unlabelled_features(spark, folder):
+    """The features alone, for studies that read no current label: nothing else of the pool is written."""
+    people = settle(pool(spark, folder).select("player_id", *RAW), "study")
+    return k.scaled_features(people, RAW)[0].select("player_id", "features")
+
+
 @query("m3_loadings", "M3")
 def _(spark, folder):
     found = components.principal(raw_features(spark, folder)[0], len(RAW))
@@ -427,13 +433,13 @@ _WEIGHT = " + ".join(f"({_DRAWN} >= {x})::INT" for x in lloyd.weight_limits(0.8)
 )
 def _(spark, folder):
     """Agreement of a fit from one start with its refits on 80 resamples, K 2 to 4."""
-    return tidy(k.lloyd.bootstrap(raw_features(spark, folder)[0], RESAMPLED_KS, RESAMPLES, 1, 1), "k", "rep", "ari")
+    return tidy(lloyd.bootstrap(unlabelled_features(spark, folder), RESAMPLED_KS, RESAMPLES, 1, 1), "k", "rep", "ari")
 
 
 @query("m9_bootstrap_stability", "M9")
 def _(spark, folder):
     """Mean agreement of the best of 20 starts with the best of 10 starts on each of 80 resamples, K 2 to 4."""
-    told = lloyd.bootstrap(raw_features(spark, folder)[0], RESAMPLED_KS, RESAMPLES, RESAMPLED_STARTS, REFIT_STARTS)
+    told = lloyd.bootstrap(unlabelled_features(spark, folder), RESAMPLED_KS, RESAMPLES, RESAMPLED_STARTS, REFIT_STARTS)
     return tidy(told.groupBy("k").agg(F.avg("ari").alias("ari"), F.stddev_samp("ari").alias("sd"), F.count(F.lit(1)).alias("resamples")))
 
 

@@ -20,8 +20,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..session import settle, workers
+from . import digests
 
 C = F.col
 DIGITS = 9
@@ -32,6 +34,8 @@ WEIGHT_HEX = 8  # hex digits of a repetition's md5 that draw a row's weight
 MOST_WEIGHT = 8
 BLOCK = 250  # rows whose distances to a stack of models are held at once
 STACK = 200  # models of a stack
+CELLS, LEAST_BLOCK, MOST_BLOCK = 1 << 18, 64, 4096  # rows of a pass at once, so that their cells (sides of all models) stay near the core
+SINGLE = 2.0**-23  # error of the difference of two single-precision products per column, as a share of the norms
 CLOSE = 1e-12  # share of the squared norms below which two distances by products cannot be told apart
 
 
@@ -53,31 +57,56 @@ def start_points(rows: DataFrame, starts: int, most: int, id_col: str = "player_
 
     Clusters draw apart from each other, so two of them may begin at the same row. Models of fewer clusters use the first ones.
     """
-    drawn = rows.select(C(id_col).alias("_id"), "features", F.explode(F.sequence(F.lit(0), F.lit(starts - 1))).alias("start"))
-    drawn = drawn.withColumn("_h", F.md5(F.concat(C("start").cast("string"), F.lit(":"), C("_id").cast("string")).cast("binary")))
-    found = drawn.groupBy("start").agg(
-        *[
-            F.min_by("features", F.struct(F.substring("_h", 1 + DRAW_HEX * j, DRAW_HEX), "_id")).alias(f"c{j}")
-            for j in range(most)
-        ]
-    )
-    return [[tuple(r[f"c{j}"]) for j in range(most)] for r in found.orderBy("start").collect()]
+    schema = T.StructType([T.StructField("start", T.IntegerType()), T.StructField("slot", T.IntegerType()), T.StructField("draw", T.LongType())])
+    schema = schema.add("_id", rows.schema[id_col].dataType).add("features", rows.schema["features"].dataType)
+
+    def run(batches):
+        least: dict[tuple[int, int], tuple] = {}
+        for batch in batches:
+            texts, ids = digests.Texts(batch.column("_text")), batch.column("_id")
+            for start in range(starts if batch.num_rows else 0):
+                words = texts.md5(b"%d:" % start)
+                for j in range(most):
+                    draw = digests.digits(words, DRAW_HEX * j, DRAW_HEX)
+                    draw[texts.null] = -1  # nulls come first
+                    low = int(draw.min())
+                    at = min(np.flatnonzero(draw == low).tolist(), key=lambda i: ids[i].as_py()) if low >= 0 else int(draw.argmin())
+                    found = (low, ids[at].as_py(), ids.slice(at, 1), batch.column("features").slice(at, 1))
+                    if (start, j) not in least or (low, low < 0 or found[1]) < (old := least[start, j])[:1] + (low < 0 or old[1],):
+                        least[start, j] = found
+        if least:
+            (start, slot), kept = zip(*least), list(least.values())
+            draw = pa.array([None if low < 0 else low for low, *_ in kept], pa.int64())
+            columns = [pa.array(start, pa.int32()), pa.array(slot, pa.int32()), draw, *(pa.concat_arrays(x) for x in zip(*[k[2:] for k in kept]))]
+            yield pa.RecordBatch.from_arrays(columns, schema.names)
 
+    workers(rows.sparkSession)
+    # a task keeps one row of each start and cluster
+    drawn = rows.select(C(id_col).alias("_id"), C(id_col).cast("string").alias("_text"), "features").mapInArrow(run, schema)
+    found = drawn.groupBy("start", "slot").agg(F.min_by("features", F.struct("draw", "_id")).alias("c")).collect()
+    points = {(r["start"], r["slot"]): tuple(r["c"]) for r in found}
+    return [[points[start, j] for j in range(most)] for start in range(starts) if (start, 0) in points]
 
-def with_weights(rows: DataFrame, reps: int, share: float = 0.8, id_col: str = "player_id") -> DataFrame:
-    """``weights``: how often each resample of ``share`` of the rows, with replacement, draws the row (Poisson)."""
-    limits = weight_limits(share)
 
-    def drawn(rep: Column) -> Column:
-        text = F.concat(rep.cast("string"), F.lit(":"), C(id_col).cast("string")).cast("binary")
-        return F.conv(F.substring(F.md5(text), 1, WEIGHT_HEX), 16, 10).cast("long")
+def with_weights(rows: DataFrame, reps: int, share: float = 0.8, id_col: str = "player_id") -> DataFrame:
+    """``weights``, a byte per resample: how often it draws the row, of ``share`` of the rows with replacement (Poisson)."""
+    limits = np.array(weight_limits(share))
 
-    def weight(draw: Column) -> Column:
-        return sum((F.when(draw >= x, 1).otherwise(0) for x in limits[1:]), F.when(draw >= limits[0], 1).otherwise(0)).cast("tinyint")
+    def run(batches):
+        for batch in batches:
+            texts = digests.Texts(batch.column("_text"))
+            out = np.empty((batch.num_rows, reps), np.uint8)
+            for rep in range(reps):
+                draw = digests.digits(texts.md5(b"%d:" % rep), 0, WEIGHT_HEX)
+                out[:, rep] = np.searchsorted(limits, draw, side="right")
+            out[texts.null] = 0
+            ends = np.arange(batch.num_rows + 1, dtype=np.int32) * reps
+            weights = pa.Array.from_buffers(pa.binary(), batch.num_rows, [None, pa.py_buffer(ends), pa.py_buffer(out)])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], weights], [*batch.schema.names[:-1], "weights"])
 
-    # draws in an array of their own: each md5 is taken once, not once for every limit
-    draws = F.transform(F.sequence(F.lit(0), F.lit(reps - 1)), drawn)
-    return rows.withColumn("weights", F.transform(draws, weight))
+    workers(rows.sparkSession)
+    schema = T.StructType([*rows.schema.fields, T.StructField("weights", T.BinaryType())])
+    return rows.withColumn("_text", C(id_col).cast("string")).mapInArrow(run, schema)
 
 
 def weight_limits(share: float) -> list[int]:
@@ -90,15 +119,21 @@ def weight_limits(share: float) -> list[int]:
     return out
 
 
-def blocks(batches: Iterable[pa.RecordBatch], *columns: str) -> Iterator[list[np.ndarray]]:
-    """The named array columns as matrices, ``BLOCK`` rows at a time."""
+def blocks(batches: Iterable[pa.RecordBatch], *columns: str, most: int = BLOCK) -> Iterator[list[np.ndarray]]:
+    """The named array columns as matrices, ``most`` rows at a time; a binary column holds a byte per value."""
     for batch in batches:
-        for at in range(0, batch.num_rows, BLOCK):
-            some = batch.slice(at, BLOCK)
-            yield [
-                some.column(c).flatten().to_numpy(zero_copy_only=False).reshape(some.num_rows, -1).astype(float, copy=False)
-                for c in columns
-            ]
+        for at in range(0, batch.num_rows, most):
+            some = batch.slice(at, most)
+            yield [_matrix(some.column(c)) for c in columns]
+
+
+def _matrix(column: pa.Array) -> np.ndarray:
+    if pa.types.is_binary(column.type):
+        ends = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1]
+        flat = np.frombuffer(column.buffers()[2], np.uint8)[ends[0] : ends[-1]]
+    else:
+        flat = column.flatten().to_numpy(zero_copy_only=False)
+    return flat.reshape(len(column), -1).astype(float, copy=False)
 
 
 def _distances(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
@@ -130,15 +165,102 @@ def nearest(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
     row, model = np.nonzero(count != 1)
     for at in range(0, len(row), BLOCK * STACK):
         r, m = row[at : at + BLOCK * STACK], model[at : at + BLOCK * STACK]
-        exact = np.zeros((len(r), centres.shape[1]))
-        for j in range(x.shape[1]):
-            apart = x[r, j][:, None] - centres[m, :, j]
-            apart *= apart
-            exact += apart
-        label[r, m] = exact.argmin(axis=1)
+        label[r, m] = _nearest_exactly(x, centres, r, m)
     return label
 
 
+def _nearest_exactly(x: np.ndarray, centres: np.ndarray, row: np.ndarray, model: np.ndarray) -> np.ndarray:
+    """Nearest cluster of each (row, model), its distances added up column by column."""
+    exact = np.zeros((len(row), centres.shape[1]))
+    for j in range(x.shape[1]):
+        apart = x[row, j][:, None] - centres[model, :, j]
+        apart *= apart
+        exact += apart
+    return exact.argmin(axis=1)
+
+
+class _Sides:
+    """Models of one resample, held as what sets each cluster apart from the first: a normal and an offset.
+
+    Sides are told by products in single precision; where these cannot tell two clusters apart, `_distances` decide.
+    """
+
+    def __init__(self, stacks: Sequence[np.ndarray]):
+        self.stacks = list(stacks)
+        normal, offset = [], []
+        for centres in self.stacks:
+            half = (centres * centres).sum(axis=2) / 2
+            for j in range(1, centres.shape[1]):
+                normal.append(centres[:, j] - centres[:, 0])
+                # a centre that repeats an earlier one never wins
+                again = (centres[:, :j] == centres[:, j : j + 1]).all(axis=2).any(axis=1)
+                offset.append(np.where(again, np.inf, half[:, j] - half[:, 0]))
+        dims = self.stacks[0].shape[2]
+        self.normal = np.concatenate([np.zeros((0, dims)), *normal]).astype(np.float32)
+        self.offset = np.concatenate([np.zeros(0), *offset]).astype(np.float32)
+        self.columns = len(self.offset)
+        reach = np.abs(np.where(np.isinf(self.offset), 0.0, self.offset)).max(initial=0.0)
+        size = np.sqrt((self.normal.astype(float) ** 2).sum(axis=1)).max(initial=0.0)
+        self.slack = SINGLE * (dims + 4) * np.array([reach, size])
+
+    def sides(self, x: np.ndarray) -> list[np.ndarray]:
+        """Per stack (clusters but the first, models, rows): whether the row's nearest centre is that one."""
+        apart = self.normal @ np.ascontiguousarray(x.T, dtype=np.float32)
+        apart -= self.offset[:, None]
+        slack = (self.slack[0] + self.slack[1] * np.sqrt((x * x).sum(axis=1))).astype(np.float32)
+        out, at = [], 0
+        for centres in self.stacks:
+            models, k = centres.shape[:2]
+            mine = apart[at : at + (k - 1) * models].reshape(k - 1, models, len(x))
+            at += (k - 1) * models
+            if k == 1:
+                out.append(np.zeros((0, models, len(x)), bool))
+                continue
+            if k == 2:
+                here = mine > 0
+                unsure = np.abs(mine[0]) <= slack
+            else:
+                limit = np.maximum(mine.max(axis=0), 0)
+                limit -= slack
+                here = mine >= limit
+                unsure = here.sum(axis=0, dtype=np.int16) + (limit <= 0) != 1
+            found = np.flatnonzero(unsure)
+            if len(found):
+                model, row = np.divmod(found, len(x))
+                for a in range(0, len(row), BLOCK * STACK):
+                    m, r = model[a : a + BLOCK * STACK], row[a : a + BLOCK * STACK]
+                    here[:, m, r] = _nearest_exactly(x, centres, r, m) == np.arange(1, k)[:, None]
+            out.append(here)
+        return out
+
+    def add(self, x: np.ndarray, values: np.ndarray, weighted: np.ndarray, out: list[np.ndarray], spread: bool) -> None:
+        """Add the rows to ``out``, per stack a table (models, clusters, values); the first cluster gets what the others leave."""
+        whole = weighted.sum(axis=0)
+        for centres, here, table in zip(self.stacks, self.sides(x), out):
+            models, k = centres.shape[:2]
+            got = (here.reshape((k - 1) * models, len(x)).astype(float) @ weighted).reshape(k - 1, models, weighted.shape[1])
+            table[:, 1:] += got.swapaxes(0, 1)
+            table[:, 0] += whole - got.sum(axis=0)
+            if spread:
+                label = (here * np.arange(1, k)[:, None, None]).sum(axis=0)
+                for m in range(models):
+                    far = np.sqrt(((x - centres[m][label[m]]) ** 2).sum(axis=1)) * weighted[:, 0]
+                    table[m, :, 1] += np.bincount(label[m], far, k)
+
+
+def _by_rep(models: Sequence[Model]) -> list[tuple[int | None, list[list[int]], list[np.ndarray]]]:
+    """Per resample its models' numbers, those of one k together, with their centres stacked; a few models at a time."""
+    reps: dict[int | None, list[int]] = {}
+    for i, m in enumerate(models):
+        reps.setdefault(m.rep, []).append(i)
+    out = []
+    for rep, mine in reps.items():
+        for at in range(0, len(mine), STACK):
+            some = _groups([models[i] for i in mine[at : at + STACK]])
+            out.append((rep, [[mine[at + i] for i in numbers] for numbers, _ in some], [centres for _, centres in some]))
+    return out
+
+
 def _groups(models: Sequence[Model]) -> list[tuple[list[int], np.ndarray]]:
     """Models of one k together, a few at a time, with their centres stacked."""
     out = []
@@ -157,30 +279,27 @@ def _sums(rows: DataFrame, models: Sequence[Model], spread: bool = False) -> lis
     """
     dims = len(models[0].centres[0])
     names = ["n", "spread", "norm", *[f"s{j}" for j in range(dims)]]
-    groups = _groups(models)
     weighted = any(m.rep is not None for m in models)
-    reps = [[models[i].rep for i in some] for some, _ in groups]
     columns = ["features", *["weights"] * weighted]
+    shares = [(rep, some, _Sides(stacks)) for rep, some, stacks in _by_rep(models)]
+    width = max(sides.columns for _, _, sides in shares)
+    most = max(LEAST_BLOCK, min(MOST_BLOCK, CELLS // max(1, width)))
 
     def run(batches):
-        total = [np.zeros((*centres.shape[:2], len(names))) for _, centres in groups]
-        for x, *w in blocks(batches, *columns):
+        total = [[np.zeros((*centres.shape[:2], len(names))) for centres in sides.stacks] for _, _, sides in shares]
+        for x, *w in blocks(batches, *columns, most=most):
+            times = np.ascontiguousarray(w[0].T) if weighted else None
             values = np.concatenate([np.ones((len(x), 1)), np.zeros((len(x), 1)), (x * x).sum(axis=1)[:, None], x], axis=1)
-            for (some, centres), rep, out in zip(groups, reps, total):
-                label = nearest(x, centres)
-                times = w[0][:, rep] if weighted else np.ones(label.shape)
-                if spread:
-                    own = centres[np.arange(len(some)), label]
-                    near = sum((x[:, j][:, None] - own[:, :, j]) ** 2 for j in range(dims))
-                    apart = times * np.sqrt(near)
-                for c in range(centres.shape[1]):
-                    mine = label == c
-                    out[:, c] += (mine * times).T @ values
-                    if spread:
-                        out[:, c, 1] += (mine * apart).sum(axis=0)
-        model = np.concatenate([np.repeat(some, centres.shape[1]) for some, centres in groups])
-        cluster = np.concatenate([np.tile(np.arange(centres.shape[1]), len(some)) for some, centres in groups])
-        table = np.concatenate([t.reshape(-1, len(names)) for t in total])
+            for (rep, _, sides), out in zip(shares, total):
+                if rep is None:
+                    sides.add(x, values, values, out, spread)
+                    continue
+                drawn = np.flatnonzero(times[rep])  # rows that a resample leaves out add nothing
+                mine = values[drawn]
+                sides.add(x[drawn], mine, mine * times[rep, drawn][:, None], out, spread)
+        model = np.concatenate([np.repeat(s, c.shape[1]) for _, some, sides in shares for s, c in zip(some, sides.stacks)])
+        cluster = np.concatenate([np.tile(np.arange(c.shape[1]), len(c)) for _, _, sides in shares for c in sides.stacks])
+        table = np.concatenate([t.reshape(-1, len(names)) for out in total for t in out])
         yield pa.RecordBatch.from_pydict(
             {"model": model.astype(np.int32), "cluster": cluster.astype(np.int32), **dict(zip(names, table.T.copy()))}
         )
@@ -225,8 +344,11 @@ def advance(rows: DataFrame, models: Sequence[Model], steps: int = STEPS) -> lis
     return models
 
 
-def first_models(rows: DataFrame, ks: Sequence[int], starts: int, reps: Sequence[int | None] = (None,), id_col: str = "player_id") -> list[Model]:
-    points = start_points(rows, starts, max(ks), id_col)
+def first_models(
+    rows: DataFrame, ks: Sequence[int], starts: int, reps: Sequence[int | None] = (None,), id_col: str = "player_id", points: list | None = None
+) -> list[Model]:
+    """Models before their first step; ``points`` are start points already drawn, of as many starts or more."""
+    points = start_points(rows, starts, max(ks), id_col) if points is None else points[:starts]
     return [Model(k, s, tuple(p[:k]), rep) for rep in reps for k in ks for s, p in enumerate(points)]
 
 
@@ -357,9 +479,11 @@ def bootstrap(
 
     All refits of all resamples advance in the same passes.
     """
-    drawn = settle(with_weights(rows.select(id_col, "features"), reps, share, id_col), "resamples")
-    bases = fit(drawn, ks, starts, id_col=id_col)
-    refits = best(advance(drawn, first_models(drawn, ks, refit_starts, range(reps), id_col)))
+    rows = rows.select(id_col, "features")
+    points = start_points(rows, max(starts, refit_starts), max(ks), id_col)
+    drawn = settle(with_weights(rows, reps, share, id_col).select("features", "weights"), "resamples")
+    bases = {k: m for (k, _), m in best(advance(drawn, first_models(drawn, ks, starts, points=points))).items()}
+    refits = best(advance(drawn, first_models(drawn, ks, refit_starts, range(reps), points=points)))
     cells = None
     for k, base in sorted(bases.items()):
         part = contingencies(drawn, base, [m for (n, _), m in sorted(refits.items()) if n == k])
