@@ -13,7 +13,7 @@ from ..plans import families
 from ..plans import fullbacks as fb
 from ..plans import studies
 from ..session import settle
-from ..sources.tables import season_counts, season_sheet
+from ..sources.tables import season_counts, season_minutes, season_sheet
 from . import query
 from .base import (
     BASE_SQL,
@@ -407,10 +407,11 @@ CONF_REF = {"duelos_def": 80, "duelos_ar": 50, "passes_prog": 120, "passes_long"
 CAPS = {"duelos_def": "5e0", "duelos_ar": "5e0", "passes_prog": "5e0", "passes_long": "5e0", "eficiencia_def": "0.1e0"}
 
 
-def season_frames(spark, folder):
-    """Study rows of all families, history and target."""
-    counts = settle(season_counts(spark, folder), "seasons")
-    rows = studies.season_shares(season_sheet(counts), "season", "league")
+def season_frames(spark, folder, families=None):
+    """Study rows of all families or the named ones, history and target. Shares of minutes count every row of a season."""
+    counts = settle(season_counts(spark, folder, families), "seasons")
+    whole = None if families is None else season_minutes(spark, folder)
+    rows = studies.season_shares(season_sheet(counts), "season", "league", whole=whole)
     rows = studies.study_columns(rows).where(C("family").isNotNull() & (C("position") != "Goleiro"))
     rows = rows.where((C("minutes") >= STUDY_MINUTES) & (C("minutes_share") > 0.2))
     rows = rows.withColumn("player_id", F.concat_ws("-", "player_id", C("season").cast("string")))

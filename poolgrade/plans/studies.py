@@ -19,9 +19,9 @@ IMPACT_METRICS = config.STUDY_METRICS[:4]
 DEFENCE = config.STUDY_METRICS[4]
 
 
-def season_shares(df: DataFrame, *keys: str) -> DataFrame:
-    """Minutes share inside each season file."""
-    most = df.groupBy(*keys).agg(F.max("minutes").alias("_most"))
+def season_shares(df: DataFrame, *keys: str, whole: DataFrame | None = None) -> DataFrame:
+    """Minutes share inside each season file; ``whole`` holds the minutes of all its rows if ``df`` has only some."""
+    most = (df if whole is None else whole).groupBy(*keys).agg(F.max("minutes").alias("_most"))
     return df.join(F.broadcast(most), list(keys)).withColumn(
         "minutes_share", guarded(C("minutes").cast("double"), C("_most").cast("double"))
     ).drop("_most")
