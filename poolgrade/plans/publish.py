@@ -28,6 +28,8 @@ INDEX_FIELDS = (
     "cluster",
     "transfermarkt",
 )
+# What the meta document and the facets read of the people.
+META_FIELDS = ("position", "height", "minutes", "birth_year", "club", "nationality")
 
 
 def player_index(docs: DataFrame) -> DataFrame:
